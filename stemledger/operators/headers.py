@@ -23,6 +23,18 @@ FIELD_ALIASES = {
 PLACEHOLDER_PREFIX = "column_"
 
 
+def _fits_any_pattern() -> str:
+    """One pattern for "fits some field", matched on the lower-cased header.
+
+    Aliases that contain another alias add nothing here. The look-ahead lets the
+    matcher skip most positions on one character.
+    """
+    aliases = [a for group in FIELD_ALIASES.values() for a in group]
+    needed = [a for a in aliases if not any(b != a and b in a for b in aliases)]
+    first = "".join(sorted({a[0] for a in needed}))
+    return f"(?=[{first}])(?:{'|'.join(a.replace('_', '[ _-]') for a in needed)})"
+
+
 def _candidates(header: Column) -> Column:
     """Bit mask of the fields a header may stand for, lowest bit preferred."""
     text = F.translate(F.lower(header), " -", "__")
@@ -45,8 +57,8 @@ def assigned_fields(catalogue: DataFrame) -> DataFrame:
     ranking is cut per task before the shuffle.
     """
     n = len(FIELD_ALIASES)
-    fits = catalogue.select(DSN, "ordinal", _candidates(F.col("header")).alias("mask")).where(
-        F.col("mask") != 0
+    fits = catalogue.where(F.lower("header").rlike(_fits_any_pattern())).select(
+        DSN, "ordinal", _candidates(F.col("header")).alias("mask")
     )
     ranked = fits.withColumn(
         "rank", F.row_number().over(W.partitionBy(DSN, "mask").orderBy("ordinal"))

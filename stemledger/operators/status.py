@@ -38,10 +38,13 @@ def _plot_dimension(df: DataFrame, by: Sequence[str], with_last: bool) -> DataFr
     """One row per plot: its first year and, if asked, the dataset's last year.
 
     The dataset's last year is folded up from the plot aggregate, so both need
-    one narrow scan.
+    one narrow scan: the filter, true for every plot, makes both sides of the
+    join ask for the same two columns, and Spark reuses the one exchange.
     """
     plots = plot_years(df, by)
     if with_last:
+        first, last = F.col("plot_first"), F.col("plot_last")
+        plots = plots.where(first.isNull() | (first <= last))
         last = plots.groupBy(*by).agg(F.max("plot_last").alias("dataset_last"))
         plots = left_join_groups(plots, last, by)
     return plots.drop("plot_last")
