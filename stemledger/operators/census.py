@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from stemledger.functions.values import col
 from stemledger.schema import BY, DBH, PLOT, PREV_YEAR, ROW_KEYS, TREE_KEYS, YEAR, CensusType
 
+#: Exact copies of one row that are moved and unfolded together by ``census_sort``.
+COPIES_PER_BLOCK = 100_000
+
 
 def dedup_first(
     df: DataFrame, tie_break: Sequence[str | Column] | None = None, by: Sequence[str] = BY
@@ -60,9 +63,33 @@ def prepare(
     return previous_year(rows, by) if CensusType.parse(census_type) is CensusType.MULTI else rows
 
 
-def census_sort(df: DataFrame, tie_break: Sequence[str | Column] = (), by: Sequence[str] = BY) -> DataFrame:
-    """Rows in (dataset, plot, tree, year) order. Meant for the very end of a plan."""
-    return df.orderBy(*by, *ROW_KEYS, *tie_break)
+def census_sort(
+    df: DataFrame,
+    tie_break: Sequence[str | Column] | None = None,
+    by: Sequence[str] = BY,
+    unique: bool = False,
+) -> DataFrame:
+    """Rows in (dataset, plot, tree, year) order. Meant for the very end of a plan.
+
+    ``unique`` says that a measurement occurs once, as ``prepare`` leaves it; a
+    plain range sort then spreads any tree or dataset. Otherwise ties are broken
+    by the other columns, so that a hot measurement splits over ranges, and exact
+    copies, which no order can tell apart, travel as counted blocks that are
+    unfolded where they land.
+    """
+    keys = [*by, *ROW_KEYS]
+    if unique:
+        return df.orderBy(*keys, *(tie_break or ()))
+    others = tie_break or [col(c) for c in df.columns if c not in keys]
+    counted = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    last_block = F.floor((F.col("_n") - 1) / F.lit(COPIES_PER_BLOCK))
+    blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)))
+    size = F.least(
+        F.lit(COPIES_PER_BLOCK).cast("bigint"), F.col("_n") - F.col("_block") * COPIES_PER_BLOCK
+    )
+    ordered = blocks.orderBy(*keys, *others, "_block")
+    copies = F.explode(F.array_repeat(F.lit(0), size.cast("int")))
+    return ordered.withColumn("_copy", copies).drop("_n", "_block", "_copy")
 
 
 def with_tree_span(df: DataFrame, by: Sequence[str] = BY) -> DataFrame:

@@ -591,7 +591,7 @@ def prepare_single(spark, sf_dir):
 
 @query(f'SELECT {KEY_SQL}, l_orderkey FROM census ORDER BY {KEY_SQL}, l_orderkey', *CENSUS)
 def census_sort(spark, sf_dir):
-    return census.census_sort(rows(spark, sf_dir).select(*KEY, "l_orderkey"), ["l_orderkey"])
+    return census.census_sort(rows(spark, sf_dir).select(*KEY, "l_orderkey"))
 
 
 @query(
@@ -899,7 +899,7 @@ RECODED = """recoded AS (
     *CODED_PREPARED, RECODED,
 )
 def export_multi(spark, sf_dir):
-    return _fin(census.census_sort(finalize.finalize(prepared_coded(spark, sf_dir))))
+    return _fin(census.census_sort(finalize.finalize(prepared_coded(spark, sf_dir)), unique=True))
 
 
 @query(
@@ -909,7 +909,7 @@ def export_multi(spark, sf_dir):
 )
 def export_single(spark, sf_dir):
     final = finalize.finalize(single_coded(spark, sf_dir), "single")
-    return census.census_sort(final).select(*KEY, DBH, STATUS, "l_orderkey")
+    return census.census_sort(final, unique=True).select(*KEY, DBH, STATUS, "l_orderkey")
 
 
 # --- curation log --------------------------------------------------------------------

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stemledger.functions.values import col
 from stemledger.operators import census, mapping, reshape, status, validate
 from stemledger.operators.finalize import finalize
+from stemledger.plans.staging import staged
 from stemledger.plans.submission import Submission, metadata_table, write_metadata
 from stemledger.schema import (
     ALIVE,
@@ -57,6 +58,7 @@ class Harmonized:
     mapped: DataFrame
     prepared: DataFrame
     census_type: CensusType
+    deduplicated: bool = True
 
     def findings(self) -> DataFrame:
         """Findings on the prepared rows; duplicates are judged before they were removed."""
@@ -112,7 +114,7 @@ def harmonize(
 def diagnose(raw: DataFrame, dsn: str, census_type: CensusType | str = "multi") -> Harmonized:
     """A table that already has canonical columns: only validated, never changed."""
     rows = conform(raw if DSN in raw.columns else raw.withColumn(DSN, F.lit(dsn)))
-    return Harmonized(rows, rows, CensusType.parse(census_type))
+    return Harmonized(rows, rows, CensusType.parse(census_type), deduplicated=False)
 
 
 class BlockedExport(Exception):
@@ -132,15 +134,15 @@ def export(
 ) -> list[str]:
     """Write the cleaned dataset in each format, its metadata and its curation log.
 
-    The cleaned rows are checkpointed to the shared Parquet output when that is
-    asked for, and other formats are written from it, so the plan runs once. With
-    ``strict`` a blocking finding raises; only the handful of findings reaches
-    the driver. ``dataset_column`` renames the dataset id on the way out.
+    The prepared rows are staged once, because the report and every format read
+    them. With ``strict`` a blocking finding raises; only the handful of findings
+    reaches the driver. ``dataset_column`` renames the dataset id on the way out.
     """
     unknown = set(formats) - {"csv", "parquet", "xlsx"}
     if unknown:
         raise ValueError(f"unknown format {sorted(unknown)[0]!r}")
     spark = work.prepared.sparkSession
+    work = replace(work, prepared=staged(work.prepared, submission.dsn))
     found = work.findings()
     report = found.collect()
     blocking = [f.rule for f in report if f.severity in validate.BLOCKING_SEVERITIES]
@@ -157,13 +159,12 @@ def export(
 
     final = work.final()
     named = final.select(*[col(c).alias(dataset_column if c == DSN else c) for c in final.columns])
+    unique = work.deduplicated
     if "parquet" in formats:
-        path = target("parquet")
-        by = [dataset_column]
-        writers.write_parquet(census.census_sort(named, by=by), path, provenance)
-        named = spark.read.parquet(path)
+        ordered = census.census_sort(named, by=[dataset_column], unique=unique)
+        writers.write_parquet(ordered, target("parquet"), provenance)
     if "csv" in formats:
-        writers.write_csv(named, target("csv"), provenance, dataset_column)
+        writers.write_csv(named, target("csv"), provenance, dataset_column, unique)
     if "xlsx" in formats:
         path = target("xlsx")
         done = writers.write_workbooks(

@@ -49,9 +49,13 @@ def write_text_file(spark: SparkSession, path: str, text: str) -> None:
 
 
 def write_csv(
-    df: DataFrame, path: str, provenance: Provenance, dataset_column: str = DSN
+    df: DataFrame,
+    path: str,
+    provenance: Provenance,
+    dataset_column: str = DSN,
+    unique: bool = False,
 ) -> None:
-    """One dataset as CSV part files in census order.
+    """One dataset as CSV part files in census order (see ``census_sort`` for ``unique``).
 
     Every part file starts with the provenance comment and the header line, so
     each can be used alone. Lines are rendered by Spark; the first row of a
@@ -59,7 +63,7 @@ def write_csv(
     """
     preamble = f"{provenance.comment_line()}\n{_csv_header(df.columns)}"
     by = [dataset_column] if dataset_column in df.columns else []
-    rows = census_sort(df, by=by)
+    rows = census_sort(df, by=by, unique=unique)
     position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     lines = rows.select(_csv_line(df.columns).alias("line"), position.alias("position"))
     first = F.col("position") == 0
@@ -85,7 +89,8 @@ def with_file_number(
     """Add ``_file``: spreads a dataset's trees over as many files as its size asks for.
 
     The per-dataset row count is a small aggregate joined back unhinted. A tree
-    stays in one file.
+    stays in one file, so a measurement should occur once, as ``prepare`` leaves
+    it; copies are still written whole, but by one task.
     """
     files = df.groupBy(dataset_column).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).cast("int").alias("_files")

@@ -52,9 +52,14 @@ def read_table(
 
 
 def _text_reader(spark: SparkSession, fmt: str, multiline: bool):
-    # A quote inside a quoted value is written twice, not escaped by a backslash.
+    # A quote inside a quoted value is written twice, not escaped by a backslash. An
+    # empty cell is null but a quoted empty one is empty text, so null needs a mark
+    # of its own that no cell holds.
     return (
-        spark.read.option("sep", SEPARATORS[fmt]).option("escape", '"').option("multiLine", multiline)
+        spark.read.option("sep", SEPARATORS[fmt])
+        .option("escape", '"')
+        .option("nullValue", "\0")
+        .option("multiLine", multiline)
     )
 
 
