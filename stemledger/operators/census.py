@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemledger.functions.values import col
-from stemledger.schema import BY, DBH, PLOT, PREV_YEAR, ROW_KEYS, TREE_KEYS, YEAR, CensusType
+from stemledger.schema import BY, DBH, PLOT, PREV_YEAR, ROW_KEYS, TREE, YEAR, CensusType
 
 #: Exact copies of one row that are moved and unfolded together by ``census_sort``.
 COPIES_PER_BLOCK = 100_000
@@ -25,19 +25,28 @@ def dedup_first(
     both sides of the shuffle, so however many copies a measurement has, each
     task sends at most one of them.
     """
-    keys = [*by, *ROW_KEYS]
+    keys = [*tree_partition(by), YEAR]
     order = tie_break or [col(c) for c in df.columns if c not in keys] or [F.lit(0)]
     first = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", first).where(F.col("_rank") == 1).drop("_rank")
 
 
+def tree_partition(by: Sequence[str] = BY) -> list[str]:
+    """The key of a tree, its most distinctive part first.
+
+    Sorting compares a short prefix of the first key and looks further only on a
+    tie; dataset and plot would tie most of the time.
+    """
+    return [TREE, PLOT, *by]
+
+
 def tree_window(by: Sequence[str] = BY):
     """All rows of a tree in census order, as one frame.
 
     Every per-tree expression uses this one partitioning and order, so a chain
     of them costs one exchange and one sort.
     """
-    return W.partitionBy(*by, *TREE_KEYS).orderBy(YEAR)
+    return W.partitionBy(*tree_partition(by)).orderBy(YEAR)
 
 
 def whole_tree(by: Sequence[str] = BY):

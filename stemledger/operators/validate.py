@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemledger.functions.values import col
+from stemledger.operators.census import tree_partition
 from stemledger.operators.joins import left_join_groups
 from stemledger.operators.mapping import StatusCode, status_target
 from stemledger.schema import (
@@ -249,20 +252,17 @@ def flag_rows(
         F.count(PLOT).alias("_copies"),
         F.count_if(F.col(STATUS) == RECRUIT).alias("_recruits"),
     )
-    first = F.min(YEAR).over(W.partitionBy(*by, *TREE_KEYS))
+    first = F.min(YEAR).over(W.partitionBy(*tree_partition(by)))
     suspects = counts.withColumn("_at_first", F.col(YEAR) == first).where(
         (F.col("_copies") > 1) | (F.col("_at_first") & (F.col("_recruits") > 0))
     )
-    joined = left_join_groups(df, suspects.drop("_recruits"), [*by, *ROW_KEYS])
+    joined = left_join_groups(df, suspects.drop("_recruits"), [*tree_partition(by), YEAR])
     predicates = {DUPLICATE: F.col("_copies") > 1, **row_predicates(census_type)}
     if multi:
         predicates[RECRUIT_AT_FIRST_YEAR] = (F.col(STATUS) == RECRUIT) & F.col("_at_first")
     flags = F.array_compact(F.array(*[F.when(p, rule.name) for rule, p in predicates.items()]))
-    return (
-        joined.withColumn("flags", flags)
-        .where(F.size("flags") > 0)
-        .drop("_copies", "_at_first")
-    )
+    broken = reduce(or_, predicates.values())
+    return joined.where(broken).withColumn("flags", flags).drop("_copies", "_at_first")
 
 
 def vocabulary_column(df: DataFrame, column: str = "", mapped: str = "") -> str:

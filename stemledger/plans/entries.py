@@ -25,6 +25,8 @@ from stemledger.operators import (
     status,
     validate,
 )
+from stemledger.plans.harmonize import harmonize
+from stemledger.plans.submission import Metadata, Submission
 from stemledger.schema import DBH, PLOT, PREV_YEAR, STATUS, TREE, YEAR, conform
 from stemledger.sinks import curation_log
 from stemledger.sources.readers import preview, read_table, row_count
@@ -947,3 +949,67 @@ def curation_logs(spark, sf_dir):
 
 QUERIES["curation_log"] = QUERIES.pop("curation_logs")
 ORACLES["curation_log"] = ORACLES.pop("curation_logs")
+
+
+# --- whole plans ---------------------------------------------------------------------
+
+_WHOLE_KEYS = [PLOT, TREE, YEAR, PREV_YEAR, DBH, STATUS, "dsn"]
+FULL = """filled AS (
+  SELECT dsn, "PlotID", "TreeID", "YR", "PrevYR", "DBH", "Status" FROM derived
+  UNION ALL SELECT dsn, "PlotID", "TreeID", dl, "YR", NULL, '1' FROM derived WHERE "YR" = tl AND tl < dl),
+final AS (SELECT * REPLACE (CAST("Status" AS INT) AS "Status",
+                            CASE WHEN "Status" = '1' THEN NULL ELSE "DBH" END AS "DBH") FROM filled
+          WHERE NOT ("Status" = '2' AND "DBH" IS NULL) AND NOT ("PrevYR" IS NULL AND "Status" IN ('0', '1')))"""
+LONG_ROWS = """census AS (
+  SELECT 'in_per_ruiz_2020_m' AS dsn, lower('S-' || CAST(l_suppkey AS VARCHAR)) AS "PlotID",
+         CAST(l_partkey AS VARCHAR) AS "TreeID", CAST(year(l_shipdate) AS INT) AS "YR",
+         CASE WHEN l_returnflag <> 'N' THEN l_quantity / 10.0::DOUBLE END AS "DBH",
+         l_orderkey, l_linenumber, l_shipdate, l_extendedprice FROM lineitem)"""
+
+
+@query("SELECT * FROM final", LONG_ROWS, PREPARED, DERIVED, FULL)
+def harmonize_long(spark, sf_dir):
+    """A raw long table, diameters as text in millimetres, to delivered rows."""
+    raw = table(spark, sf_dir, "lineitem").withColumn(
+        "diam", F.expr("CASE WHEN l_returnflag <> 'N' THEN CAST(l_quantity AS STRING) ELSE 'n/a' END")
+    )
+    exprs = [
+        mapping.Concat(["l_suppkey"], PLOT, sep="-", prefix="S"),
+        mapping.Column("l_partkey", TREE),
+        mapping.YearOf("l_shipdate"),
+        mapping.Column("diam", DBH),
+    ]
+    submission = Submission("in_per_ruiz_2020_m", exprs, metadata=Metadata(dbh_unit="mm"))
+    return harmonize(raw, submission, "dead", TIE).final().select(*_WHOLE_KEYS)
+
+
+WIDE_ROWS = "census AS ({})".format(
+    " UNION ALL ".join(
+        f"""SELECT 'in_bra_silva_2021_m' AS dsn, 'P' || CAST(l_suppkey % 10 AS VARCHAR) AS "PlotID",
+            CAST(l_partkey AS VARCHAR) AS "TreeID", CAST({y} AS INT) AS "YR",
+            max(CASE WHEN year(l_shipdate) = {y} AND l_returnflag <> 'N' THEN l_quantity END) AS "DBH"
+            FROM lineitem GROUP BY l_suppkey % 10, l_partkey"""
+        for y in YEARS
+    )
+)
+WIDE_PREPARED = """prepared AS (
+  SELECT *, lag("YR") OVER (PARTITION BY dsn, "PlotID", "TreeID" ORDER BY "YR") AS "PrevYR" FROM census)"""
+
+
+@query("SELECT * FROM final", WIDE_ROWS, WIDE_PREPARED, DERIVED, FULL)
+def harmonize_wide(spark, sf_dir):
+    """A raw wide table, one diameter column per census, to delivered rows."""
+    measured = F.col("l_returnflag") != "N"
+    wide = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.expr("concat('P', l_suppkey % 10)").alias("plot"), "l_partkey")
+        .agg(
+            *[
+                F.max(F.when(measured & (F.year("l_shipdate") == y), F.col("l_quantity"))).alias(f"d_{y}")
+                for y in YEARS
+            ]
+        )
+    )
+    ids = [mapping.Column("plot", PLOT), mapping.Column("l_partkey", TREE)]
+    submission = Submission("in_bra_silva_2021_m", ids, wide_pairs=[(f"d_{y}", y) for y in YEARS])
+    return harmonize(wide, submission, "dead").final().select(*_WHOLE_KEYS)
