@@ -103,7 +103,8 @@ def map_fields(df: DataFrame, exprs: Sequence[FieldExpr], dsn: str | SparkColumn
 
     Every expression sees the source columns, whatever the order. A source that
     was renamed is dropped; other columns pass through unless a target replaces
-    them. Lookups are joined first.
+    them. One that differs from a target only in case gets ``_source`` appended,
+    as Spark could not tell the two apart. Lookups are joined first.
     """
     lookups = [e for e in exprs if isinstance(e, Lookup)]
     direct = [e for e in exprs if not isinstance(e, Lookup)]
@@ -113,8 +114,9 @@ def map_fields(df: DataFrame, exprs: Sequence[FieldExpr], dsn: str | SparkColumn
     joined = join_lookups(df, lookups)
     renamed = {e.source for e in direct if isinstance(e, Column)}
     direct_targets = {e.target for e in direct}
+    taken = {t.lower() for t in [*targets, DSN]} - {e.target.lower() for e in lookups}
     kept = [
-        col(c)
+        col(c).alias(f"{c}_source" if c.lower() in taken else c)
         for c in joined.columns
         if c not in direct_targets and c not in renamed and c != DSN
     ]

@@ -188,6 +188,52 @@ def export(
     return [*written, log_path]
 
 
+def deliver(
+    prepared: DataFrame,
+    datasets: DataFrame,
+    folder: str,
+    base_name: str,
+    formats: Sequence[str] = ("parquet",),
+    census_type: CensusType | str = CensusType.MULTI,
+    curator: str = "",
+    timestamp: str | None = None,
+    notes: Sequence[DataFrame] = (),
+) -> list[str]:
+    """Write many datasets from one table of prepared rows.
+
+    ``datasets`` has a metadata row per dataset, ``notes`` are further log lines
+    (see ``sinks.curation_log``). Every output is split by dataset by Spark;
+    nothing is looped over or collected, whatever the number of datasets.
+    """
+    rows = staged(prepared, base_name)
+    final = finalize(rows, census_type)
+    provenance = Provenance.draft("", timestamp)
+    base = folder.rstrip("/")
+    written = []
+    for fmt in formats:
+        path = f"{base}/{draft_name(base_name, fmt)}"
+        if fmt == "parquet":
+            ordered = census.census_sort(final, unique=True)
+            writers.write_parquet(ordered, path, provenance, [DSN])
+        elif fmt == "csv":
+            writers.write_csv_by_dataset(final, path, provenance)
+        elif fmt == "xlsx":
+            done = writers.write_workbooks(
+                final, path, lambda dsn, file: draft_name(f"{dsn}_{file + 1}", "xlsx"), provenance
+            )
+            done.write.mode("overwrite").json(f"{base}/{base_name}_workbooks.json")
+        else:
+            raise ValueError(f"unknown format {fmt!r}")
+        written.append(path)
+    found = validate.findings(rows, census_type, check_linkage=True)
+    logs = curation_log.curation_logs(
+        datasets, [curation_log.finding_lines(found), *notes], curator, provenance.timestamp[:10]
+    )
+    curation_log.write_curation_logs(logs, f"{base}/{base_name}_curation_logs")
+    write_metadata(datasets, f"{base}/{base_name}_metadata.json")
+    return [*written, f"{base}/{base_name}_curation_logs", f"{base}/{base_name}_metadata.json"]
+
+
 def canonical(df: DataFrame) -> DataFrame:
     """Only the canonical columns that are present, in their fixed order."""
     return df.select(*[f.name for f in CENSUS_SCHEMA if f.name in df.columns])
@@ -198,6 +244,7 @@ __all__ = [
     "BlockedExport",
     "Harmonized",
     "canonical",
+    "deliver",
     "diagnose",
     "export",
     "harmonize",

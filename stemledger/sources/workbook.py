@@ -44,8 +44,11 @@ def workbook_header(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_workbook(spark: SparkSession, path: str) -> DataFrame:
-    """One workbook as a table of text columns named by its first row."""
-    header = workbook_header(spark, path)
+    """One workbook as a table of text columns named by its first row.
+
+    A column without a header is called ``_c`` and its position, as in other text files.
+    """
+    header = [name or f"_c{i}" for i, name in enumerate(workbook_header(spark, path))]
     repeated = [name for name, n in Counter(header).items() if n > 1]
     if repeated:
         raise ValueError(f"repeated headers in {path}: {repeated}")

@@ -1,6 +1,7 @@
 """Hand-computed cases for order, links, status derivation and added rows."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +156,53 @@ def test_hot_tree_and_hot_plot_give_the_same_statuses(spark):
     assert derived.count() == 17 + 12000
     named = derived.where(F.col("TreeID").isin(*TREES))
     assert {t: "".join(s) for t, s in by_tree(named).items()} == EXPECTED
+
+
+def brute_force(rows, treatment):
+    """The census rules on plain lists, one dataset and tree at a time."""
+    first = {}
+    for dsn, plot_id, tree, year, dbh in sorted(rows, key=lambda r: (r[:4], r[4] is not None, r[4])):
+        first.setdefault((dsn, plot_id, tree, year), dbh)
+    plot_first, dataset_last, trees = {}, {}, {}
+    for (dsn, plot_id, tree, year), dbh in first.items():
+        plot_first[dsn, plot_id] = min(year, plot_first.get((dsn, plot_id), year))
+        dataset_last[dsn] = max(year, dataset_last.get(dsn, year))
+        trees.setdefault((dsn, plot_id, tree), []).append((year, dbh))
+    out = set()
+    for (dsn, plot_id, tree), rows_of_tree in trees.items():
+        measured = [y for y, dbh in rows_of_tree if dbh is not None]
+        previous = None
+        for year, dbh in rows_of_tree:
+            if measured and year == measured[0] > plot_first[dsn, plot_id]:
+                code = "2"
+            elif dbh is None:
+                code = "1" if measured and year > measured[-1] else "9"
+            else:
+                code = "0"
+            out.add((dsn, plot_id, tree, year, previous, dbh, code))
+            previous = year
+        if treatment and previous < dataset_last[dsn]:
+            out.add((dsn, plot_id, tree, dataset_last[dsn], previous, None, treatment))
+    return out
+
+
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_censuses_match_brute_force(spark, seed, threshold):
+    """With small tables broadcast, and with every join sort-merged."""
+    rng = random.Random(seed)
+    rows = [
+        (f"d{rng.randrange(3)}", f"P{rng.randrange(4)}", f"T{rng.randrange(60)}",
+         2000 + 5 * rng.randrange(5), rng.choice([None, None, 1.0, 2.0, 3.0]))
+        for _ in range(1500)
+    ]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        mapped = spark.createDataFrame(rows, SCHEMA)
+        full = status.derive_full(census.prepare(mapped), "dead", years_from=mapped)
+        got = full.select(*SCHEMA.replace(" string", "").replace(" int", "").split(", ")[:4], "PrevYR", "DBH", "Status")
+        result = [tuple(r) for r in got.collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(result) == len(set(result))
+    assert set(result) == brute_force(rows, "1")

@@ -7,7 +7,7 @@ import zipfile
 
 import pytest
 
-from stemledger.operators import mapping
+from stemledger.operators import census, gate, mapping, status
 from stemledger.plans import harmonize as plans
 from stemledger.plans.submission import Metadata, Submission, load_submission, save_submission
 from stemledger.sinks import curation_log, writers
@@ -125,6 +125,10 @@ def test_foreign_workbook(spark, folder):
     assert readers.raw_header(spark, path) == ["Plot", "Tree", ""]
     rows = [tuple(r) for r in readers.read_table(spark, path).collect()]
     assert rows == [("10", None, "true"), ("2.5", None, None)]
+    table = readers.read_table(spark, path)
+    assert [(e.problem, e.header) for e in gate.check(table, readers.raw_header(spark, path))] == [
+        ("blank_header", ""), ("all_null_column", "Tree"),
+    ]
 
 
 def test_workbook_without_rows_is_refused(spark, folder):
@@ -267,6 +271,27 @@ def test_long_table_to_files(spark, folder):
     assert "PI: A. Ruiz" in log and "DATE PROCESSED: 2024-01-31" in log
 
 
+def test_many_datasets_are_delivered_at_once(spark, folder):
+    raw = readers.read_table(spark, write(f"{folder}/in.csv", LONG))
+    ids = [Submission(f"in_{i}", long_submission().exprs, metadata=Metadata(country=f"C{i}")) for i in range(3)]
+    mapped = plans.map_submission(raw, ids[0])
+    for submission in ids[1:]:
+        mapped = mapped.unionByName(plans.map_submission(raw, submission))
+    prepared = status.derive_full(census.prepare(mapped), "none", years_from=mapped)
+    notes = curation_log.disappeared_lines(status.derive_summary(census.prepare(mapped)))
+    written = plans.deliver(
+        prepared, plans.metadata_table(spark, ids), folder, "all", ["parquet", "csv", "xlsx"],
+        curator="C. Urator", timestamp=STAMP.timestamp, notes=[notes],
+    )
+    final = spark.read.parquet(written[0])
+    per_dataset = {r.dsn: r["count"] for r in final.groupBy("dsn").count().collect()}
+    assert per_dataset == {f"in_{i}": 11 for i in range(3)}
+    assert len(glob.glob(f"{written[1]}/dsn=*/file=0/part-*")) == 3
+    assert readers.read_table(spark, f"{written[2]}/in_2_1_DRAFT.xlsx").count() == 11
+    log = "\n".join(r.value for r in spark.read.text(f"{written[3]}/dsn=in_1").collect())
+    assert "COUNTRY: C1" in log and "1 trees are absent from the last census" in log
+
+
 def test_unknown_export_format_is_refused(spark, folder):
     raw = readers.read_table(spark, write(f"{folder}/in.csv", LONG))
     work = plans.harmonize(raw, long_submission())

@@ -46,6 +46,13 @@ def test_a_field_cannot_be_mapped_twice(raw):
         mapping.map_fields(raw, [mapping.Column("d", "DBH"), mapping.Literal("1", "DBH")], "d")
 
 
+def test_columns_that_differ_only_in_case_stay_apart(spark):
+    df = spark.createDataFrame([("x", "1999", "2010")], "p string, Yr string, year string")
+    got = mapping.map_fields(df, [mapping.Column("year", "YR"), mapping.Column("p", "PlotID")], "d")
+    assert got.columns == ["Yr_source", "YR", "PlotID", "dsn"]
+    assert conform(got).first().YR == 2010
+
+
 def test_rename_skips_absent_columns(raw):
     got = mapping.rename_columns(raw, [("d", "DBH"), ("gone", "YR")], "x")
     assert got.columns == ["plot no.", "sub", "tag", "visit", "DBH", "dsn"]
