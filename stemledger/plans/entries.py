@@ -37,12 +37,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str, *ctes: str):
+def query(sql: str, *ctes: str, name: str | None = None):
     """Register a query under its function's name, with SQL that gives the same rows."""
 
     def register(run: Query) -> Query:
-        QUERIES[run.__name__] = run
-        ORACLES[run.__name__] = (f"WITH {', '.join(ctes)} " if ctes else "") + sql
+        key = name or run.__name__
+        QUERIES[key] = run
+        ORACLES[key] = (f"WITH {', '.join(ctes)} " if ctes else "") + sql
         return run
 
     return register
@@ -166,20 +167,16 @@ def preview_head(spark, sf_dir):
     )
 
 
-@query("SELECT count(*) AS row_count FROM lineitem")
+@query("SELECT count(*) AS row_count FROM lineitem", name="row_count")
 def count_rows(spark, sf_dir):
     return row_count(table(spark, sf_dir, "lineitem"))
 
 
-QUERIES["row_count"] = QUERIES.pop("count_rows")
-ORACLES["row_count"] = ORACLES.pop("count_rows")
-
-
 @query("SELECT count(*) AS n_rows, count(*) = 0 AS is_empty FROM events")
 def gate_empty(spark, sf_dir):
-    profile = gate.null_profile(table(spark, sf_dir, "events"))
-    n_rows = F.max("n_rows").alias("n_rows")
-    return profile.agg(n_rows).withColumn("is_empty", F.col("n_rows") == 0)
+    counted = row_count(table(spark, sf_dir, "events"))
+    n_rows = F.col("row_count")
+    return counted.select(n_rows.alias("n_rows"), (n_rows == 0).alias("is_empty"))
 
 
 def word_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -685,13 +682,11 @@ def val_duplicates(spark, sf_dir):
 def _rule_query(name: str, rule: validate.Rule, predicate: str):
     sql = f"SELECT {KEY_SQL}, l_orderkey, l_linenumber FROM pc WHERE {predicate}"
 
+    @query(sql, *CODED_PREPARED, name=name)
     def run(spark, sf_dir):
         hit = validate.row_predicates("multi")[rule]
         return prepared_coded(spark, sf_dir).where(hit).select(*KEY, "l_orderkey", "l_linenumber")
 
-    run.__name__ = name
-    query(sql, *CODED_PREPARED)(run)
-
 
 _UNKNOWN_SQL = "\"Status\" NOT IN ('0', '1', '2', '9')"
 _DEAD_DBH_SQL = "\"Status\" = '1' AND \"DBH\" IS NOT NULL"
@@ -934,6 +929,7 @@ _LOG_BODY = " || ".join(f"'--- {s} ---' || chr(10) || chr(10)" for s in curation
               || ' trees are absent from the last census and were left unresolved.'
             FROM structure WHERE tl < dl GROUP BY dsn) GROUP BY dsn) USING (dsn)""",
     *CODED_PREPARED, PREPARED, DERIVED, _LINKED, AT_FIRST.format(source="linked"), _FINDINGS,
+    name="curation_log",
 )
 def curation_logs(spark, sf_dir):
     df = rows(spark, sf_dir)
@@ -947,10 +943,6 @@ def curation_logs(spark, sf_dir):
     return curation_log.curation_logs(datasets, lines, "C. Urator", "2024-01-31")
 
 
-QUERIES["curation_log"] = QUERIES.pop("curation_logs")
-ORACLES["curation_log"] = ORACLES.pop("curation_logs")
-
-
 # --- whole plans ---------------------------------------------------------------------
 
 _WHOLE_KEYS = [PLOT, TREE, YEAR, PREV_YEAR, DBH, STATUS, "dsn"]

@@ -30,6 +30,7 @@ SECTIONS = (
     "EXCLUSIONS",
     "NOTES",
 )
+FLAG_MARK = "[AUTO-FLAGGED] "
 LOGGED_RULES = (RECRUIT_AT_FIRST_YEAR.name, NO_LINKED_TREES.name)
 
 
@@ -40,7 +41,7 @@ def finding_lines(found: DataFrame) -> DataFrame:
         F.lit("NOTES").alias("section"),
         "position",
         F.concat(
-            F.lit("[AUTO-FLAGGED] "), "rule", F.lit(" ("), F.col("row_count").cast("string"),
+            F.lit(FLAG_MARK), "rule", F.lit(" ("), F.col("row_count").cast("string"),
             F.lit(" rows) — "), "message",
         ).alias("line"),
     )

@@ -206,3 +206,37 @@ def test_random_censuses_match_brute_force(spark, seed, threshold):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(result) == len(set(result))
     assert set(result) == brute_force(rows, "1")
+
+
+SKEW_SETTINGS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.shuffle.partitions": "16",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+}
+
+
+def test_a_hot_plot_is_split_when_plots_are_too_many_to_broadcast(spark):
+    before = {k: spark.conf.get(k, None) for k in SKEW_SETTINGS}
+    for key, value in SKEW_SETTINGS.items():
+        spark.conf.set(key, value)
+    try:
+        df = spark.range(200000, numPartitions=8).selectExpr(
+            "concat('d', id % 500 % 7) AS dsn", "concat('P', id % 500) AS PlotID",
+            "concat('T', id % 60000) AS TreeID", "CAST(2000 + id % 5 AS INT) AS YR",
+            "IF(id % 7 = 0, NULL, DOUBLE(id)) AS DBH",
+        )
+        hot = (F.substring("TreeID", 2, 9).cast("int") % 3) == 0
+        df = df.withColumns(
+            {"PlotID": F.when(hot, "HOT").otherwise(F.col("PlotID")),
+             "dsn": F.when(hot, "d0").otherwise(F.col("dsn"))}
+        )
+        full = status.derive_full(census.prepare(df), "dead", years_from=df)
+        assert full.groupBy().count().first()[0] > 0
+        full.collect()
+        plan = full._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert "SortMergeJoin(skew=true)" in plan.split("Initial Plan")[0]
