@@ -583,6 +583,13 @@ def prepare_multi(spark, sf_dir):
     return prepared(spark, sf_dir).select(*KEY, PREV_YEAR, DBH, "l_orderkey", "l_linenumber")
 
 
+@query(f'SELECT {KEY_SQL}, "PrevYR", "DBH", l_orderkey, l_linenumber FROM prepared', *PREPARED_ROWS)
+def prepare_few_copies(spark, sf_dir):
+    """The same rows from the plan with one exchange."""
+    once = census.prepare(rows(spark, sf_dir).drop("code"), tie_break=TIE, few_copies=True)
+    return once.select(*KEY, PREV_YEAR, DBH, "l_orderkey", "l_linenumber")
+
+
 @query(f'SELECT {KEY_SQL}, "DBH", "Status", l_orderkey, l_linenumber FROM pc', *CODED_PREPARED)
 def prepare_single(spark, sf_dir):
     return single_coded(spark, sf_dir).select(*KEY, DBH, STATUS, "l_orderkey", "l_linenumber")

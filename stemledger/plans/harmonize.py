@@ -92,16 +92,17 @@ def harmonize(
     submission: Submission,
     disappeared: str = "dead",
     tie_break: Sequence[str | Column] | None = None,
+    few_copies: bool = False,
 ) -> Harmonized:
     """The lazy plan from a raw table to prepared rows with a status.
 
     Without a status column the status is derived from census structure. In a
     single census there is no structure, so a measured tree is alive and an
-    unmeasured one missing.
+    unmeasured one missing. ``few_copies`` is explained at ``census.prepare``.
     """
     census_type = CensusType.parse(submission.metadata.census_type)
     mapped = map_submission(raw, submission)
-    prepared = census.prepare(mapped, census_type, tie_break)
+    prepared = census.prepare(mapped, census_type, tie_break, few_copies=few_copies)
     if STATUS not in mapped.columns:
         if census_type is CensusType.MULTI:
             prepared = status.derive_full(prepared, disappeared, years_from=mapped)
