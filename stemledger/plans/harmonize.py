@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemledger.functions.values import col
@@ -59,6 +59,8 @@ class Harmonized:
     prepared: DataFrame
     census_type: CensusType
     deduplicated: bool = True
+    #: Treatment of disappeared trees if the status was derived, else None.
+    disappeared: str | None = None
 
     def findings(self) -> DataFrame:
         """Findings on the prepared rows; duplicates are judged before they were removed."""
@@ -103,13 +105,15 @@ def harmonize(
     census_type = CensusType.parse(submission.metadata.census_type)
     mapped = map_submission(raw, submission)
     prepared = census.prepare(mapped, census_type, tie_break, few_copies=few_copies)
+    derived = None
     if STATUS not in mapped.columns:
         if census_type is CensusType.MULTI:
+            derived = disappeared
             prepared = status.derive_full(prepared, disappeared, years_from=mapped)
         else:
             alive = F.when(F.col(DBH).isNotNull(), ALIVE).otherwise(MISSING)
             prepared = prepared.withColumn(STATUS, alive)
-    return Harmonized(mapped, prepared, census_type)
+    return Harmonized(mapped, prepared, census_type, disappeared=derived)
 
 
 def diagnose(raw: DataFrame, dsn: str, census_type: CensusType | str = "multi") -> Harmonized:
@@ -132,6 +136,7 @@ def export(
     timestamp: str | None = None,
     strict: bool = True,
     dataset_column: str = DSN,
+    source_name: str = "",
 ) -> list[str]:
     """Write the cleaned dataset in each format, its metadata and its curation log.
 
@@ -180,15 +185,35 @@ def export(
     datasets = metadata_table(spark, [submission])
     write_metadata(datasets, f"{base}/{base_name}_metadata.json")
     written.append(f"{base}/{base_name}_metadata.json")
-    fired = spark.createDataFrame(report, found.schema)
-    logs = curation_log.curation_logs(
-        datasets, [curation_log.finding_lines(fired)], curator, provenance.timestamp[:10]
-    )
+    lines = [
+        curation_log.finding_lines(spark.createDataFrame(report, found.schema)),
+        _declared_lines(spark, submission, source_name),
+    ]
+    if work.disappeared is not None and work.disappeared not in status.DISAPPEARED_CODES:
+        lines.append(curation_log.disappeared_lines(status.derive_summary(work.prepared)))
+    logs = curation_log.curation_logs(datasets, lines, curator, provenance.timestamp[:10])
     log_path = f"{base}/{base_name}_curation_log.txt"
     writers.write_text_file(spark, log_path, logs.first().log.removesuffix("\n"))
     return [*written, log_path]
 
 
+def _declared_lines(spark: SparkSession, submission: Submission, source_name: str) -> DataFrame:
+    """Log lines from the submission itself: its file, and notes on status codes."""
+    lines = [("SOURCE FORMAT", 0, source_name)] if source_name else []
+    if submission.wide_pairs:
+        years = ", ".join(str(year) for _, year in submission.wide_pairs)
+        lines.append(("PIVOT / RESTRUCTURING", 0, f"Wide to long for the censuses of {years}."))
+    lines += [
+        ("NOTES", 100 + i, f"Status {code.source!r} was mapped to {code.target}: {code.note}")
+        for i, code in enumerate(submission.codes)
+        if code.note
+    ]
+    return spark.createDataFrame(
+        [(submission.dsn, *line) for line in lines],
+        "dsn string, section string, position int, line string",
+    )
+
+
 def deliver(
     prepared: DataFrame,
     datasets: DataFrame,

@@ -271,6 +271,20 @@ def test_long_table_to_files(spark, folder):
     assert "PI: A. Ruiz" in log and "DATE PROCESSED: 2024-01-31" in log
 
 
+def test_log_holds_what_was_declared_and_left_open(spark, folder):
+    raw = readers.read_table(spark, write(f"{folder}/in.csv", LONG))
+    base = long_submission()
+    submission = Submission(
+        base.dsn, base.exprs, [mapping.StatusCode("felled", "1", "logged in 2003")], metadata=base.metadata
+    )
+    work = plans.harmonize(raw, submission, "leave")
+    written = plans.export(work, submission, folder, "x", [], strict=False, source_name="in.csv")
+    log = "\n".join(r.value for r in spark.read.text(written[-1]).collect())
+    assert "--- SOURCE FORMAT ---\n  in.csv\n--- PIVOT" in log
+    assert "  1 trees are absent from the last census and were left unresolved." in log
+    assert log.rstrip().endswith("Status 'felled' was mapped to 1: logged in 2003")
+
+
 def test_many_datasets_are_delivered_at_once(spark, folder):
     raw = readers.read_table(spark, write(f"{folder}/in.csv", LONG))
     ids = [Submission(f"in_{i}", long_submission().exprs, metadata=Metadata(country=f"C{i}")) for i in range(3)]
