@@ -22,3 +22,12 @@ def left_join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) ->
     )
     condition = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
     return left.join(renamed, condition, "left").drop(*[f"_r_{k}" for k in keys])
+
+
+def attach_dataset_value(
+    df: DataFrame, values: DataFrame, column: str, by: Sequence[str]
+) -> DataFrame:
+    """Add a per-dataset value; without a dataset key it is one value, a scalar subquery."""
+    if by:
+        return left_join_groups(df, values.select(*by, column), by)
+    return df.withColumn(column, values.select(column).scalar())

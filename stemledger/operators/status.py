@@ -15,7 +15,7 @@ from stemledger.operators.census import (
     whole_tree,
     with_valid_span,
 )
-from stemledger.operators.joins import left_join_groups
+from stemledger.operators.joins import attach_dataset_value, left_join_groups
 from stemledger.schema import (
     ALIVE,
     BY,
@@ -45,8 +45,8 @@ def _plot_dimension(df: DataFrame, by: Sequence[str], with_last: bool) -> DataFr
     if with_last:
         first, last = F.col("plot_first"), F.col("plot_last")
         plots = plots.where(first.isNull() | (first <= last))
-        last = plots.groupBy(*by).agg(F.max("plot_last").alias("dataset_last"))
-        plots = left_join_groups(plots, last, by)
+        latest = plots.groupBy(*by).agg(F.max("plot_last").alias("dataset_last"))
+        plots = attach_dataset_value(plots, latest, "dataset_last", by)
     return plots.drop("plot_last")
 
 
@@ -128,8 +128,7 @@ def derive_summary(
 def disappeared_trees(df: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """``(by, PlotID, TreeID, tree_last)`` of trees absent from their dataset's last census."""
     trees = df.groupBy(*by, *TREE_KEYS).agg(F.max(YEAR).alias("tree_last"))
-    last = dataset_years(df, by).drop("dataset_first")
-    return left_join_groups(trees, last, by).where(
+    return attach_dataset_value(trees, dataset_years(df, by), "dataset_last", by).where(
         F.col("tree_last") < F.col("dataset_last")
     ).drop("dataset_last")
 
@@ -174,9 +173,9 @@ def disappeared_rows(
 ) -> DataFrame:
     """Only the rows ``derive_full`` adds, before they are linked: ``PrevYR`` is null."""
     code = DISAPPEARED_CODES[disappeared]
-    last = dataset_years(df if years_from is None else years_from, by).drop("dataset_first")
+    years = dataset_years(df if years_from is None else years_from, by)
     rows = df.withColumn("tree_last", F.max(YEAR).over(whole_tree(by)))
-    rows = left_join_groups(rows, last, by).where(
+    rows = attach_dataset_value(rows, years, "dataset_last", by).where(
         (F.col(YEAR) == F.col("tree_last")) & (F.col("tree_last") < F.col("dataset_last"))
     )
     changes = {YEAR: F.col("dataset_last"), STATUS: F.lit(code), DBH: F.lit(None).cast("double")}

@@ -104,15 +104,18 @@ def harmonize(
     """
     census_type = CensusType.parse(submission.metadata.census_type)
     mapped = map_submission(raw, submission)
-    prepared = census.prepare(mapped, census_type, tie_break, few_copies=few_copies)
+    # One dataset needs no dataset key: as a constant it would only blur the joins.
+    rows = mapped.drop(DSN)
+    prepared = census.prepare(rows, census_type, tie_break, by=(), few_copies=few_copies)
     derived = None
     if STATUS not in mapped.columns:
         if census_type is CensusType.MULTI:
             derived = disappeared
-            prepared = status.derive_full(prepared, disappeared, years_from=mapped)
+            prepared = status.derive_full(prepared, disappeared, by=(), years_from=rows)
         else:
             alive = F.when(F.col(DBH).isNotNull(), ALIVE).otherwise(MISSING)
             prepared = prepared.withColumn(STATUS, alive)
+    prepared = prepared.withColumn(DSN, F.lit(submission.dsn))
     return Harmonized(mapped, prepared, census_type, disappeared=derived)
 
 

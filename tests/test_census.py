@@ -77,6 +77,18 @@ def test_plot_start_is_per_plot_and_last_year_per_dataset(spark):
     assert ("e", "P1", 2010) not in got and got[("e", "P1", 2005)] == "0"
 
 
+def test_one_dataset_needs_no_dataset_key(spark):
+    rows = plot(spark).drop("dsn")
+    prepared = census.prepare(rows, by=())
+    full = status.derive_full(prepared, "dead", by=())
+    assert {t: "".join(s) for t, s in by_tree(full).items()} == {**EXPECTED, "F": "001"}
+    text = full._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text
+    assert status.derive_summary(prepared, by=()).first().disappeared_trees == 1
+    assert [r.TreeID for r in status.disappeared_trees(rows, by=()).collect()] == ["F"]
+    assert status.disappeared_rows(prepared, "missing", by=()).first().YR == 2010
+
+
 def test_null_plot_is_a_group_of_its_own(spark):
     rows = [("d", None, "A", 2000, 1.0), ("d", None, "B", 2005, 2.0)]
     derived = status.derive_status(census.prepare(spark.createDataFrame(rows, SCHEMA)))
