@@ -10,6 +10,8 @@ Ranks are dealt out by salt, so a length that a third of all pieces share is num
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -31,32 +33,69 @@ RANKED_TOGETHER = 20_000
 class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, the same as encoding it whole.
 
-    For vocabularies that drop white space and never join words over it (``word_bpe_49k``), a text's
-    ids are those of its words one after another. Four control characters that Python counts as white space and the
-    vocabulary does not send a text to the plain encoder.
+    For vocabularies that lower the case, drop white space and never join words over it (``word_bpe_49k``), a text's ids are
+    those of its words one after another. Words are met again and again, so the ids of a bounded number are kept. A text with one
+    of the few characters that Python and the vocabulary take differently for white space or lower case is encoded whole.
     """
 
-    ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+    ODD = re.compile("[\x1c-\x1f\u03a3\u0130]")
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        pieces = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(pieces.values()) + 1, dtype=bool)
+        self.ends_word[[i for piece, i in pieces.items() if piece.endswith("</w>")]] = True
 
     def __call__(self, text: str) -> bytes:
-        if any(c in text for c in self.ODD):
-            return _as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        words, known = text.split(), self.known
-        new = list(set(words).difference(known))
+        if self.ODD.search(text):
+            return self._each([text])[0]
+        known = self.known
+        # special tokens are told by their case, and then words are looked up as they stand
+        words = (text if "<|" in text else text.lower()).split()
+        new = [w for w in set(words) if w not in known]
         if new:
             if len(known) + len(new) > REMEMBERED_WORDS:
                 known.clear()
                 new = list(set(words))
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            known.update((w, _as_bytes(e.ids)) for w, e in zip(new, found, strict=True))
+            # a letters-only word and a stop behind it are two words to the vocabulary
+            bare = {w: w[:-1] for w in new if w[-1] in ".," and w[:-1].isalpha()}
+            missing = [w for w in {".", ",", *(bare.get(w, w) for w in new)} if w not in known]
+            known.update(zip(missing, self._encode(missing), strict=True))
+            known.update((w, known[b] + known[w[-1]]) for w, b in bare.items())
         return b"".join(map(known.__getitem__, words))
 
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Words of letters only end in one piece each, so they are encoded in one go."""
+        letters = [w for w in words if w.isalpha()]
+        ids = np.asarray(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, dtype="<u4")
+        ends = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
+        if len(ends) != len(letters):
+            return self._each(words)
+        data, found, start = ids.tobytes(), {}, 0
+        for word, end in zip(letters, ends.tolist(), strict=True):
+            found[word] = data[start:end]
+            start = end
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, self._each(rest), strict=True))
+        return [found[w] for w in words]
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [_as_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+#: Kept as long as the Python worker lives, over its tasks.
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
 
 def _as_bytes(ids: list[int]) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
@@ -67,7 +106,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int = 2)
     end = _as_bytes([end_id])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = WordEncoder(vocabulary)
+        encode = encoder(vocabulary)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
