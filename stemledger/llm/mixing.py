@@ -17,6 +17,8 @@ from stemledger.llm.shared import staged
 STEPS = 30
 STEPS_PER_JOB = 5
 BYTES_PER_TOKEN = 4
+#: Columns that ``mix`` adds.
+COLUMNS = ("_epoch", "_block", "_order", "_tokens")
 
 
 def estimated_tokens(text: str = "text") -> Column:
@@ -78,8 +80,7 @@ def mix(
     A null source counts as the empty name, a null text as empty. Empty tables give no rows. Extra columns stay; columns named
     like the four above are replaced. A source may hold any part of the rows: its documents are spread over its blocks.
     """
-    mine = ["_epoch", "_block", "_order", "_tokens", "_source"]
-    rows = docs.drop(*mine).withColumn("_source", F.coalesce("source", F.lit(""))).withColumn("_tokens", estimated_tokens())
+    rows = docs.drop(*COLUMNS).withColumn("_source", F.coalesce("source", F.lit(""))).withColumn("_tokens", estimated_tokens())
     narrow = staged(rows.select("doc_id", "_source", "_tokens"), "mixing")
     sizes = staged(narrow.groupBy("_source").agg(F.sum("_tokens").alias("tokens")), "mixing-sources")
     total = sizes.agg(F.sum("tokens")).first()[0] or 1
@@ -119,5 +120,5 @@ def mix(
     times = F.col("_full") + F.when(F.col("_place") <= F.col("_cut"), 1).otherwise(0)
     drawn = spread.filter(times > 0).withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
     order = permuted(seed, F.col("_epoch").cast("string"), F.col("_source"), F.col("_block").cast("string"))
-    kept = [c for c in docs.columns if c not in mine]
-    return drawn.withColumn("_order", order).select(*kept, "_epoch", "_block", "_order", "_tokens")
+    kept = [c for c in docs.columns if c not in COLUMNS]
+    return drawn.withColumn("_order", order).select(*kept, *COLUMNS)

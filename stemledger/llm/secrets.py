@@ -155,18 +155,18 @@ def _spans(rule: Rule, order: int) -> Column:
     return F.when(text.rlike(rule.pattern), F.filter(all_found, lambda s: s["ok"])).otherwise(empty)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``secrets``, an array of (start, nth, kind, end, ok) by start and then rule.
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, column: str = "secrets") -> DataFrame:
+    """``docs`` with ``column``, an array of (start, nth, kind, end, ok) by start and then rule.
 
     A null or empty text has none. A repeated row is scanned for itself; very long texts are scanned whole.
-    Extra columns stay as they are, except for one named ``secrets``, which is replaced. Empty tables stay empty.
+    Extra columns stay as they are, except for one named like ``column``, which is replaced. Empty tables stay empty.
     """
     full = [r for r in rules if not trigram_query(r.pattern)]
     indexed = [r for r in rules if trigram_query(r.pattern)]
     keys = candidates(docs, tuple(indexed)).select(
         F.col("doc_id").alias("_key_id"), F.col("text_hash").alias("_key_hash"), F.col("kinds").alias("_kinds")
     )
-    rows = docs.drop("secrets").withColumn("_hash", F.xxhash64("text"))
+    rows = docs.drop(column).withColumn("_hash", F.xxhash64("text"))
     rows = rows.join(
         keys, F.col("doc_id").eqNullSafe(F.col("_key_id")) & (F.col("_hash") == F.col("_key_hash")), "left"
     )
@@ -176,12 +176,12 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         found = _spans(rule, order)
         parts.append(found if rule in full else F.when(F.array_contains("_kinds", rule.kind), found).otherwise(empty))
     spans = F.when(F.col("text").isNull(), empty).otherwise(F.array_sort(F.concat(*parts)))
-    return rows.withColumn("secrets", spans).drop("_hash", "_key_id", "_key_hash", "_kinds")
+    return rows.withColumn(column, spans).drop("_hash", "_key_id", "_key_hash", "_kinds")
 
 
 def redact(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
     """``docs`` with every span of a secret in ``text`` replaced; overlapping spans become one."""
-    found = scan(docs)
+    found = scan(docs, column="_secrets")
 
     def keep(state: Column, s: Column) -> Column:
         gap = F.substring(F.col("text"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
@@ -190,10 +190,10 @@ def redact(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
             F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["text"], piece).alias("text")
         )
 
-    done = F.aggregate("secrets", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), keep)
+    done = F.aggregate("_secrets", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), keep)
     rest = F.concat(done["text"], F.substring(F.col("text"), done["at"] + 1, F.length("text")))
-    text = F.when(F.size("secrets") > 0, rest).otherwise(F.col("text"))
-    return found.withColumn("text", text).drop("secrets")
+    text = F.when(F.size("_secrets") > 0, rest).otherwise(F.col("text"))
+    return found.withColumn("text", text).drop("_secrets")
 
 
 def digest(docs: DataFrame) -> DataFrame:
