@@ -39,6 +39,8 @@ CHUNK = 1024
 BITS = 2048
 FANOUT = 8
 PAIRS_TOGETHER = 4096
+#: Bits of the bitmap of documents in coarse groups; it is broadcast, so its size is fixed.
+BITMAP = 1 << 24
 
 TOKEN = np.dtype([("hash", "<u8"), ("doc", "<u4")])
 COUNTED = np.dtype([("hash", "<u8"), ("doc", "<u4"), ("df", "<u4")])
@@ -336,6 +338,21 @@ def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.drop(columns="text").assign(shingles=[s.tobytes() for s in sets])
 
 
+def _likely(given: DataFrame, members: DataFrame) -> DataFrame:
+    """``given`` without most rows that are not members, by a bitmap of fixed size: their texts need not be moved.
+
+    A row whose bit another member set stays; the join behind drops it.
+    """
+    at = F.pmod(F.xxhash64("rid"), F.lit(BITMAP))
+    bits = members.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")
+    )  # BITMAP bits in all
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = given.withColumn("part", F.bitmap_bucket_number(at)).join(F.broadcast(bits), "part")
+    return met.filter(F.getbit(byte, (place % 8).cast("int")) == 1).select(*given.columns)
+
+
 def join(docs: DataFrame) -> DataFrame:
     """(text_hash, n_shingles, component_id) per distinct text of documents with an id.
 
@@ -361,7 +378,7 @@ def join(docs: DataFrame) -> DataFrame:
     sizes = coarse.groupBy("unit").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     members = staged(coarse.join(sizes, "unit"), "members")
     tasks = max(8, -(-members.count() // CHUNK))
-    known = given.join(members, "rid").select("rid", "text_hash", "text", "unit", "chunks")
+    known = _likely(given, members).join(members, "rid").select("rid", "text_hash", "text", "unit", "chunks")
     # one row per class again: the copies of a text have other ids and no unit
     sets = known.dropDuplicates(["rid", "text_hash"]).select("rid", "unit", "chunks", "text").mapInPandas(
         _shingled, "rid long, unit long, chunks int, shingles binary"

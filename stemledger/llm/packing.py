@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from stemledger.llm.shared import staged
 
 #: Distinct white-space separated words whose ids a task remembers before it starts anew.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 250_000
 #: Pieces of one length and salt that one task numbers, about.
 RANKED_TOGETHER = 20_000
 
@@ -46,9 +47,6 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        pieces = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(pieces.values()) + 1, dtype=bool)
-        self.ends_word[[i for piece, i in pieces.items() if piece.endswith("</w>")]] = True
 
     def __call__(self, text: str) -> bytes:
         if self.ODD.search(text):
@@ -69,18 +67,12 @@ class WordEncoder:
         return b"".join(map(known.__getitem__, words))
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        """Ids of each word. Words of letters only end in one piece each, so they are encoded in one go."""
-        letters = [w for w in words if w.isalpha()]
-        ids = np.asarray(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, dtype="<u4")
-        ends = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
-        if len(ends) != len(letters):
-            return self._each(words)
-        data, found, start = ids.tobytes(), {}, 0
-        for word, end in zip(letters, ends.tolist(), strict=True):
-            found[word] = data[start:end]
-            start = end
+        """Ids of each word. Words of ASCII letters go to the model at once: the steps before it leave them as they are."""
+        tokenize = self.tokenizer.model.tokenize
+        found = {w: array("I", [t.id for t in tokenize(w)]).tobytes() for w in words if w.isascii() and w.isalpha()}
         rest = [w for w in words if w not in found]
-        found.update(zip(rest, self._each(rest), strict=True))
+        if rest:
+            found.update(zip(rest, self._each(rest), strict=True))
         return [found[w] for w in words]
 
     def _each(self, texts: list[str]) -> list[bytes]:

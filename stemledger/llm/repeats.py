@@ -27,9 +27,9 @@ WINDOW = 400
 PIECE = 200
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
 #: Segments that one task sorts, about; anchors with more distinct segments are dealt out by the hash of each window.
-SEGMENTS_TOGETHER = 4_000
+SEGMENTS_TOGETHER = 1_500
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -251,9 +251,10 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _cut_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per anchor its segment's digest; the segment's bytes only where the batch meets it first."""
+    """Per anchor its segment's digest; the segment's bytes only where they are first met in a while."""
+    names = ["anchor", "text_hash", "place", "ahead", "back", "segment", "bytes"]
+    seen, rows = set(), []
     for batch in batches:
-        seen, rows = set(), []
         for key, text, found in zip(batch["text_hash"], batch["text"], batch["found"], strict=True):
             data = text.encode("utf-8", "surrogatepass")
             for a in found:
@@ -262,19 +263,26 @@ def _cut_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 name = hashlib.blake2b(segment + b"%d %d %d" % (anchor, ahead, back), digest_size=16).digest()
                 rows.append((anchor, key, place, ahead, back, name, None if name in seen else segment))
                 seen.add(name)
-        yield pd.DataFrame(rows, columns=["anchor", "text_hash", "place", "ahead", "back", "segment", "bytes"])
+            if len(rows) > 10_000:
+                yield pd.DataFrame(rows, columns=names)
+                seen, rows = set(), []
+    yield pd.DataFrame(rows, columns=names)
 
 
 def _single_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Segments of very frequent anchors, one row per window, dealt out by the window's own hash."""
+    names = ["anchor", "ahead", "back", "segment", "bytes", "deal"]
     for batch in batches:
         rows = []
         for anchor, ahead, back, name, data in batch[["anchor", "ahead", "back", "segment", "bytes"]].itertuples(index=False):
+            if len(rows) > 20_000:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
             for k in range(ahead - back + 1):
                 window = data[k : k + WINDOW]
                 deal = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
                 rows.append((anchor, ahead - k, ahead - k, name, window, deal))
-        yield pd.DataFrame(rows, columns=["anchor", "ahead", "back", "segment", "bytes", "deal"])
+        yield pd.DataFrame(rows, columns=names)
 
 
 def _sorted(group: pd.DataFrame) -> pd.DataFrame:
