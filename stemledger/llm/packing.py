@@ -67,9 +67,9 @@ class WordEncoder:
         return b"".join(map(known.__getitem__, words))
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        """Ids of each word. Words of ASCII letters go to the model at once: the steps before it leave them as they are."""
+        """Ids of each word. Words of small ASCII letters go to the model at once: the steps before it leave them as they are."""
         tokenize = self.tokenizer.model.tokenize
-        found = {w: array("I", [t.id for t in tokenize(w)]).tobytes() for w in words if w.isascii() and w.isalpha()}
+        found = {w: array("I", [t.id for t in tokenize(w)]).tobytes() for w in words if w.isascii() and w.isalpha() and w.islower()}
         rest = [w for w in words if w not in found]
         if rest:
             found.update(zip(rest, self._each(rest), strict=True))

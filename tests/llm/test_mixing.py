@@ -48,3 +48,12 @@ def test_odd_rows(spark):
     assert out.count() == docs.count()
     assert [c for c in out.columns if c in docs.columns] == docs.columns[:8] + docs.columns[9:] + ["_block"]
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_query_matches_sql(spark):
+    import compare
+    from stemledger.llm.queries import ORACLES, QUERIES
+
+    con = compare.duck(compare.DATA)
+    df = QUERIES["op7_mixing"](spark, compare.DATA)
+    assert compare.spark_rows(df) == compare.duck_rows(con, ORACLES["op7_mixing"])
