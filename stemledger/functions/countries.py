@@ -6,164 +6,162 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The country names a submission may use, alphabetical, with their codes.
-ISO3 = """
-Afghanistan|AFG
-Albania|ALB
-Algeria|DZA
-Angola|AGO
-Argentina|ARG
-Armenia|ARM
-Australia|AUS
-Austria|AUT
-Azerbaijan|AZE
-Bangladesh|BGD
-Belarus|BLR
-Belgium|BEL
-Belize|BLZ
-Benin|BEN
-Bhutan|BTN
-Bolivia|BOL
-Bosnia and Herzegovina|BIH
-Botswana|BWA
-Brazil|BRA
-Brunei|BRN
-Bulgaria|BGR
-Burkina Faso|BFA
-Burundi|BDI
-Cabo Verde|CPV
-Cambodia|KHM
-Cameroon|CMR
-Central African Republic|CAF
-Chad|TCD
-Chile|CHL
-China|CHN
-Colombia|COL
-Comoros|COM
-Congo (Brazzaville)|COG
-Congo (Kinshasa / DRC)|COD
-Costa Rica|CRI
-Côte d'Ivoire|CIV
-Croatia|HRV
-Cuba|CUB
-Czech Republic|CZE
-Denmark|DNK
-Djibouti|DJI
-Dominican Republic|DOM
-Ecuador|ECU
-Egypt|EGY
-El Salvador|SLV
-Equatorial Guinea|GNQ
-Eritrea|ERI
-Estonia|EST
-Eswatini|SWZ
-Ethiopia|ETH
-Fiji|FJI
-Finland|FIN
-France|FRA
-French Guiana|GUF
-Gabon|GAB
-Gambia|GMB
-Georgia|GEO
-Germany|DEU
-Ghana|GHA
-Greece|GRC
-Guatemala|GTM
-Guinea|GIN
-Guinea-Bissau|GNB
-Guyana|GUY
-Haiti|HTI
-Honduras|HND
-Hungary|HUN
-India|IND
-Indonesia|IDN
-Iran|IRN
-Iraq|IRQ
-Ireland|IRL
-Israel|ISR
-Italy|ITA
-Jamaica|JAM
-Japan|JPN
-Jordan|JOR
-Kazakhstan|KAZ
-Kenya|KEN
-Kyrgyzstan|KGZ
-Laos|LAO
-Latvia|LVA
-Lebanon|LBN
-Lesotho|LSO
-Liberia|LBR
-Libya|LBY
-Lithuania|LTU
-Luxembourg|LUX
-Madagascar|MDG
-Malawi|MWI
-Malaysia|MYS
-Mali|MLI
-Mauritania|MRT
-Mauritius|MUS
-Mexico|MEX
-Moldova|MDA
-Mongolia|MNG
-Morocco|MAR
-Mozambique|MOZ
-Myanmar|MMR
-Namibia|NAM
-Nepal|NPL
-Netherlands|NLD
-New Zealand|NZL
-Nicaragua|NIC
-Niger|NER
-Nigeria|NGA
-Norway|NOR
-Pakistan|PAK
-Panama|PAN
-Papua New Guinea|PNG
-Paraguay|PRY
-Peru|PER
-Philippines|PHL
-Poland|POL
-Portugal|PRT
-Romania|ROU
-Russia|RUS
-Rwanda|RWA
-São Tomé and Príncipe|STP
-Senegal|SEN
-Sierra Leone|SLE
-Singapore|SGP
-Solomon Islands|SLB
-Somalia|SOM
-South Africa|ZAF
-South Sudan|SSD
-Spain|ESP
-Sri Lanka|LKA
-Sudan|SDN
-Suriname|SUR
-Sweden|SWE
-Switzerland|CHE
-Taiwan|TWN
-Tajikistan|TJK
-Tanzania|TZA
-Thailand|THA
-Timor-Leste|TLS
-Togo|TGO
-Trinidad and Tobago|TTO
-Tunisia|TUN
-Turkey|TUR
-Turkmenistan|TKM
-Uganda|UGA
-Ukraine|UKR
-United Kingdom|GBR
-United States|USA
-Uruguay|URY
-Uzbekistan|UZB
-Venezuela|VEN
-Vietnam|VNM
-Yemen|YEM
-Zambia|ZMB
-Zimbabwe|ZWE
-"""
-
-COUNTRY_CODES = dict(line.split("|") for line in ISO3.strip().splitlines())
+COUNTRY_CODES = {
+    "Afghanistan": "AFG",
+    "Albania": "ALB",
+    "Algeria": "DZA",
+    "Angola": "AGO",
+    "Argentina": "ARG",
+    "Armenia": "ARM",
+    "Australia": "AUS",
+    "Austria": "AUT",
+    "Azerbaijan": "AZE",
+    "Bangladesh": "BGD",
+    "Belarus": "BLR",
+    "Belgium": "BEL",
+    "Belize": "BLZ",
+    "Benin": "BEN",
+    "Bhutan": "BTN",
+    "Bolivia": "BOL",
+    "Bosnia and Herzegovina": "BIH",
+    "Botswana": "BWA",
+    "Brazil": "BRA",
+    "Brunei": "BRN",
+    "Bulgaria": "BGR",
+    "Burkina Faso": "BFA",
+    "Burundi": "BDI",
+    "Cabo Verde": "CPV",
+    "Cambodia": "KHM",
+    "Cameroon": "CMR",
+    "Central African Republic": "CAF",
+    "Chad": "TCD",
+    "Chile": "CHL",
+    "China": "CHN",
+    "Colombia": "COL",
+    "Comoros": "COM",
+    "Congo (Brazzaville)": "COG",
+    "Congo (Kinshasa / DRC)": "COD",
+    "Costa Rica": "CRI",
+    "Côte d'Ivoire": "CIV",
+    "Croatia": "HRV",
+    "Cuba": "CUB",
+    "Czech Republic": "CZE",
+    "Denmark": "DNK",
+    "Djibouti": "DJI",
+    "Dominican Republic": "DOM",
+    "Ecuador": "ECU",
+    "Egypt": "EGY",
+    "El Salvador": "SLV",
+    "Equatorial Guinea": "GNQ",
+    "Eritrea": "ERI",
+    "Estonia": "EST",
+    "Eswatini": "SWZ",
+    "Ethiopia": "ETH",
+    "Fiji": "FJI",
+    "Finland": "FIN",
+    "France": "FRA",
+    "French Guiana": "GUF",
+    "Gabon": "GAB",
+    "Gambia": "GMB",
+    "Georgia": "GEO",
+    "Germany": "DEU",
+    "Ghana": "GHA",
+    "Greece": "GRC",
+    "Guatemala": "GTM",
+    "Guinea": "GIN",
+    "Guinea-Bissau": "GNB",
+    "Guyana": "GUY",
+    "Haiti": "HTI",
+    "Honduras": "HND",
+    "Hungary": "HUN",
+    "India": "IND",
+    "Indonesia": "IDN",
+    "Iran": "IRN",
+    "Iraq": "IRQ",
+    "Ireland": "IRL",
+    "Israel": "ISR",
+    "Italy": "ITA",
+    "Jamaica": "JAM",
+    "Japan": "JPN",
+    "Jordan": "JOR",
+    "Kazakhstan": "KAZ",
+    "Kenya": "KEN",
+    "Kyrgyzstan": "KGZ",
+    "Laos": "LAO",
+    "Latvia": "LVA",
+    "Lebanon": "LBN",
+    "Lesotho": "LSO",
+    "Liberia": "LBR",
+    "Libya": "LBY",
+    "Lithuania": "LTU",
+    "Luxembourg": "LUX",
+    "Madagascar": "MDG",
+    "Malawi": "MWI",
+    "Malaysia": "MYS",
+    "Mali": "MLI",
+    "Mauritania": "MRT",
+    "Mauritius": "MUS",
+    "Mexico": "MEX",
+    "Moldova": "MDA",
+    "Mongolia": "MNG",
+    "Morocco": "MAR",
+    "Mozambique": "MOZ",
+    "Myanmar": "MMR",
+    "Namibia": "NAM",
+    "Nepal": "NPL",
+    "Netherlands": "NLD",
+    "New Zealand": "NZL",
+    "Nicaragua": "NIC",
+    "Niger": "NER",
+    "Nigeria": "NGA",
+    "Norway": "NOR",
+    "Pakistan": "PAK",
+    "Panama": "PAN",
+    "Papua New Guinea": "PNG",
+    "Paraguay": "PRY",
+    "Peru": "PER",
+    "Philippines": "PHL",
+    "Poland": "POL",
+    "Portugal": "PRT",
+    "Romania": "ROU",
+    "Russia": "RUS",
+    "Rwanda": "RWA",
+    "São Tomé and Príncipe": "STP",
+    "Senegal": "SEN",
+    "Sierra Leone": "SLE",
+    "Singapore": "SGP",
+    "Solomon Islands": "SLB",
+    "Somalia": "SOM",
+    "South Africa": "ZAF",
+    "South Sudan": "SSD",
+    "Spain": "ESP",
+    "Sri Lanka": "LKA",
+    "Sudan": "SDN",
+    "Suriname": "SUR",
+    "Sweden": "SWE",
+    "Switzerland": "CHE",
+    "Taiwan": "TWN",
+    "Tajikistan": "TJK",
+    "Tanzania": "TZA",
+    "Thailand": "THA",
+    "Timor-Leste": "TLS",
+    "Togo": "TGO",
+    "Trinidad and Tobago": "TTO",
+    "Tunisia": "TUN",
+    "Turkey": "TUR",
+    "Turkmenistan": "TKM",
+    "Uganda": "UGA",
+    "Ukraine": "UKR",
+    "United Kingdom": "GBR",
+    "United States": "USA",
+    "Uruguay": "URY",
+    "Uzbekistan": "UZB",
+    "Venezuela": "VEN",
+    "Vietnam": "VNM",
+    "Yemen": "YEM",
+    "Zambia": "ZMB",
+    "Zimbabwe": "ZWE",
+}
 
 
 def country_table(spark: SparkSession) -> DataFrame:

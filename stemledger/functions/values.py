@@ -29,6 +29,12 @@ def parsed_double(text: Column) -> Column:
     return F.when(~text.rlike(_JAVA_ONLY_NUMBER), text.try_cast("double"))
 
 
+def parsed_integer(text: Column, dtype: T.DataType) -> Column:
+    """Whole number in a text column, also written like ``2010.0`` or ``2.01e3``; null for anything else."""
+    number = parsed_double(text)
+    return F.coalesce(text.try_cast(dtype), F.when(number == F.floor(number), number.try_cast(dtype)))
+
+
 def normalised_dbh(value: Column, dtype: T.DataType) -> Column:
     """Diameter as double, with NaN and the missing-value texts turned into null.
 
@@ -54,12 +60,16 @@ def centimetres(value: Column) -> Column:
 def year_of(value: Column, dtype: T.DataType) -> Column:
     """Census year of a date, timestamp or text column.
 
-    Dates give their calendar year. Any other value gives the first run of four
-    digits in its text, or null when there is none.
+    Dates, also as text, give their calendar year. Any other value gives its first
+    four digits that have no digit beside them, or null when there are none.
     """
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.year(value)
-    return F.regexp_extract(value.cast("string"), r"(\d{4})", 1).try_cast("int")
+    text = value.cast("string")
+    year = F.regexp_extract(text, r"(?<!\d)(\d{4})(?!\d)", 1).try_cast("int")
+    # only text with separators is read as a date: plain digits are years or serial numbers
+    dated = F.when(text.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}"), F.year(F.try_to_timestamp(text)))
+    return F.coalesce(dated, year)
 
 
 def dataset_id(iso3: Column, last_name: Column, year: Column, single: Column) -> Column:

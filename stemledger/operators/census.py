@@ -66,39 +66,17 @@ def prepare(
     census_type: CensusType | str = CensusType.MULTI,
     tie_break: Sequence[str | Column] | None = None,
     by: Sequence[str] = BY,
-    few_copies: bool = False,
 ) -> DataFrame:
     """Deduplicate and, for a multi-census, link each row to the tree's previous year.
 
     Copies are removed before rows are gathered by tree, so any number of them is
-    safe; that takes two exchanges. ``few_copies`` is for tables whose duplicate
-    report is known to be small: the same rows with one exchange and one sort,
-    but a tree with very many copies would then meet in one task.
+    safe; that takes two exchanges.
     """
     multi = CensusType.parse(census_type) is CensusType.MULTI
-    if multi and few_copies:
-        return _linked_once(df, tie_break, by)
     rows = dedup_first(df, tie_break, by)
     return previous_year(rows, by) if multi else rows
 
 
-def _linked_once(
-    df: DataFrame, tie_break: Sequence[str | Column] | None, by: Sequence[str]
-) -> DataFrame:
-    """In census order the first row of a year follows the last row of the year before.
-
-    So the previous row's year both tells first rows from copies and is their ``PrevYR``.
-    """
-    keys = [*tree_partition(by), YEAR]
-    order = tie_break or [col(c) for c in df.columns if c not in keys]
-    tree = W.partitionBy(*tree_partition(by)).orderBy(YEAR, *order)
-    rows = df.withColumns(
-        {PREV_YEAR: F.lag(YEAR).over(tree), "_rank": F.row_number().over(tree)}
-    )
-    first = (F.col("_rank") == 1) | ~F.col(PREV_YEAR).eqNullSafe(F.col(YEAR))
-    return rows.where(first).drop("_rank")
-
-
 def census_sort(
     df: DataFrame,
     tie_break: Sequence[str | Column] | None = None,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stemledger.functions.values import centimetres, col, parsed_double, safe_cast, year_of
 from stemledger.schema import DBH, DSN, MISSING, STATUS, DbhUnit
@@ -150,14 +152,29 @@ def join_lookups(df: DataFrame, lookups: Sequence[Lookup]) -> DataFrame:
         )
         left = df.select(*[col(c) for c in df.columns if c not in replaced])
         key = col(main_key)
-        if df.schema[main_key].dataType != table.schema[lookup_key].dataType:
-            key, right = key.cast("string"), right.withColumn(
-                "_lookup_key", F.col("_lookup_key").cast("string")
-            )
+        one, other = df.schema[main_key].dataType, table.schema[lookup_key].dataType
+        if one != other:
+            # numbers meet as numbers: 1 and 1.0 are one key, and a text that is a number is that number
+            numeric = [isinstance(t, T.NumericType) for t in (one, other)]
+            same = _as_number if any(numeric) and all(
+                n or isinstance(t, T.StringType) for n, t in zip(numeric, (one, other), strict=True)
+            ) else _as_text
+            key, right = same(key, one), right.withColumn("_lookup_key", same(F.col("_lookup_key"), other))
         df = left.join(right, key == F.col("_lookup_key"), "left").drop("_lookup_key")
     return df
 
 
+def _as_number(key: SparkColumn, dtype: T.DataType) -> SparkColumn:
+    if isinstance(dtype, T.StringType):
+        key = parsed_double(key)
+    # decimals keep every digit of long whole keys; other numbers fall back to doubles
+    return F.coalesce(key.try_cast("decimal(38,6)").cast("string"), key.try_cast("double").cast("string"))
+
+
+def _as_text(key: SparkColumn, dtype: T.DataType) -> SparkColumn:
+    return key.cast("string")
+
+
 def _as_double(table: DataFrame, name: str) -> SparkColumn:
     if table.schema[name].dataType.simpleString() == "string":
         return parsed_double(col(name))
@@ -187,10 +204,12 @@ def remap_status(df: DataFrame, codes: Sequence[StatusCode]) -> DataFrame:
     if not chosen:
         return df
     value = F.col(STATUS).cast("string")
-    mapped = value
-    for source, target in chosen.items():
-        mapped = F.when(value == source, target).otherwise(mapped)
-    return df.withColumn(STATUS, mapped)
+    return df.withColumn(STATUS, F.coalesce(_code_map(chosen)[value], value))
+
+
+def _code_map(chosen: dict[str, str]) -> SparkColumn:
+    """The codes as one map literal, so that a plan does not grow with their number."""
+    return F.from_json(F.lit(json.dumps(chosen)), "map<string, string>")
 
 
 def remap_status_or_missing(df: DataFrame, codes: Sequence[StatusCode]) -> DataFrame:
@@ -202,10 +221,7 @@ def status_target(value: SparkColumn, codes: Sequence[StatusCode]) -> SparkColum
     chosen: dict[str, str] = {}
     for code in codes:
         chosen.setdefault(code.source, code.target)
-    mapped = F.lit(MISSING)
-    for source, target in chosen.items():
-        mapped = F.when(value.cast("string") == source, target).otherwise(mapped)
-    return mapped
+    return F.coalesce(_code_map(chosen)[value.cast("string")], F.lit(MISSING))
 
 
 def remap_status_by_table(

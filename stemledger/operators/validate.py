@@ -30,9 +30,6 @@ from stemledger.schema import (
     CensusType,
 )
 
-#: A findings message spells out at most this many unknown values; the full
-#: list, of any length, is ``unknown_values``.
-MAX_LISTED_VALUES = 50
 
 
 @dataclass(frozen=True)
@@ -194,33 +191,18 @@ def findings(
 
 
 def with_unknown_values(found: DataFrame, df: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """Complete the message about unknown statuses with the values found.
+    """Complete the message about unknown statuses with the number of values.
 
-    A dataset with more than ``MAX_LISTED_VALUES`` of them gets their number
-    instead, since a free-text column can hold any number; ``unknown_values``
-    has them all. Ranking stops one past the limit in every task, so the list is
-    small whatever the data.
+    The values themselves, of which a free-text column can hold any number, are
+    the rows of ``unknown_values``.
     """
-    values = unknown_values(df, by).drop("row_count")
-    n_values = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(STATUS))
-    listed = (
-        values.withColumn("_rank", rank)
-        .where(F.col("_rank") <= MAX_LISTED_VALUES)
-        .groupBy(*by)
-        .agg(F.array_join(F.array_sort(F.collect_list(STATUS)), ", ").alias("_listed"))
-    )
-    text = left_join_groups(n_values, listed, by).select(
-        *by,
-        F.when(F.col("_n") <= MAX_LISTED_VALUES, F.concat(F.lit(" Found: "), "_listed", F.lit(".")))
-        .otherwise(F.concat(F.lit(" Found "), F.col("_n").cast("string"), F.lit(" values.")))
-        .alias("_suffix"),
-    )
+    n_values = unknown_values(df, by).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    suffix = F.concat(F.lit(" Found "), F.col("_n").cast("string"), F.lit(" values."))
     message = F.when(
         F.col("rule") == UNKNOWN_STATUS.name,
-        F.concat("message", F.coalesce("_suffix", F.lit(""))),
+        F.concat("message", F.coalesce(suffix, F.lit(""))),
     ).otherwise(F.col("message"))
-    return left_join_groups(found, text, by).withColumn("message", message).drop("_suffix")
+    return left_join_groups(found, n_values, by).withColumn("message", message).drop("_n")
 
 
 def verdict(found: DataFrame, datasets: DataFrame, by: Sequence[str] = BY) -> DataFrame:

@@ -94,19 +94,18 @@ def harmonize(
     submission: Submission,
     disappeared: str = "dead",
     tie_break: Sequence[str | Column] | None = None,
-    few_copies: bool = False,
 ) -> Harmonized:
     """The lazy plan from a raw table to prepared rows with a status.
 
     Without a status column the status is derived from census structure. In a
     single census there is no structure, so a measured tree is alive and an
-    unmeasured one missing. ``few_copies`` is explained at ``census.prepare``.
+    unmeasured one missing.
     """
     census_type = CensusType.parse(submission.metadata.census_type)
     mapped = map_submission(raw, submission)
     # One dataset needs no dataset key: as a constant it would only blur the joins.
     rows = mapped.drop(DSN)
-    prepared = census.prepare(rows, census_type, tie_break, by=(), few_copies=few_copies)
+    prepared = census.prepare(rows, census_type, tie_break, by=())
     derived = None
     if STATUS not in mapped.columns:
         if census_type is CensusType.MULTI:

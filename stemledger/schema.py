@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stemledger.functions.values import normalised_dbh, safe_cast
+from stemledger.functions.values import normalised_dbh, parsed_integer, safe_cast
 
 DSN = "dsn"
 PLOT = "PlotID"
@@ -92,6 +92,8 @@ def conform(df: DataFrame) -> DataFrame:
     for field in df.schema:
         if field.name == DBH:
             out.append(normalised_dbh(F.col(DBH), field.dataType).alias(DBH))
+        elif isinstance(field.dataType, T.StringType) and isinstance(wanted.get(field.name), T.IntegerType):
+            out.append(parsed_integer(F.col(field.name), wanted[field.name]).alias(field.name))
         elif field.name in wanted and field.dataType != wanted[field.name]:
             out.append(safe_cast(F.col(field.name), wanted[field.name]).alias(field.name))
         else:

@@ -125,18 +125,6 @@ def test_tree_windows_share_one_exchange(spark):
     assert exchanges(census.with_valid_span(census.with_tree_span(linked))) == 1
 
 
-def test_one_exchange_when_copies_are_few(spark):
-    rng = random.Random(3)
-    rows = [
-        ("d", rng.choice(["P", None]), f"T{rng.randrange(9)}", rng.choice([None, 2000, 2005, 2010]), float(i))
-        for i in range(200)
-    ]
-    df = spark.createDataFrame(rows, SCHEMA)
-    once = census.prepare(df, few_copies=True)
-    assert exchanges(once) == 1 and exchanges(census.with_valid_span(once)) == 1
-    assert sorted(once.collect(), key=repr) == sorted(census.prepare(df).collect(), key=repr)
-
-
 def test_single_census_is_not_linked(spark):
     assert "PrevYR" not in census.prepare(plot(spark), "single").columns
 

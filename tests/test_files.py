@@ -342,7 +342,7 @@ def test_mapped_status_is_remapped_not_derived(spark, folder):
     work = plans.harmonize(raw, submission)
     assert statuses(work.prepared) == {"A": "0gone"}
     found = work.findings().first()
-    assert found.rule == "UnknownStatus" and found.message.endswith("Found: gone.")
+    assert found.rule == "UnknownStatus" and found.message.endswith("Found 1 values.")
 
 
 def test_diagnose_reports_without_changing(spark):

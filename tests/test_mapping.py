@@ -231,3 +231,45 @@ def test_wide_columns_end_in_a_year(spark):
     rows = [("d", i, h) for i, h in enumerate(["DBH_1994", "DBH 1997", "1994_x", "d199", "d1994\n"])]
     got = headers.detect_wide(spark.createDataFrame(rows, "dsn string, ordinal int, header string"))
     assert {r.header: r.year for r in got.collect()} == {"DBH_1994": 1994, "DBH 1997": 1997}
+
+
+def test_years_in_float_text_keep_their_censuses(spark):
+    from stemledger.schema import conform
+
+    texts = ["2000.0", "2005", " 2010.0 ", "2.015e3", "2010.5", "x", None]
+    df = spark.createDataFrame([(t,) for t in texts], "YR string")
+    assert [r.YR for r in conform(df).collect()] == [2000, 2005, 2010, 2015, None, None, None]
+
+
+def test_year_of_takes_whole_years_only(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    from stemledger.functions.values import year_of
+
+    texts = ["2010-05-12", "12/05/2010", "12052010", "36526", "in 1999, 2004", "2010-05-12 10:00:00", None]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    got = [r.y for r in df.select(year_of(F.col("v"), T.StringType()).alias("y")).collect()]
+    assert got == [2010, 2010, None, None, 1999, 2010, None]
+
+
+def test_lookup_keys_of_different_number_types_meet(spark):
+    main = spark.createDataFrame([(1, "1.0"), (2, "x"), (9007199254740993, "2")], "k long, t string")
+    table = spark.createDataFrame([(1.0, 10.0), (2.0, 20.0)], "id double, v double")
+    by_number = mapping.join_lookups(main, [mapping.Lookup(table, "k", "id", "v", "PA")])
+    assert {r.k: r.PA for r in by_number.collect()} == {1: 10.0, 2: 20.0, 9007199254740993: None}
+    by_text = mapping.join_lookups(main, [mapping.Lookup(table, "t", "id", "v", "PA")])
+    assert {r.t: r.PA for r in by_text.collect()} == {"1.0": 10.0, "x": None, "2": 20.0}
+
+
+def test_thousands_of_codes(spark):
+    codes = [mapping.StatusCode(f"c{i}", str(i % 3)) for i in range(5000)]
+    df = spark.createDataFrame([("c4999",), ("other",), (None,)], "Status string")
+    assert [r.Status for r in mapping.remap_status(df, codes).collect()] == ["1", "other", None]
+    assert [r.Status for r in mapping.remap_status_or_missing(df, codes).collect()] == ["1", "9", "9"]
+
+
+def test_country_codes_are_the_fixed_ones():
+    from stemledger.functions.countries import COUNTRY_CODES
+
+    assert len(COUNTRY_CODES) == 154
+    assert [COUNTRY_CODES[c] for c in ("Afghanistan", "Germany", "Peru", "Zimbabwe")] == ["AFG", "DEU", "PER", "ZWE"]
