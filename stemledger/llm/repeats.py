@@ -28,8 +28,12 @@ PIECE = 200
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 TOGETHER = 1_000_000
-#: Segments that one task sorts, about; anchors with more distinct segments are dealt out by the hash of each window.
-SEGMENTS_TOGETHER = 1_500
+#: Segments that one task sorts, about, and suffixes that it sorts at once.
+SEGMENTS_TOGETHER = 2_000
+SUFFIXES_TOGETHER = 300_000
+#: Anchors with more distinct segments than this are dealt out further, by the bytes that SLICE windows share.
+FREQUENT = 4_000
+SLICE = 25
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -110,15 +114,28 @@ def repeated(segments: list[bytes], ahead: np.ndarray, back: np.ndarray, anchor:
     ``ahead`` is the distance from the anchor back to the segment's first window, ``back`` that to its last.
     """
     n = len(segments)
-    far, near = np.full(n, -1, dtype=np.int64), np.full(n, -1, dtype=np.int64)
+    far, near = np.full(n, -1, dtype=np.int64), np.full(n, WINDOW + 1, dtype=np.int64)
     offset = np.concatenate([[0], np.cumsum([len(s) for s in segments])[:-1]]).astype(np.int64)
     hashes = Hashes(np.frombuffer(b"".join(segments), dtype=np.uint8))
+    _, group = np.unique(anchor, return_inverse=True)
+    step = max(1, SUFFIXES_TOGETHER // max(1, n))
+    for low in range(0, WINDOW - PIECE + 1, step):  # suffixes at different distances are never compared
+        high = np.minimum(ahead, low + step - 1)
+        some = np.flatnonzero(np.maximum(back, low) <= high)
+        if len(some):
+            first = offset[some] + ahead[some] - high[some]
+            _mark(hashes, some, first, high[some], np.maximum(back, low)[some], group[some], far, near)
+    near[far < 0] = -1
+    return far, near
+
+
+def _mark(hashes: Hashes, which: np.ndarray, first: np.ndarray, ahead: np.ndarray, back: np.ndarray, group: np.ndarray, far: np.ndarray, near: np.ndarray) -> None:
+    """Widen ``far`` and ``near`` of segments ``which`` by their repeated windows from ``ahead`` to ``back``."""
     count = ahead - back + 1
-    seg = np.repeat(np.arange(n), count)
+    seg = np.repeat(np.arange(len(which)), count)
     nth = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
-    start, distance = offset[seg] + nth, ahead[seg] - nth
+    start, distance = first[seg] + nth, ahead[seg] - nth
     # suffixes are only compared within one anchor and one distance
-    _, group = np.unique(anchor, return_inverse=True)
     key = group[seg] * (WINDOW + 1) + distance
     order = np.argsort(key, kind="stable")
     key, start, seg, distance = key[order], start[order], seg[order], distance[order]
@@ -128,7 +145,7 @@ def repeated(segments: list[bytes], ahead: np.ndarray, back: np.ndarray, anchor:
     start, seg, distance = start[several], seg[several], distance[several]
     size = size[size > 1]
     if not len(size):
-        return far, near
+        return
     base = np.repeat(np.cumsum(size) - size, size)
     size = np.repeat(size, size)
     order = _mergesort(hashes, start, base, size)
@@ -139,11 +156,8 @@ def repeated(segments: list[bytes], ahead: np.ndarray, back: np.ndarray, anchor:
     pair = pair[_verified(hashes.data, start, seg, distance, pair)]
     hit = np.zeros(len(start), dtype=bool)
     hit[pair] = hit[pair + 1] = True
-    np.maximum.at(far, seg[hit], distance[hit])
-    lowest = np.full(n, WINDOW + 1, dtype=np.int64)
-    np.minimum.at(lowest, seg[hit], distance[hit])
-    near[far >= 0] = lowest[far >= 0]
-    return far, near
+    np.maximum.at(far, which[seg[hit]], distance[hit])
+    np.minimum.at(near, which[seg[hit]], distance[hit])
 
 
 def _mergesort(hashes: Hashes, start: np.ndarray, base: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -269,19 +283,20 @@ def _cut_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(rows, columns=names)
 
 
-def _single_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Segments of very frequent anchors, one row per window, dealt out by the window's own hash."""
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Segments of very frequent anchors, one row per SLICE distances, dealt out by the bytes that all their windows share.
+
+    Equal windows lie in one slice and share its core, so they still meet.
+    """
     names = ["anchor", "ahead", "back", "segment", "bytes", "deal"]
     for batch in batches:
         rows = []
-        for anchor, ahead, back, name, data in batch[["anchor", "ahead", "back", "segment", "bytes"]].itertuples(index=False):
-            if len(rows) > 20_000:
-                yield pd.DataFrame(rows, columns=names)
-                rows = []
-            for k in range(ahead - back + 1):
-                window = data[k : k + WINDOW]
-                deal = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
-                rows.append((anchor, ahead - k, ahead - k, name, window, deal))
+        for anchor, ahead, back, name, data in batch[names[:-1]].itertuples(index=False):
+            for low in range(back - back % SLICE, ahead + 1, SLICE):
+                far, near = min(ahead, low + SLICE - 1), max(back, low)
+                core = data[ahead - low : ahead - low - SLICE + 1 + WINDOW]
+                deal = int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True)
+                rows.append((anchor, far, near, name, data[ahead - far : ahead - near + WINDOW], deal))
         yield pd.DataFrame(rows, columns=names)
 
 
@@ -318,13 +333,13 @@ def spans(docs: DataFrame) -> DataFrame:
     )
     kept = segments.filter("bytes is not null").select("anchor", "ahead", "back", "segment", "bytes")
     frequent = (
-        segments.select("anchor", "segment").distinct().groupBy("anchor").count().filter(F.col("count") > SEGMENTS_TOGETHER)
+        segments.select("anchor", "segment").distinct().groupBy("anchor").count().filter(F.col("count") > FREQUENT)
     )
     frequent = staged(frequent.select("anchor"), "frequent")
     tasks = max(8, -(-segments.filter("bytes is not null").count() // SEGMENTS_TOGETHER))
     plain = kept.join(frequent, "anchor", "left_anti").withColumn("deal", F.col("anchor"))
     single = kept.join(frequent, "anchor", "left_semi").mapInPandas(
-        _single_windows, "anchor long, ahead short, back short, segment binary, bytes binary, deal long"
+        _slices, "anchor long, ahead short, back short, segment binary, bytes binary, deal long"
     )
     sorted_ = (
         plain.unionByName(single)

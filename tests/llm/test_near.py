@@ -94,9 +94,10 @@ def removed(texts):
     return out
 
 
-@pytest.mark.parametrize("most", [4000, 3])
-def test_repeats(spark, monkeypatch, most):
-    monkeypatch.setattr(repeats, "SEGMENTS_TOGETHER", most)
+@pytest.mark.parametrize("most, suffixes", [(4000, 300_000), (3, 500)])
+def test_repeats(spark, monkeypatch, most, suffixes):
+    monkeypatch.setattr(repeats, "FREQUENT", most)
+    monkeypatch.setattr(repeats, "SUFFIXES_TOGETHER", suffixes)
     rng = random.Random(11)
     noise = lambda n: "".join(rng.choice("abcdefghij é\n") for _ in range(n))
     passages = [noise(n) for n in (100, 350, 380, 420, 900)]
