@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemledger.functions.values import col
-from stemledger.schema import BY, DBH, PLOT, PREV_YEAR, ROW_KEYS, TREE, YEAR, CensusType
+from stemledger.operators.joins import left_join_groups
+from stemledger.schema import BY, DBH, DSN, PLOT, PREV_YEAR, ROW_KEYS, TREE, YEAR, CensusType, any_multi, is_multi
 
 #: Exact copies of one row that are moved and unfolded together by ``census_sort``.
 COPIES_PER_BLOCK = 100_000
@@ -63,18 +64,35 @@ def previous_year(df: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 def prepare(
     df: DataFrame,
-    census_type: CensusType | str = CensusType.MULTI,
+    census_type: CensusType | str | Column = CensusType.MULTI,
     tie_break: Sequence[str | Column] | None = None,
     by: Sequence[str] = BY,
 ) -> DataFrame:
     """Deduplicate and, for a multi-census, link each row to the tree's previous year.
 
     Copies are removed before rows are gathered by tree, so any number of them is
-    safe; that takes two exchanges.
+    safe; that takes two exchanges. In a table of several datasets ``census_type``
+    may be a column (see ``with_census_type``); rows of a single census then keep
+    the previous year they came with, if any.
     """
-    multi = CensusType.parse(census_type) is CensusType.MULTI
     rows = dedup_first(df, tie_break, by)
-    return previous_year(rows, by) if multi else rows
+    if not any_multi(census_type):
+        return rows
+    if not isinstance(census_type, Column):
+        return previous_year(rows, by)
+    own = F.col(PREV_YEAR).try_cast("int") if PREV_YEAR in rows.columns else F.lit(None)
+    linked = F.lag(YEAR).over(tree_window(by))
+    return rows.withColumn(PREV_YEAR, F.when(is_multi(census_type), linked).otherwise(own))
+
+
+def with_census_type(df: DataFrame, datasets: DataFrame, name: str = "census_type") -> DataFrame:
+    """Add each row's census type from the metadata table, which has a row per dataset.
+
+    A dataset without a type, or without metadata, gets null, which counts as a
+    multi-census; of several types the first in text order is taken.
+    """
+    types = datasets.groupBy(DSN).agg(F.min("census_type").alias(name))
+    return left_join_groups(df.drop(name), types, [DSN])
 
 
 def census_sort(

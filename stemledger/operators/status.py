@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemledger.functions.values import col, normalised_dbh
@@ -28,6 +28,8 @@ from stemledger.schema import (
     STATUS,
     TREE_KEYS,
     YEAR,
+    CensusType,
+    is_multi,
 )
 
 # What to do with trees absent from the last census.
@@ -51,7 +53,11 @@ def _plot_dimension(df: DataFrame, by: Sequence[str], with_last: bool) -> DataFr
 
 
 def _with_structure(
-    df: DataFrame, by: Sequence[str], years_from: DataFrame | None, with_last: bool
+    df: DataFrame,
+    by: Sequence[str],
+    years_from: DataFrame | None,
+    with_last: bool,
+    census_type: CensusType | str | Column,
 ) -> DataFrame:
     """Rows with a clean diameter, their status, and the years it was derived from."""
     dbh = normalised_dbh(F.col(DBH), df.schema[DBH].dataType)
@@ -69,35 +75,44 @@ def _with_structure(
     year, unmeasured = F.col(YEAR), F.col(DBH).isNull()
     entered = (year == F.col("valid_first")) & (F.col("valid_first") > F.col("plot_first"))
     gone = unmeasured & (year > F.col("valid_last"))
+    multi = is_multi(census_type)
     status = (
-        F.when(entered, RECRUIT).when(gone, DEAD).when(unmeasured, MISSING).otherwise(ALIVE)
+        F.when(multi & entered, RECRUIT).when(multi & gone, DEAD).when(unmeasured, MISSING).otherwise(ALIVE)
     )
     return rows.withColumn(STATUS, status)
 
 
 def derive_status(
-    df: DataFrame, by: Sequence[str] = BY, years_from: DataFrame | None = None
+    df: DataFrame,
+    by: Sequence[str] = BY,
+    years_from: DataFrame | None = None,
+    census_type: CensusType | str | Column = CensusType.MULTI,
 ) -> DataFrame:
     """Set ``Status`` of prepared rows from when trees and plots were measured.
 
     A tree's first measured year is a recruitment (2) if its plot had a census
     before; without a diameter a row is dead (1) after the tree's last measured
-    year and missing (9) otherwise; all other rows are alive (0).
+    year and missing (9) otherwise; all other rows are alive (0). A single census
+    has no structure: its rows are alive or missing. A column as ``census_type``
+    gives each row's own.
 
     The tree years are windows over the tree key. The plot's first year is not a
     window, because a plot may hold a large share of the rows: it is a separate
     aggregate joined back. ``years_from`` may name the rows before
     deduplication, which have the same years and are cheaper to scan again.
     """
-    rows = _with_structure(df, by, years_from, with_last=False)
+    rows = _with_structure(df, by, years_from, with_last=False, census_type=census_type)
     return rows.drop("valid_first", "valid_last", "plot_first")
 
 
 def derive_summary(
-    df: DataFrame, by: Sequence[str] = BY, years_from: DataFrame | None = None
+    df: DataFrame,
+    by: Sequence[str] = BY,
+    years_from: DataFrame | None = None,
+    census_type: CensusType | str | Column = CensusType.MULTI,
 ) -> DataFrame:
     """Per dataset: rows per derived status and trees absent from the last census."""
-    rows = _with_structure(df, by, years_from, with_last=True)
+    rows = _with_structure(df, by, years_from, with_last=True, census_type=census_type)
 
     def rows_with(condition, name):
         return F.count_if(condition).alias(name)
@@ -109,7 +124,7 @@ def derive_summary(
         rows_with(F.col(STATUS) == DEAD, "dead"),
         rows_with(F.col(STATUS) == MISSING, "missing"),
         rows_with(
-            (F.col("tree_row") == 1) & (F.col("tree_last") < F.col("dataset_last")),
+            is_multi(census_type) & (F.col("tree_row") == 1) & (F.col("tree_last") < F.col("dataset_last")),
             "disappeared_trees",
         ),
     )
@@ -138,6 +153,7 @@ def derive_full(
     disappeared: str = "none",
     by: Sequence[str] = BY,
     years_from: DataFrame | None = None,
+    census_type: CensusType | str | Column = CensusType.MULTI,
 ) -> DataFrame:
     """Derive status and add a last-census row for every tree that disappeared.
 
@@ -145,13 +161,14 @@ def derive_full(
     An added row copies the tree's last row with the dataset's last year, the
     chosen status and no diameter, and is linked to that last row's year, so no
     second preparation is needed. It is emitted next to the row it copies; the
-    plan is not executed twice as a union would do.
+    plan is not executed twice as a union would do. Nothing disappears from a
+    single census.
     """
     code = DISAPPEARED_CODES.get(disappeared)
     if code is None:
-        return derive_status(df, by, years_from)
-    rows = _with_structure(df, by, years_from, with_last=True)
-    last_row = (F.col(YEAR) == F.col("tree_last")) & (F.col("tree_last") < F.col("dataset_last"))
+        return derive_status(df, by, years_from, census_type)
+    rows = _with_structure(df, by, years_from, with_last=True, census_type=census_type)
+    last_row = is_multi(census_type) & (F.col(YEAR) == F.col("tree_last")) & (F.col("tree_last") < F.col("dataset_last"))
     copies = F.when(last_row, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     both = rows.withColumn("_added", F.explode(copies))
     added = F.col("_added")

@@ -28,10 +28,11 @@ from stemledger.schema import (
     TREE_KEYS,
     YEAR,
     CensusType,
+    any_multi,
+    is_multi,
 )
 
 
-
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -77,16 +78,19 @@ RULES = (
 BLOCKING_SEVERITIES = ("RequiresInput", "Escalate")
 
 
-def row_predicates(census_type: CensusType | str = CensusType.MULTI) -> dict[Rule, Column]:
-    """Predicates of the rules that look at one row only. A null status is not unknown."""
+def row_predicates(census_type: CensusType | str | Column = CensusType.MULTI) -> dict[Rule, Column]:
+    """Predicates of the rules that look at one row only. A null status is not unknown.
+
+    Here and below a column as ``census_type`` gives each row's own.
+    """
     status, unmeasured = F.col(STATUS), F.col(DBH).isNull()
     predicates = {
         UNKNOWN_STATUS: ~status.isin(*KNOWN_STATUSES),
         DEAD_WITH_DBH: (status == DEAD) & ~unmeasured,
         RECRUIT_WITHOUT_DBH: (status == RECRUIT) & unmeasured,
     }
-    if CensusType.parse(census_type) is CensusType.MULTI:
-        predicates[ORPHAN_DEAD] = F.col(PREV_YEAR).isNull() & (status == DEAD)
+    if any_multi(census_type):
+        predicates[ORPHAN_DEAD] = is_multi(census_type) & F.col(PREV_YEAR).isNull() & (status == DEAD)
     return predicates
 
 
@@ -122,7 +126,7 @@ def recruits_at_first_year(df: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 
 def rule_counts(
-    df: DataFrame, census_type: CensusType | str = CensusType.MULTI, by: Sequence[str] = BY
+    df: DataFrame, census_type: CensusType | str | Column = CensusType.MULTI, by: Sequence[str] = BY
 ) -> DataFrame:
     """One row per dataset with a count per rule, from one scan of the needed columns.
 
@@ -130,17 +134,20 @@ def rule_counts(
     (copies), per tree (first year), per dataset. No step holds a group's rows,
     so neither a hot tree nor a hot dataset reaches one task.
     """
-    multi = CensusType.parse(census_type) is CensusType.MULTI
+    multi = any_multi(census_type)
+    linked = is_multi(census_type)
     predicates = row_predicates(census_type)
     sums = [rule.name for rule in predicates]
     per_measurement = df.groupBy(*by, *ROW_KEYS).agg(
         F.count(PLOT).alias("copies"),
-        F.count_if(F.col(STATUS) == RECRUIT).alias("recruits"),
+        F.count_if(linked & (F.col(STATUS) == RECRUIT)).alias("recruits"),
+        F.max(linked).alias("linked"),
         *[F.count_if(p).alias(rule.name) for rule, p in predicates.items()],
     )
     per_tree = per_measurement.groupBy(*by, *TREE_KEYS).agg(
         F.count_if(F.col("copies") > 1).alias(DUPLICATE.name),
         F.count(YEAR).alias("years"),
+        F.max("linked").alias("linked"),
         F.coalesce(F.min_by("recruits", YEAR), F.lit(0).cast("bigint")).alias(
             RECRUIT_AT_FIRST_YEAR.name
         ),
@@ -148,7 +155,7 @@ def rule_counts(
     )
     totals = [DUPLICATE.name, *sums] + ([RECRUIT_AT_FIRST_YEAR.name] if multi else [])
     unlinked = (
-        F.when(F.max("years") < 2, F.count(F.lit(1)))
+        F.when(F.max("linked") & (F.max("years") < 2), F.count(F.lit(1)))
         .otherwise(F.lit(0).cast("bigint"))
         .alias(NO_LINKED_TREES.name)
     )
@@ -159,7 +166,7 @@ def rule_counts(
 
 def findings(
     df: DataFrame,
-    census_type: CensusType | str = CensusType.MULTI,
+    census_type: CensusType | str | Column = CensusType.MULTI,
     by: Sequence[str] = BY,
     check_linkage: bool = False,
 ) -> DataFrame:
@@ -167,7 +174,7 @@ def findings(
 
     ``check_linkage`` adds the rule for datasets in which no tree was found twice.
     """
-    multi = CensusType.parse(census_type) is CensusType.MULTI
+    multi = any_multi(census_type)
     rules = [r for r in RULES if multi or not r.multi_only]
     if check_linkage and multi:
         rules.append(NO_LINKED_TREES)
@@ -190,6 +197,20 @@ def findings(
     return counts.select(*by, F.inline(stacked)).where(F.col("row_count") > 0)
 
 
+def duplicate_findings(df: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """The finding on duplicates, in the form of ``findings``, from rows that still have them."""
+    groups = duplicate_groups(df, by).groupBy(*by).agg(F.count(F.lit(1)).alias("row_count"))
+    return groups.select(
+        *by,
+        F.lit(1).alias("position"),
+        F.lit(DUPLICATE.name).alias("rule"),
+        F.lit(DUPLICATE.severity).alias("severity"),
+        F.lit(DUPLICATE.action).alias("action"),
+        "row_count",
+        F.concat_ws(" ", F.col("row_count").cast("string"), F.lit(DUPLICATE.text)).alias("message"),
+    )
+
+
 def with_unknown_values(found: DataFrame, df: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Complete the message about unknown statuses with the number of values.
 
@@ -221,7 +242,7 @@ def by_severity(found: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 
 def flag_rows(
-    df: DataFrame, census_type: CensusType | str = CensusType.MULTI, by: Sequence[str] = BY
+    df: DataFrame, census_type: CensusType | str | Column = CensusType.MULTI, by: Sequence[str] = BY
 ) -> DataFrame:
     """Rows that break a rule, with the rule names in ``flags``.
 
@@ -229,7 +250,6 @@ def flag_rows(
     measurements that matter are joined back, and a hot key in that join is
     split by adaptive execution.
     """
-    multi = CensusType.parse(census_type) is CensusType.MULTI
     counts = df.groupBy(*by, *ROW_KEYS).agg(
         F.count(PLOT).alias("_copies"),
         F.count_if(F.col(STATUS) == RECRUIT).alias("_recruits"),
@@ -240,8 +260,9 @@ def flag_rows(
     )
     joined = left_join_groups(df, suspects.drop("_recruits"), [*tree_partition(by), YEAR])
     predicates = {DUPLICATE: F.col("_copies") > 1, **row_predicates(census_type)}
-    if multi:
-        predicates[RECRUIT_AT_FIRST_YEAR] = (F.col(STATUS) == RECRUIT) & F.col("_at_first")
+    if any_multi(census_type):
+        at_first = (F.col(STATUS) == RECRUIT) & F.col("_at_first")
+        predicates[RECRUIT_AT_FIRST_YEAR] = is_multi(census_type) & at_first
     flags = F.array_compact(F.array(*[F.when(p, rule.name) for rule, p in predicates.items()]))
     broken = reduce(or_, predicates.values())
     return joined.where(broken).withColumn("flags", flags).drop("_copies", "_at_first")

@@ -909,6 +909,54 @@ def export_single(spark, sf_dir):
     return census.census_sort(final, unique=True).select(*KEY, DBH, STATUS, "l_orderkey")
 
 
+SINGLES = "dsn IN ('D0', 'D1')"
+PREPARED_MIXED = f"""pm AS (
+  SELECT * REPLACE (CASE WHEN {SINGLES} THEN NULL ELSE "PrevYR" END AS "PrevYR") FROM pc)"""
+
+
+def _mixed(df: DataFrame) -> DataFrame:
+    """Rows with the census type of their dataset: two are single, one has no metadata."""
+    types = df.sparkSession.sql(
+        "SELECT * FROM VALUES ('D0', 'single'), ('D1', 's'), ('D2', 'multi') AS t(dsn, census_type)"
+    )
+    return census.with_census_type(df, types)
+
+
+@query(
+    f"""SELECT * REPLACE (CAST("Status" AS INT) AS "Status") FROM (SELECT {_FIN} FROM recoded
+        WHERE NOT ("Status" = '2' AND "DBH" IS NULL)
+        AND NOT (NOT {SINGLES} AND "PrevYR" IS NULL AND "Status" IN ('0', '1')))""",
+    *CODED_PREPARED, PREPARED_MIXED, RECODED.replace("FROM pc", "FROM pm"),
+)
+def export_mixed(spark, sf_dir):
+    kind = F.col("census_type")
+    return _fin(finalize.finalize(census.prepare(_mixed(coded(spark, sf_dir)), kind, TIE), kind))
+
+
+@query(
+    f"""SELECT * FROM findings
+        WHERE NOT ({SINGLES} AND rule IN ('OrphanDeadFirstCensus', 'RecruitAtMinYear'))""",
+    *FOUND,
+)
+def validate_mixed(spark, sf_dir):
+    return validate.findings(_mixed(_linked(spark, sf_dir)), F.col("census_type"))
+
+
+@query(
+    f"""SELECT {KEY_SQL}, CASE WHEN {SINGLES} THEN NULL ELSE "PrevYR" END AS "PrevYR", "DBH",
+          CASE WHEN NOT {SINGLES} THEN "Status" WHEN "DBH" IS NULL THEN '9' ELSE '0' END AS "Status", l_orderkey
+        FROM derived
+        UNION ALL SELECT dsn, "PlotID", "TreeID", dl, "YR", NULL, '1', l_orderkey
+        FROM derived WHERE "YR" = tl AND tl < dl AND NOT {SINGLES}""",
+    *DERIVED_ROWS,
+)
+def derive_mixed(spark, sf_dir):
+    df, kind = rows(spark, sf_dir), F.col("census_type")
+    linked = census.prepare(_mixed(df.drop("code")), kind, TIE)
+    full = status.derive_full(linked, "dead", years_from=df, census_type=kind)
+    return full.select(*KEY, PREV_YEAR, DBH, STATUS, "l_orderkey")
+
+
 # --- curation log --------------------------------------------------------------------
 
 _LOG_HEAD = (

@@ -64,25 +64,9 @@ class Harmonized:
 
     def findings(self) -> DataFrame:
         """Findings on the prepared rows; duplicates are judged before they were removed."""
-        rule = validate.DUPLICATE
-        copies = (
-            validate.duplicate_groups(self.mapped)
-            .groupBy(DSN)
-            .agg(F.count(F.lit(1)).alias("row_count"))
-            .select(
-                DSN,
-                F.lit(1).alias("position"),
-                F.lit(rule.name).alias("rule"),
-                F.lit(rule.severity).alias("severity"),
-                F.lit(rule.action).alias("action"),
-                "row_count",
-                F.concat_ws(" ", F.col("row_count").cast("string"), F.lit(rule.text)).alias(
-                    "message"
-                ),
-            )
-        )
         found = validate.findings(self.prepared, self.census_type, check_linkage=True)
-        found = found.where(F.col("rule") != rule.name).unionByName(copies)
+        found = found.where(F.col("rule") != validate.DUPLICATE.name)
+        found = found.unionByName(validate.duplicate_findings(self.mapped))
         return validate.with_unknown_values(found, self.prepared)
 
     def final(self) -> DataFrame:
@@ -222,19 +206,38 @@ def deliver(
     folder: str,
     base_name: str,
     formats: Sequence[str] = ("parquet",),
-    census_type: CensusType | str = CensusType.MULTI,
+    census_type: CensusType | str | None = None,
     curator: str = "",
     timestamp: str | None = None,
     notes: Sequence[DataFrame] = (),
+    mapped: DataFrame | None = None,
+    strict: bool = True,
 ) -> list[str]:
     """Write many datasets from one table of prepared rows.
 
-    ``datasets`` has a metadata row per dataset, ``notes`` are further log lines
-    (see ``sinks.curation_log``). Every output is split by dataset by Spark;
-    nothing is looped over or collected, whatever the number of datasets.
+    ``datasets`` has a metadata row per dataset, from which its census type is
+    read unless ``census_type`` names one for all. ``notes`` are further log lines
+    (see ``sinks.curation_log``). Duplicates are judged on ``mapped``, the rows
+    before they were removed. With ``strict`` the rows of datasets with a blocking
+    finding are left out; ``…_blocked.json`` has these findings in any case, and
+    ``…_flagged`` the prepared rows that break a rule. Every output is split by
+    dataset by Spark; nothing is looped over or collected, whatever the number of
+    datasets.
     """
+    kind: CensusType | str | Column = census_type or CensusType.MULTI
+    if census_type is None and "census_type" in datasets.columns:
+        prepared = census.with_census_type(prepared, datasets, "_census_type")
+        kind = F.col("_census_type")
     rows = staged(prepared, base_name)
-    final = finalize(rows, census_type)
+    found = validate.findings(rows, kind, check_linkage=True)
+    if mapped is not None:
+        found = found.where(F.col("rule") != validate.DUPLICATE.name)
+        found = found.unionByName(validate.duplicate_findings(mapped))
+    found = staged(found, f"{base_name}-findings")
+    blocking = found.where(F.col("severity").isin(*validate.BLOCKING_SEVERITIES))
+    final = finalize(rows, kind).drop("_census_type")
+    if strict:
+        final = final.join(blocking.select(DSN).distinct(), DSN, "left_anti")
     provenance = Provenance.draft("", timestamp)
     base = folder.rstrip("/")
     written = []
@@ -253,13 +256,16 @@ def deliver(
         else:
             raise ValueError(f"unknown format {fmt!r}")
         written.append(path)
-    found = validate.findings(rows, census_type, check_linkage=True)
     logs = curation_log.curation_logs(
         datasets, [curation_log.finding_lines(found), *notes], curator, provenance.timestamp[:10]
     )
     curation_log.write_curation_logs(logs, f"{base}/{base_name}_curation_logs")
     write_metadata(datasets, f"{base}/{base_name}_metadata.json")
-    return [*written, f"{base}/{base_name}_curation_logs", f"{base}/{base_name}_metadata.json"]
+    blocking.write.mode("overwrite").json(f"{base}/{base_name}_blocked.json")
+    flagged = validate.flag_rows(rows, kind).drop("_census_type")
+    flagged.write.mode("overwrite").parquet(f"{base}/{base_name}_flagged")
+    reports = ("curation_logs", "metadata.json", "blocked.json", "flagged")
+    return [*written, *(f"{base}/{base_name}_{report}" for report in reports)]
 
 
 def canonical(df: DataFrame) -> DataFrame:

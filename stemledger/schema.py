@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from enum import Enum
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +67,18 @@ class CensusType(str, Enum):
         return cls.SINGLE if text in ("single", "s") else cls.MULTI
 
 
+def is_multi(census_type: CensusType | str | Column) -> Column:
+    """Whether a row is of a multi-census; a column holds the type of each row's dataset as text."""
+    if isinstance(census_type, Column):
+        return ~F.coalesce(census_type.isin("single", "s"), F.lit(False))
+    return F.lit(CensusType.parse(census_type) is CensusType.MULTI)
+
+
+def any_multi(census_type: CensusType | str | Column) -> bool:
+    """Whether rows of a multi-census may occur; with a type per row they may."""
+    return isinstance(census_type, Column) or CensusType.parse(census_type) is CensusType.MULTI
+
+
 class DbhUnit(str, Enum):
     CM = "cm"
     MM = "mm"

@@ -6,6 +6,7 @@ import os
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from stemledger.operators import census, gate, mapping, status
 from stemledger.plans import harmonize as plans
@@ -306,6 +307,23 @@ def test_many_datasets_are_delivered_at_once(spark, folder):
     assert "COUNTRY: C1" in log and "1 trees are absent from the last census" in log
 
 
+def test_delivery_reads_census_types_judges_copies_and_leaves_blocked_datasets_out(spark, folder):
+    rows = [
+        ("one", "P", "A", 2000, "0", 1.0), ("one", "P", "B", 2000, "0", 2.0),
+        ("two", "P", "A", 2000, "0", 1.0), ("two", "P", "A", 2005, "1", 2.0),
+        ("bad", "P", "A", 2000, "0", 1.0), ("bad", "P", "A", 2005, "0", 1.0), ("bad", "P", "A", 2005, "0", 2.0),
+    ]
+    mapped = spark.createDataFrame(rows, "dsn string, PlotID string, TreeID string, YR int, Status string, DBH double")
+    ids = [Submission("one", [], metadata=Metadata(census_type="single")), *(Submission(d, []) for d in ("two", "bad"))]
+    datasets = plans.metadata_table(spark, ids)
+    prepared = census.prepare(census.with_census_type(mapped, datasets), F.col("census_type")).drop("census_type")
+    out = plans.deliver(prepared, datasets, folder, "all", ["parquet"], mapped=mapped)
+    kept = spark.read.parquet(out[0]).select("dsn", "TreeID", "YR", "DBH").collect()
+    assert {tuple(r) for r in kept} == {("one", "A", 2000, 1.0), ("one", "B", 2000, 2.0), ("two", "A", 2005, None)}
+    assert [(r.dsn, r.rule) for r in spark.read.json(out[3]).collect()] == [("bad", "DuplicateTreeWithinPlotYear")]
+    assert [(r.dsn, r.YR, r.flags) for r in spark.read.parquet(out[4]).collect()] == [("two", 2005, ["DeadTreeHasDbh"])]
+
+
 def test_unknown_export_format_is_refused(spark, folder):
     raw = readers.read_table(spark, write(f"{folder}/in.csv", LONG))
     work = plans.harmonize(raw, long_submission())

@@ -2,7 +2,7 @@
 
 import pytest
 
-from stemledger.operators import finalize, validate
+from stemledger.operators import census, finalize, validate
 
 SCHEMA = "dsn string, PlotID string, TreeID string, YR int, PrevYR int, Status string, DBH double"
 
@@ -120,3 +120,21 @@ def test_finalize_is_one_filter_and_keeps_only_valid_rows(spark):
     assert dict(final.dtypes)["Status"] == "int"
     assert final._jdf.queryExecution().optimizedPlan().toString().count("Filter") == 1
     assert finalize.finalize(df, "single").count() == 4
+
+
+def test_each_dataset_is_judged_and_cleaned_by_its_own_census_type(spark):
+    rows = [
+        ("s", "P", "A", 2000, None, "0", 1.0), ("s", "P", "B", 2000, None, "1", None),
+        ("m", "P", "A", 2000, None, "0", 1.0), ("m", "P", "A", 2005, 2000, "0", 2.0),
+        ("m", "P", "B", 2000, None, "1", None), ("n", "P", "A", 2000, None, "0", 1.0),
+    ]
+    types = spark.createDataFrame([("s", "single"), ("m", None), ("x", "single")], "dsn string, census_type string")
+    df = census.with_census_type(spark.createDataFrame(rows, SCHEMA), types)
+    kind = df["census_type"]
+    found = validate.findings(df, kind, check_linkage=True).collect()
+    assert {(f.dsn, f.rule) for f in found} == {("m", "OrphanDeadFirstCensus"), ("n", "NoPersistentTreeId")}
+    assert {(r.dsn, r.TreeID) for r in validate.flag_rows(df, kind).collect()} == {("m", "B")}
+    kept = finalize.finalize(df, kind).collect()
+    assert {(r.dsn, r.TreeID, r.YR) for r in kept} == {("s", "A", 2000), ("s", "B", 2000), ("m", "A", 2005)}
+    linked = {(r.dsn, r.TreeID, r.YR): r.PrevYR for r in census.prepare(df, kind).collect()}
+    assert linked[("m", "A", 2005)] == 2000 and linked[("s", "A", 2000)] is None
