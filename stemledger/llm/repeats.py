@@ -3,7 +3,8 @@
 1. Anchors: in every window of ``WINDOW`` bytes the piece of ``PIECE`` bytes with the smallest hash is chosen, so equal
    windows have equal anchors at equal places. Anchors that stand at one place of one text only are dropped; most of a corpus leaves here.
 2. Around each remaining anchor the segment of its windows is cut out. Equal segments are one, with a count.
-3. Per anchor, the suffixes that start at the windows are sorted by mergesort. Two suffixes are compared by binary search for
+3. Per anchor, the suffixes that start at the windows are sorted by mergesort (a frequent anchor's segments in slices, those
+   of frequent bytes as single windows, which are told apart by digest alone). Two suffixes are compared by binary search for
    their common extension on prefix polynomial hashes, then by the byte behind it. Neighbours that agree on
    a whole window are repeats; their bytes are compared to rule out collisions.
 4. Covered stretches go back to the texts by join, and are removed.
@@ -31,9 +32,12 @@ TOGETHER = 1_000_000
 #: Segments that one task sorts, about, and suffixes that it sorts at once.
 SEGMENTS_TOGETHER = 2_000
 SUFFIXES_TOGETHER = 300_000
-#: Anchors with more distinct segments than this are dealt out further, by the bytes that SLICE windows share.
+#: Anchors with more distinct segments than this are dealt out further, by the bytes that SLICE windows share, and those
+#: bytes, if they have more distinct surroundings than this, by single windows.
 FREQUENT = 4_000
 SLICE = 25
+#: Rows that a map task holds before it hands them on.
+ROWS_TOGETHER = 10_000
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -237,29 +241,32 @@ def _verified(data: np.ndarray, start: np.ndarray, seg: np.ndarray, distance: np
 
 
 def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Anchors of texts; a text longer than TOGETHER goes in blocks that overlap, so that each window is whole in one."""
     for batch in batches:
-        held, size, keys = [], 0, []
+        held, size, keys, begins = [], 0, [], []
 
         def flush() -> pd.DataFrame:
             text, place, first, last, h = anchors(held)
-            of = np.array(keys, dtype=object)[text]
             return pd.DataFrame(
                 {
                     "anchor": h.view(np.int64),
-                    "text_hash": of,
-                    "place": place.astype(np.int32),
+                    "text_hash": np.array(keys, dtype=object)[text],
+                    "place": (place + np.array(begins, dtype=np.int64)[text]).astype(np.int32),
                     "ahead": (place - first).astype(np.int16),
                     "back": (place - last).astype(np.int16),
                 }
             )
 
         for key, text in zip(batch["text_hash"], batch["text"], strict=True):
-            held.append(text.encode("utf-8", "surrogatepass"))
-            keys.append(key)
-            size += len(held[-1])
-            if size > TOGETHER:
-                yield flush()
-                held, size, keys = [], 0, []
+            data = text.encode("utf-8", "surrogatepass")
+            for begin in range(0, max(1, len(data) - WINDOW + 1), TOGETHER):
+                held.append(data[begin : begin + TOGETHER + WINDOW - 1])
+                keys.append(key)
+                begins.append(begin)
+                size += len(held[-1])
+                if size > TOGETHER:
+                    yield flush()
+                    held, size, keys, begins = [], 0, [], []
         if held:
             yield flush()
 
@@ -274,31 +281,47 @@ def _cut_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for a in found:
                 anchor, place, ahead, back = a["anchor"], a["place"], a["ahead"], a["back"]
                 segment = data[place - ahead : place - back + WINDOW]
-                name = hashlib.blake2b(segment + b"%d %d %d" % (anchor, ahead, back), digest_size=16).digest()
+                name = _named(segment, anchor, ahead, back)
                 rows.append((anchor, key, place, ahead, back, name, None if name in seen else segment))
                 seen.add(name)
-            if len(rows) > 10_000:
-                yield pd.DataFrame(rows, columns=names)
-                seen, rows = set(), []
+                if len(rows) > ROWS_TOGETHER:
+                    yield pd.DataFrame(rows, columns=names)
+                    seen, rows = set(), []
     yield pd.DataFrame(rows, columns=names)
 
 
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Segments of very frequent anchors, one row per SLICE distances, dealt out by the bytes that all their windows share.
+def _named(data: bytes, anchor: int, ahead: int, back: int) -> bytes:
+    return hashlib.blake2b(data + b"%d %d %d" % (anchor, ahead, back), digest_size=16).digest()
+
 
-    Equal windows lie in one slice and share its core, so they still meet.
+def _slices(width: int):
+    """Segments into slices of ``width`` distances, with the hash of the bytes that all windows of a slice share.
+
+    Equal windows lie in slices that share these bytes, so they still meet. The slice's bytes are
+    given only where they are first met in a while.
     """
-    names = ["anchor", "ahead", "back", "segment", "bytes", "deal"]
-    for batch in batches:
-        rows = []
-        for anchor, ahead, back, name, data in batch[names[:-1]].itertuples(index=False):
-            for low in range(back - back % SLICE, ahead + 1, SLICE):
-                far, near = min(ahead, low + SLICE - 1), max(back, low)
-                core = data[ahead - low : ahead - low - SLICE + 1 + WINDOW]
-                deal = int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True)
-                rows.append((anchor, far, near, name, data[ahead - far : ahead - near + WINDOW], deal))
+    names = ["anchor", "segment", "ahead", "back", "slice", "bytes", "deal"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, rows = set(), []
+        for batch in batches:
+            given = zip(batch["anchor"], batch["ahead"], batch["back"], batch["segment"], batch["bytes"], strict=True)
+            for anchor, ahead, back, segment, data in given:
+                for low in range(back - back % width, ahead + 1, width):
+                    far, near = min(ahead, low + width - 1), max(back, low)
+                    part = data[ahead - far : ahead - near + WINDOW]
+                    name = _named(part, anchor, far, near)
+                    core = data[ahead - low : ahead - low - width + 1 + WINDOW]
+                    deal = int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True)
+                    rows.append((anchor, segment, far, near, name, None if name in seen else part, deal))
+                    seen.add(name)
+                if len(rows) > ROWS_TOGETHER:
+                    yield pd.DataFrame(rows, columns=names)
+                    seen, rows = set(), []
         yield pd.DataFrame(rows, columns=names)
 
+    return run
+
 
 def _sorted(group: pd.DataFrame) -> pd.DataFrame:
     group = group.drop_duplicates(["segment", "ahead"])
@@ -308,6 +331,27 @@ def _sorted(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"segment": group["segment"][hit], "far": far[hit], "near": near[hit]})
 
 
+def _sliced(segments: DataFrame, width: int) -> DataFrame:
+    return segments.select("anchor", "segment", "ahead", "back", "bytes").mapInPandas(
+        _slices(width), "anchor long, segment binary, ahead short, back short, slice binary, bytes binary, deal long"
+    )
+
+
+def _widest(found: DataFrame) -> DataFrame:
+    """(segment, far, near) with one row per segment: the repeated windows between lie over the anchor, without a gap."""
+    return found.groupBy("segment").agg(F.max("far").alias("far"), F.min("near").alias("near"))
+
+
+def _met_again(slices: DataFrame, found: DataFrame | None) -> DataFrame:
+    """(segment, far, near) of what the segments' slices tell: ``found`` within slices, and slices that two segments have."""
+    ends = F.max("ahead").cast("int").alias("far"), F.min("back").cast("int").alias("near")
+    shared = slices.groupBy("slice").agg(F.min("segment").alias("a"), F.max("segment").alias("b"), *ends)
+    shared = shared.filter("a != b").select("slice", "far", "near")
+    if found is not None:
+        shared = shared.union(found.select(F.col("segment").alias("slice"), "far", "near"))
+    return slices.select("segment", "slice").join(shared, "slice").select("segment", "far", "near")
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """(text_hash, spans) of texts that have repeated windows; spans are array<struct<start, end>> in bytes, not yet merged."""
     given = docs.filter("text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_hash"), "text")
@@ -332,27 +376,37 @@ def spans(docs: DataFrame) -> DataFrame:
         "segments",
     )
     kept = segments.filter("bytes is not null").select("anchor", "ahead", "back", "segment", "bytes")
+    kept = kept.dropDuplicates(["segment"])  # each map task has given the bytes
     frequent = (
         segments.select("anchor", "segment").distinct().groupBy("anchor").count().filter(F.col("count") > FREQUENT)
     )
     frequent = staged(frequent.select("anchor"), "frequent")
-    tasks = max(8, -(-segments.filter("bytes is not null").count() // SEGMENTS_TOGETHER))
     plain = kept.join(frequent, "anchor", "left_anti").withColumn("deal", F.col("anchor"))
-    single = kept.join(frequent, "anchor", "left_semi").mapInPandas(
-        _slices, "anchor long, ahead short, back short, segment binary, bytes binary, deal long"
-    )
-    sorted_ = (
-        plain.unionByName(single)
-        .withColumn("task", F.pmod(F.xxhash64("deal"), F.lit(tasks)))
+    slices = staged(_sliced(kept.join(frequent, "anchor", "left_semi"), SLICE), "slices")
+    cores = slices.select("deal", "slice").distinct().groupBy("deal").count().filter(F.col("count") > FREQUENT)
+    cores = staged(cores.select("deal"), "cores")
+    parts = slices.filter("bytes is not null").drop("segment").withColumnRenamed("slice", "segment")
+    parts = parts.dropDuplicates(["segment"])
+    windows = _sliced(parts.join(cores, "deal", "left_semi"), 1).drop("bytes", "deal")
+    windows = staged(windows, "windows")
+    to_sort = plain.unionByName(parts.join(cores, "deal", "left_anti"))
+    given_bytes = segments.filter("bytes is not null").count() + slices.filter("bytes is not null").count()
+    tasks = max(8, -(-given_bytes // SEGMENTS_TOGETHER))
+    sorted_ = staged(
+        to_sort.withColumn("task", F.pmod(F.xxhash64("deal"), F.lit(tasks)))
         .groupBy("task")
-        .applyInPandas(_sorted, "segment binary, far int, near int")
+        .applyInPandas(_sorted, "segment binary, far int, near int"),
+        "sorted",
     )
+    # back from windows to slices, and from slices to segments
+    in_slices = _widest(sorted_.union(_met_again(windows, None)))
+    in_segments = _widest(sorted_.union(_met_again(slices, in_slices)))
     # equal segments at two places: all their windows are repeats
     twice = segments.groupBy("segment").agg(
         F.min(where).alias("a"), F.max(where).alias("b"), F.max("ahead").alias("far"), F.min("back").alias("near")
     )
     twice = twice.filter("a != b").select("segment", F.col("far").cast("int"), F.col("near").cast("int"))
-    covered = sorted_.union(twice).groupBy("segment").agg(F.max("far").alias("far"), F.min("near").alias("near"))
+    covered = _widest(in_segments.union(twice))
     places = segments.select("segment", "text_hash", "place").join(covered, "segment")
     span = F.struct((F.col("place") - F.col("far")).alias("start"), (F.col("place") - F.col("near") + WINDOW).alias("end"))
     out = places.groupBy("text_hash").agg(F.collect_set(span).alias("spans"))

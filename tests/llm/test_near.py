@@ -94,10 +94,11 @@ def removed(texts):
     return out
 
 
-@pytest.mark.parametrize("most, suffixes", [(4000, 300_000), (3, 500)])
-def test_repeats(spark, monkeypatch, most, suffixes):
+@pytest.mark.parametrize("most, suffixes, together", [(4000, 300_000, 1_000_000), (3, 500, 700), (1, 500, 1_000_000)])
+def test_repeats(spark, monkeypatch, most, suffixes, together):
     monkeypatch.setattr(repeats, "FREQUENT", most)
     monkeypatch.setattr(repeats, "SUFFIXES_TOGETHER", suffixes)
+    monkeypatch.setattr(repeats, "TOGETHER", together)
     rng = random.Random(11)
     noise = lambda n: "".join(rng.choice("abcdefghij é\n") for _ in range(n))
     passages = [noise(n) for n in (100, 350, 380, 420, 900)]
@@ -108,7 +109,7 @@ def test_repeats(spark, monkeypatch, most, suffixes):
     texts += [texts[3], texts[3], None, "", "x" * 399, "y" * 400, "z" * 700, "ab" * 500, noise(3000)[:1500] * 2]
     got = {r["doc_id"]: tuple(r)[1:] for r in repeats.digest(documents(spark, texts)).collect()}
     want = removed(texts)
-    assert [got[i] for i in range(len(texts))] == want
+    assert [got[i] for i in range(len(texts))] == want, (most, suffixes, together)
     assert sum(w[1] for w in want) > 5000
 
 
