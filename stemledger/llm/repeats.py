@@ -362,6 +362,7 @@ def spans(docs: DataFrame) -> DataFrame:
     rows = staged(rows, "anchors")
     where = F.xxhash64("text_hash", "place")
     common = rows.groupBy("anchor").agg(F.min(where).alias("a"), F.max(where).alias("b")).filter("a != b").select("anchor")
+    common = staged(common, "common")  # the join is then not tied to the aggregate's tasks, and a frequent anchor can be split
     # texts with copies are covered whole, but still make their windows repeats elsewhere
     found = rows.join(common, "anchor", "left_semi").groupBy("text_hash").agg(
         F.collect_set(F.struct("anchor", "place", "ahead", "back")).alias("found")
