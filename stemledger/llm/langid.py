@@ -111,7 +111,11 @@ def fit(labelled: DataFrame, max_docs: int = 20_000) -> Model:
 
     Whole texts are counted in tasks; what comes to the driver is one row per language and bucket.
     """
-    sample = labelled.filter("text is not null and lang is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    given, place = labelled.filter("text is not null and lang is not null"), F.xxhash64("doc_id")
+    # hashes are spread evenly: the smallest ones lie in twice their share of the range, so that tasks pass on no more than that
+    share = min(1.0, 2 * max_docs / max(1, given.count()))
+    sample = given.filter(place <= F.lit(-(2**63) + int(share * (2**64 - 1)) if share < 1 else 2**63 - 1))
+    sample = sample.orderBy(place, "doc_id").limit(max_docs)
     sample = sample.select("text", "lang").repartition(16)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
