@@ -1,6 +1,7 @@
 """Personal data in texts: patterns propose, checksums confirm, context words adjust the score.
 
-Base kinds follow fixed rules (see ``KINDS``); ``iban`` is added by this method where its mod-97 sum holds.
+Base kinds follow fixed rules (see ``KINDS``); ``iban`` is added by this method where its mod-97 sum holds at the length
+of its country.
 Each span gets a score: a start value per kind, more if a checksum confirmed it, more if one of the kind's
 context words stands within ``CONTEXT_CHARS`` characters before or after it.
 """
@@ -32,9 +33,22 @@ START_SCORE = {"email": 0.8, "ip": 0.6, "card": 0.4, "phone": 0.6, "iban": 0.4}
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Z0-9])")
+_IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11}")
+_IBAN_REST = re.compile(r"(?: ?[A-Z0-9]){0,20}")
+#: Fixed number of characters of an IBAN by country; codes not listed may have 15 to 34.
+IBAN_LENGTHS = {
+    code: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for code in codes.split()
+}
 
 
 def luhn(digits: str) -> bool:
@@ -65,6 +79,27 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", floor)
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost IBANs whose mod-97 sum holds: what follows may look like more of one, so every end that is not inside a run
+    is tried, the longest first, of which a listed country allows one. The search goes on behind an IBAN, or else behind
+    the start that gave none."""
+    found = _IBAN.search(text)
+    while found:
+        start = found.start()
+        run = text[start : _IBAN_REST.match(text, found.end()).end()]
+        ends = [i for i, c in enumerate(f"{run[1:]} ", 1) if c == " "]
+        if text[start + len(run) : start + len(run) + 1] in _RUN:  # cut at 34 characters
+            ends.pop()
+        only, floor = IBAN_LENGTHS.get(run[:2]), start + 1
+        for end in reversed(ends):
+            iban = run[:end].replace(" ", "")
+            if (len(iban) == only if only else len(iban) >= 15) and mod97(iban):
+                yield start, start + end
+                floor = start + end
+                break
+        found = _IBAN.search(text, floor)
+
+
 def find(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) of all spans by kind, then start; offsets in code points."""
     if not text:
@@ -83,9 +118,7 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
         for m in _PHONE.finditer(text):
             if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                 spans.append(("phone", m.start(), m.end(), False))
-        for m in _IBAN.finditer(text):
-            if mod97(m[0].replace(" ", "")):
-                spans.append(("iban", m.start(), m.end(), True))
+        spans += (("iban", a, b, True) for a, b in ibans(text))
     return [(kind, a, b, _score(text, kind, a, b, confirmed)) for kind, a, b, confirmed in spans]
 
 

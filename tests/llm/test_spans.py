@@ -95,6 +95,24 @@ def test_iban_and_scores():
     assert pii.find("x 10.0.0.1")[0][3] == 0.8
 
 
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("DE89 3704 0044 0532 0130 00 Please pay", ["DE89 3704 0044 0532 0130 00"]),
+        ("DE89370400440532013000 BIC COBADEFF", ["DE89370400440532013000"]),
+        ("DE89370400440532013000 24 hours", ["DE89370400440532013000"]),
+        ("DE89370400440532013000 DE89 3704 0044 0532 0130 00 NO9386011117947 A", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO9386011117947"]),
+        ("REF AB12 DE89370400440532013000 OK", ["DE89370400440532013000"]),
+        ("MT84MALT011000012345MTLCAST001S SWIFT MALTMTMT", ["MT84MALT011000012345MTLCAST001S"]),
+        ("DE89370400440532013000X and XDE89370400440532013000 and DE89370400440532013001 AND MORE", []),
+        ("ZZ22370400440532013000 THEN 1", ["ZZ22370400440532013000"]),
+        ("AA00 " * 20000, []),
+    ],
+)
+def test_an_iban_ends_where_its_sum_holds(text, expected):
+    assert [text[a:b] for kind, a, b, _ in pii.find(text) if kind == "iban"] == expected
+
+
 def test_trigram_queries():
     rules = {r.kind: secrets.trigram_query(r.pattern) for r in secrets.RULES}
     assert rules["hex"] == []
