@@ -178,6 +178,31 @@ def test_neighbours(spark, monkeypatch):
     assert treesearch.search(frame.limit(0), frame).count() == 0
 
 
+def test_neighbours_of_every_length_and_of_few_rows_a_leaf(spark, monkeypatch):
+    monkeypatch.setattr(treesearch, "ROWS_TOGETHER", 100)
+    monkeypatch.setattr(treesearch, "QUERIES_TOGETHER", 7)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=4 if i % 3 else 6)]) for i in range(600)]
+    rows += [(1000 + i, [1.0, 2.0]) for i in range(3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = treesearch.search(frame, frame.filter("vec_id % 20 = 0"), k=20, recall=0.01).collect()
+    ranks = {}
+    for r in got:
+        ranks.setdefault(r["query_id"], []).append(r["rank"])
+    for q in [*range(0, 600, 20), 1000]:
+        assert sorted(ranks[q]) == list(range(1, 3 if q == 1000 else 21)), q
+
+
+def test_a_tree_has_no_empty_leaf_and_a_walk_widens():
+    x = np.concatenate([np.ones((300, 3)), np.random.default_rng(1).normal(size=(60, 3))])
+    tree = treesearch.build(x)
+    held = np.bincount(tree.place(x), minlength=tree.leaves)
+    assert tree.leaves > 1 and held.all()
+    for q in x[::7]:
+        visited = tree.order(q, 1, held, 50)
+        assert held[visited].sum() >= 50 > held[visited[:-1]].sum()
+
+
 def test_languages(spark):
     words = {"en": "the of and to in that", "de": "der die und ist nicht über", "ru": "и не на что это как"}
     rng = random.Random(4)
