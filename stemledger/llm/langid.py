@@ -1,6 +1,6 @@
 """Language identification: script ranges narrow the candidates, Viterbi over per-word scores labels the spans.
 
-Words are runs of letters. Each is scored per language by hashed letter n-grams (1 to 3, with word starts); a language is a candidate
+Words are runs of letters, and of marks behind a letter. Each is scored per language by hashed letter n-grams (1 to 3, with word starts); a language is a candidate
 for a word only if it was seen in the word's script. A switching penalty makes the best path keep a language
 until several words speak against it, so texts of several languages fall into spans.
 """
@@ -59,8 +59,8 @@ class Model:
 
 @cache
 def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """For every code point: whether it is a letter or mark, and its script's number."""
-    word = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+    """For every code point: 1 if it is a letter, 2 if it is a mark, else 0; and its script's number."""
+    word = np.array(["LM".find(unicodedata.category(chr(c))[0]) + 1 for c in range(0x110000)], dtype=np.uint8)
     script = np.zeros(0x110000, dtype=np.uint8)
     for name, first, last in SCRIPTS:
         script[first : last + 1] = NAMES.index(name)
@@ -73,11 +73,21 @@ def _fold(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def _in_words(kind: np.ndarray) -> np.ndarray:
+    """Which characters of these kinds stand in a word: letters, and marks that continue a word."""
+    if not (kind == 2).any():
+        return kind == 1
+    at = np.arange(len(kind))
+    last_letter = np.maximum.accumulate(np.where(kind == 1, at, -1))
+    last_other = np.maximum.accumulate(np.where(kind == 0, at, -1))
+    return (kind > 0) & (last_letter > last_other)
+
+
 def _grams(texts: list[str]) -> tuple[np.ndarray, ...]:
     """Of texts one after another: n-gram buckets by letter (3 columns), word starts, word ends, their text, their script."""
     word, script = _letters()
     codes = np.frombuffer("\n".join(map(_fold, texts)).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    letter = word[codes]
+    letter = _in_words(word[codes])
     c = np.where(letter, codes, 0).astype(np.uint32)
     one = np.concatenate([[0], c[:-1]]).astype(np.uint32)
     two = np.where(one > 0, np.concatenate([[0, 0], c[:-2]])[: len(c)], 0).astype(np.uint32)

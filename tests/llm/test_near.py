@@ -236,3 +236,14 @@ def test_viterbi_is_the_best_path():
             value = lambda p: sum(scores[f + t, c] for t, c in enumerate(p)) - 2.0 * sum(a != b for a, b in zip(p, p[1:], strict=False))  # noqa: E731, B023
             best = max(value(p) for p in np.ndindex(*[3] * n))
             assert abs(value(path[f : f + n]) - best) < 1e-4
+
+
+def test_a_word_needs_a_letter(spark):
+    rows = [(i, text, lang, "s", 0) for i in range(60) for text, lang in [("the of and", "en"), ("der und nicht", "de")]]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    marks = ["12 \u2764\ufe0f 7", "\u0301", "1\ufe0f\u20e3", "\u0301the\u0301 of\ufe0f and"]
+    found = langid.label(marks, model)
+    assert found[:3] == [("und", 0.0, [])] * 3
+    assert found[3][0] == "en" and found[3][2] == [(1, len(marks[3]), "en")]
+    docs = documents(spark, marks)
+    assert [r["text"] for r in langid.accepted(docs, model).collect()] == marks[3:]
