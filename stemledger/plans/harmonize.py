@@ -124,7 +124,7 @@ def export(
     dataset_column: str = DSN,
     source_name: str = "",
 ) -> list[str]:
-    """Write the cleaned dataset in each format, its metadata and its curation log.
+    """Write the cleaned dataset in each format, its metadata and its curation log, and unknown status values if there are any.
 
     The prepared rows are staged once, because the report and every format read
     them. With ``strict`` a blocking finding raises; only the handful of findings
@@ -168,6 +168,9 @@ def export(
         ).collect()
         written[-1:] = sorted(r.path for r in done) or [path]
 
+    if validate.UNKNOWN_STATUS.name in {f.rule for f in report}:
+        written.append(f"{base}/{base_name}_unknown_values.json")
+        validate.unknown_values(work.prepared).write.mode("overwrite").json(written[-1])
     datasets = metadata_table(spark, [submission])
     write_metadata(datasets, f"{base}/{base_name}_metadata.json")
     written.append(f"{base}/{base_name}_metadata.json")
@@ -220,7 +223,8 @@ def deliver(
     (see ``sinks.curation_log``). Duplicates are judged on ``mapped``, the rows
     before they were removed. With ``strict`` the rows of datasets with a blocking
     finding are left out; ``…_blocked.json`` has these findings in any case, and
-    ``…_flagged`` the prepared rows that break a rule. Every output is split by
+    ``…_flagged`` the prepared rows that break a rule, and ``…_unknown_values.json`` every status value outside the
+    vocabulary with its rows counted. Every output is split by
     dataset by Spark; nothing is looped over or collected, whatever the number of
     datasets.
     """
@@ -264,7 +268,8 @@ def deliver(
     blocking.write.mode("overwrite").json(f"{base}/{base_name}_blocked.json")
     flagged = validate.flag_rows(rows, kind).drop("_census_type")
     flagged.write.mode("overwrite").parquet(f"{base}/{base_name}_flagged")
-    reports = ("curation_logs", "metadata.json", "blocked.json", "flagged")
+    validate.unknown_values(rows).write.mode("overwrite").json(f"{base}/{base_name}_unknown_values.json")
+    reports = ("curation_logs", "metadata.json", "blocked.json", "flagged", "unknown_values.json")
     return [*written, *(f"{base}/{base_name}_{report}" for report in reports)]
 
 

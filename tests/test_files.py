@@ -324,6 +324,19 @@ def test_delivery_reads_census_types_judges_copies_and_leaves_blocked_datasets_o
     assert [(r.dsn, r.YR, r.flags) for r in spark.read.parquet(out[4]).collect()] == [("two", 2005, ["DeadTreeHasDbh"])]
 
 
+def test_every_unknown_status_value_is_written_beside_the_outputs(spark, folder):
+    rows = [("one", "P", f"T{i}", 2000, f"odd {i % 70}", 1.0) for i in range(140)]
+    mapped = spark.createDataFrame(rows, "dsn string, PlotID string, TreeID string, YR int, Status string, DBH double")
+    submission = Submission("one", [], metadata=Metadata(census_type="single"))
+    expected = {("one", f"odd {i}", 2) for i in range(70)}
+    written = plans.export(plans.diagnose(mapped, "one", "single"), submission, folder, "x", ["parquet"], strict=False)
+    delivered = plans.deliver(census.prepare(mapped), plans.metadata_table(spark, [submission]), folder, "all", ["parquet"])
+    for files, name in ((written, "x"), (delivered, "all")):
+        path = f"{folder}/{name}_unknown_values.json"
+        assert path in files
+        assert {(r.dsn, r.Status, r.row_count) for r in spark.read.json(path).collect()} == expected
+
+
 def test_unknown_export_format_is_refused(spark, folder):
     raw = readers.read_table(spark, write(f"{folder}/in.csv", LONG))
     work = plans.harmonize(raw, long_submission())
