@@ -175,7 +175,8 @@ def _count(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sift(buckets: int):
-    """Of a pack: the size of every document, and the rarest shared shingles of those that can link, by bucket."""
+    """Of a pack: the size of every document, the rarest shared shingles of those that can link, by bucket and each once for
+    its smallest document, and edges from the other documents to that one."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         about = group[group["rids"].notna()].iloc[0]
@@ -195,32 +196,40 @@ def _sift(buckets: int):
         tokens = tokens[nth < (shared - least + 1)[tokens["doc"]]]
         places = np.empty(len(tokens), dtype=PLACE)
         places["hash"], places["doc"] = tokens["hash"], rid[tokens["doc"]]
+        places, edges = _led(places)  # one place a shingle leaves the pack
         of = (places["hash"] >> np.uint64(40)) % np.uint64(buckets)
         order = np.argsort(of, kind="stable")
         cut = np.searchsorted(of[order], np.arange(buckets + 1))
         places = places[order]
         held = [(b, places[cut[b] : cut[b + 1]].tobytes()) for b in range(buckets) if cut[b] < cut[b + 1]]
-        none = [None] * len(held)
+        none, tied = [None] * len(held), [None] * len(edges)
         return pd.DataFrame(
             {
-                "rid": pd.array([*rid, *none], dtype="Int64"),
-                "n": pd.array([*n, *none], dtype="Int64"),
-                "bucket": pd.array([None] * len(rid) + [b for b, _ in held], dtype="Int32"),
-                "places": [None] * len(rid) + [p for _, p in held],
+                "rid": pd.array([*rid, *none, *tied], dtype="Int64"),
+                "n": pd.array([*n, *none, *tied], dtype="Int64"),
+                "bucket": pd.array([None] * len(rid) + [b for b, _ in held] + tied, dtype="Int32"),
+                "places": [None] * len(rid) + [p for _, p in held] + tied,
+                "a": pd.array([None] * len(rid) + none + list(edges[:, 0]), dtype="Int64"),
+                "b": pd.array([None] * len(rid) + none + list(edges[:, 1]), dtype="Int64"),
             }
         )
 
     return run
 
 
-def _tie(group: pd.DataFrame) -> pd.DataFrame:
-    """Edges from documents with a shingle of this bucket to the smallest document that has it."""
-    places = np.concatenate([np.frombuffer(p, dtype=PLACE) for p in group["places"]])
+def _led(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the smallest document of every shingle, and edges from the other documents to it."""
     places = places[np.lexsort((places["doc"], places["hash"]))]
-    first = np.flatnonzero(np.append(True, places["hash"][1:] != places["hash"][:-1]))
+    first = np.flatnonzero(np.append(True, places["hash"][1:] != places["hash"][:-1])[: len(places)])
     lead = np.repeat(places["doc"][first], np.diff(np.append(first, len(places))))
     edges = np.unique(np.stack([places["doc"], lead], axis=1), axis=0)
-    return pd.DataFrame(edges[edges[:, 0] != edges[:, 1]], columns=["a", "b"])
+    return places[first], edges[edges[:, 0] != edges[:, 1]]
+
+
+def _tie(group: pd.DataFrame) -> pd.DataFrame:
+    """Edges from documents with a shingle of this bucket to the smallest document that has it."""
+    places = np.concatenate([np.frombuffer(p, dtype=PLACE) for p in group["places"]])
+    return pd.DataFrame(_led(places)[1], columns=["a", "b"])
 
 
 class Tree:
@@ -370,9 +379,14 @@ def join(docs: DataFrame) -> DataFrame:
     )
     counted = packs.groupBy("bucket").applyInPandas(_count, "pack string, tokens binary, rids binary, sizes binary")
     sifted = staged(
-        counted.groupBy("pack").applyInPandas(_sift(buckets), "rid long, n long, bucket int, places binary"), "sifted"
+        counted.groupBy("pack").applyInPandas(
+            _sift(buckets), "rid long, n long, bucket int, places binary, a long, b long"
+        ),
+        "sifted",
     )
-    ties = sifted.filter("bucket is not null").groupBy("bucket").applyInPandas(_tie, "a long, b long")
+    led = sifted.filter("bucket is not null").select("bucket", "places")
+    ties = led.groupBy("bucket").applyInPandas(_tie, "a long, b long")
+    ties = ties.union(sifted.filter("a is not null").select("a", "b"))
     coarse = components(ties, "coarse").withColumnsRenamed({"node": "rid", "component": "unit"})
 
     sizes = coarse.groupBy("unit").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import documents, odd_documents
 from stemledger.llm import cosine, langid, nearsets, repeats, treesearch
@@ -247,3 +248,18 @@ def test_a_word_needs_a_letter(spark):
     assert found[3][0] == "en" and found[3][2] == [(1, len(marks[3]), "en")]
     docs = documents(spark, marks)
     assert [r["text"] for r in langid.accepted(docs, model).collect()] == marks[3:]
+
+
+def test_a_pack_sends_one_place_per_shared_shingle():
+    tokens = np.array([(5, d, 50) for d in range(50)], dtype=nearsets.COUNTED)
+    sizes, rids = np.ones(50, dtype=np.int64), np.arange(100, 150, dtype=np.int64)
+    none = np.zeros(0, dtype=nearsets.TOKEN).tobytes()
+    group = pd.DataFrame(
+        [("p", none, rids.tobytes(), sizes.tobytes()), ("p", tokens.tobytes(), None, None)],
+        columns=["pack", "tokens", "rids", "sizes"],
+    )
+    out = nearsets._sift(4)(group)
+    places = np.concatenate([np.frombuffer(p, dtype=nearsets.PLACE) for p in out["places"].dropna()])
+    assert places.tolist() == [(5, 100)]
+    tied = out[out["a"].notna()]
+    assert set(zip(tied["a"], tied["b"], strict=True)) == {(d, 100) for d in range(101, 150)}
