@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemledger.llm import cosine, langid, mixing, nearsets, packing, pii, repeats, secrets, treesearch, warc
+from stemledger.llm import (
+    alignment, cosine, langid, mixing, nearsets, packing, pii, repeats, rules, secrets, treesearch, warc, whitening,
+)
 from stemledger.llm.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,10 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -132,3 +134,61 @@ SELECT doc_id, source, n_tokens, CAST(e.epoch AS BIGINT) AS epoch, block,
        CAST('0x' || substr(md5(concat_ws('|', 'mix', e.epoch, s, block)), 1, 15) AS BIGINT) AS block_order
 FROM counted, LATERAL (SELECT unnest(range(copies)) AS epoch) e
 """
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")), rules.POLICIES[rules.CURRENT])
+    base_failed = F.col("failed").bitwiseAND(F.lit(rules.BASE)) != 0
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return kept.select("doc_id", *base, base_failed.alias("base_failed"), "kept", "failed")
+
+
+# bits and limits as in rules.RULES, written out
+ORACLES["op12_quality"] = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
+runs AS (
+  SELECT doc_id, i, concat_ws(' ', word, lead(word, 1) OVER place, lead(word, 2) OVER place) AS run,
+         lead(word, 2) OVER place IS NOT NULL AS whole
+  FROM words WINDOW place AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS n FROM runs WHERE whole) WHERE n > 1),
+repeated AS (
+  SELECT doc_id, count(DISTINCT k) AS n
+  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM docs),
+counted_lines AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+measured AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(l.n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+         coalesce(l.n_lines, 0) AS n_lines, length(regexp_replace(t, '[^0-9]', '', 'g')) AS n_digits,
+         length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals, length(regexp_replace(t, '[^a-z]', '', 'g')) AS n_small
+  FROM docs d LEFT JOIN counted_lines l USING (doc_id) LEFT JOIN repeated r USING (doc_id)),
+ruled AS (
+  SELECT *, CAST(
+      (n_words < 50)::INT * 1 + (100 * n_repeat_words > 50 * n_words)::INT * 2 + (10 * n_symbols > n_words)::INT * 4
+      + (n_dup_lines > 5 AND 10 * n_dup_lines > 3 * n_lines)::INT * 8 + (word_chars < 2 * n_words)::INT * 16
+      + (word_chars > 20 * n_words)::INT * 32 + (2 * n_digits > word_chars)::INT * 64 + (n_capitals > n_small)::INT * 128
+    AS BIGINT) AS failed
+  FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failed = 0 AS kept, failed
+FROM ruled
+"""
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.alignment(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
