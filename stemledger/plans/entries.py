@@ -26,10 +26,11 @@ from stemledger.operators import (
     validate,
 )
 from stemledger.plans.harmonize import harmonize
+from stemledger.plans.staging import new_path
 from stemledger.plans.submission import Metadata, Submission
 from stemledger.schema import DBH, PLOT, PREV_YEAR, STATUS, TREE, YEAR, conform
 from stemledger.sinks import curation_log
-from stemledger.sources.readers import preview, read_table, row_count
+from stemledger.sources.readers import header_catalogue, preview, read_table, row_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -171,6 +172,45 @@ def count_rows(spark, sf_dir):
     return row_count(table(spark, sf_dir, "lineitem"))
 
 
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    """``lineitem`` as text files of two layouts: other columns in another order, and one spelled otherwise."""
+    path = new_path(spark, "layouts")
+    df = table(spark, sf_dir, "lineitem")
+    halves = {
+        "even": ["l_orderkey", "l_linenumber", "l_shipdate", "l_returnflag"],
+        "odd": ["l_suppkey", "l_returnflag", "l_linenumber AS L_LineNumber", "l_orderkey"],
+    }
+    for rest, (half, columns) in enumerate(halves.items()):
+        part = df.where(F.col("l_linenumber") % 2 == rest).selectExpr(*columns)
+        part.write.option("header", True).csv(f"{path}/half={half}")
+    return path
+
+
+@query(
+    """SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber,
+              CASE WHEN l_linenumber % 2 = 0 THEN CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS l_shipdate, l_returnflag,
+              CASE WHEN l_linenumber % 2 = 1 THEN CAST(l_suppkey AS VARCHAR) END AS l_suppkey,
+              CASE WHEN l_linenumber % 2 = 1 THEN 'odd' ELSE 'even' END AS half FROM lineitem"""
+)
+def scan_folder(spark, sf_dir):
+    df = read_table(spark, _folder(spark, sf_dir), "csv")
+    return df.withColumn("l_shipdate", F.substring("l_shipdate", 1, 10))
+
+
+@query(
+    """SELECT DISTINCT half, CAST(ordinal AS INT) AS ordinal, header FROM (
+         SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'even' ELSE 'odd' END AS half,
+                unnest([0, 1, 2, 3]) AS ordinal,
+                unnest(CASE WHEN l_linenumber % 2 = 0 THEN ['l_orderkey', 'l_linenumber', 'l_shipdate', 'l_returnflag']
+                            ELSE ['l_suppkey', 'l_returnflag', 'L_LineNumber', 'l_orderkey'] END) AS header
+         FROM lineitem)"""
+)
+def catalogue_folder(spark, sf_dir):
+    found = header_catalogue(spark, _folder(spark, sf_dir))
+    half = F.regexp_extract("dsn", "half=([a-z]+)/", 1).alias("half")
+    return found.select(half, "ordinal", "header").distinct()
+
+
 @query("SELECT count(*) AS n_rows, count(*) = 0 AS is_empty FROM events")
 def gate_empty(spark, sf_dir):
     counted = row_count(table(spark, sf_dir, "events"))

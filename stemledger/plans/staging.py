@@ -22,13 +22,21 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, deleted when the application ends."""
+    name = re.sub(r"\W+", "_", label)
+    path = f"{shared_folder(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Rows written once to the shared folder and read back.
 
     Unlike a cache it survives lost executors, and unlike a checkpoint of rows
     its readers still fetch only the columns they need.
     """
-    name = re.sub(r"\W+", "_", label)
-    path = f"{shared_folder(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import csv
-import io
-from collections.abc import Iterator
 from pathlib import PurePosixPath
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemledger.functions.values import col
+from stemledger.sources.folders import SEPARATORS, is_folder, layouts, merged_header, read_folder, text_reader
 from stemledger.sources.workbook import read_workbook, workbook_header
 
-# File extensions and how they are read.
-SEPARATORS = {"csv": ",", "tsv": "\t"}
 FORMATS = (*SEPARATORS, "parquet", "xlsx")
 
 
@@ -38,43 +33,35 @@ def read_table(
 
     Text formats come as strings: types are given once, when the columns are
     mapped, so nothing is inferred from a sample and no extra pass is made. Set
-    ``multiline`` for quoted line breaks; such files cannot be split.
+    ``multiline`` for quoted line breaks; such files cannot be split. The files of
+    a folder may differ in their columns and the order of these: values are taken
+    by name.
     """
     found = table_format(path, fmt)
     if found == "parquet":
         return spark.read.parquet(path)
     if found == "xlsx":
         return read_workbook(spark, path)
-    reader = _text_reader(spark, found, multiline).option("header", True)
-    if comment:
-        reader = reader.option("comment", comment)
-    return reader.csv(path)
-
-
-def _text_reader(spark: SparkSession, fmt: str, multiline: bool):
-    # A quote inside a quoted value is written twice, not escaped by a backslash. An
-    # empty cell is null but a quoted empty one is empty text, so null needs a mark
-    # of its own that no cell holds.
-    return (
-        spark.read.option("sep", SEPARATORS[fmt])
-        .option("escape", '"')
-        .option("nullValue", "\0")
-        .option("multiLine", multiline)
-    )
+    if is_folder(spark, path):
+        return read_folder(spark, path, found, multiline, comment)
+    return text_reader(spark, found, multiline, comment).option("header", True).csv(path)
 
 
 def raw_header(spark: SparkSession, path: str, fmt: str | None = None) -> list[str]:
     """The header line as it stands in the file, blanks and repeats included.
 
     Spark renames blank and repeated headers while reading, so the structural
-    gate needs this. Only the first line is read.
+    gate needs this. Only the first line is read. Of a folder the names of all
+    files are given, each as often as the file that repeats it most.
     """
     found = table_format(path, fmt)
     if found == "parquet":
         return spark.read.parquet(path).columns
     if found == "xlsx":
         return workbook_header(spark, path)
-    first = _text_reader(spark, found, False).option("header", False).csv(path).first()
+    if is_folder(spark, path):
+        return merged_header(layouts(spark, path, found))
+    first = text_reader(spark, found).option("header", False).csv(path).first()
     return [] if first is None else [value or "" for value in first]
 
 
@@ -93,36 +80,9 @@ def row_count(df: DataFrame) -> DataFrame:
 
 
 def header_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """``(dsn, ordinal, header)`` of every CSV or TSV file under a path.
+    """``(dsn, ordinal, header)`` of every CSV or TSV file below a path.
 
-    Spark lists the files and spreads them over tasks; each task opens its files
-    and reads one line. File contents are not loaded.
+    A file is named by its path below the root, so files of the same name in two
+    folders stay apart.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.[ct]sv")
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .select("path")
-    )
-    return files.mapInPandas(_read_headers, "dsn string, ordinal int, header string")
-
-
-def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
-
-    for batch in batches:
-        for path in batch["path"]:
-            uri = path.replace("file:/", "file:///", 1) if not path.startswith("file://") else path
-            filesystem, local = fs.FileSystem.from_uri(uri)
-            with filesystem.open_input_stream(local) as raw:
-                line = io.TextIOWrapper(raw, encoding="utf-8-sig").readline()
-            separator = SEPARATORS[PurePosixPath(path).suffix.lstrip(".")]
-            headers = next(csv.reader([line], delimiter=separator), [])
-            yield pd.DataFrame(
-                {
-                    "dsn": PurePosixPath(path).stem,
-                    "ordinal": pd.Series(range(len(headers)), dtype="int32"),
-                    "header": headers,
-                }
-            )
+    return layouts(spark, path, nested=True).select("dsn", F.posexplode("header").alias("ordinal", "header"))

@@ -30,7 +30,7 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """
     files = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.xlsx")
+        .option("pathGlobFilter", "*.[xX][lL][sS][xX]")
         .load(path)
         .select("path", "content")
     )
@@ -58,7 +58,7 @@ def read_workbook(spark: SparkSession, path: str) -> DataFrame:
 
 def workbook_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """``(dsn, ordinal, header)`` of every workbook under a path, for bulk mapping."""
-    stem = F.regexp_extract("file", r"([^/]+)\.xlsx$", 1)
+    stem = F.regexp_extract("file", r"(?i)([^/]+)\.xlsx$", 1)
     return (
         read_workbooks(spark, path)
         .where(F.col("row") == 0)
