@@ -26,10 +26,12 @@ from stemledger.schema import (
     ROW_KEYS,
     STATUS,
     TREE_KEYS,
+    UNREAD,
     YEAR,
     CensusType,
     any_multi,
     is_multi,
+    is_quarantined,
 )
 
 
@@ -71,6 +73,14 @@ NO_LINKED_TREES = Rule(
     "NoPersistentTreeId", "Escalate", "EscalateToCurationLog", True,
     "trees, and none of them is found in two censuses; tree ids may not be persistent.",
 )
+UNREAD_YEAR = Rule(
+    "UnreadableYear", "RequiresInput", "ReviewAndConfirm", False,
+    "rows have a year that cannot be read; they are set aside.",
+)
+UNREAD_VALUE = Rule(
+    "UnreadableValue", "AutoRecode", "RecodeToMissing", False,
+    "rows have a number that cannot be read; it becomes missing.",
+)
 RULES = (
     DUPLICATE, UNKNOWN_STATUS, DEAD_WITH_DBH, RECRUIT_WITHOUT_DBH, ORPHAN_DEAD,
     RECRUIT_AT_FIRST_YEAR,
@@ -211,6 +221,33 @@ def duplicate_findings(df: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     )
 
 
+def unread_findings(unread: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Findings, in the form of ``findings``, on rows with unreadable values (see ``schema.unread_rows``)."""
+    rules = F.array(
+        *[
+            F.struct(
+                F.lit(len(RULES) + 2 + i).alias("position"),
+                F.lit(rule.name).alias("rule"),
+                F.lit(rule.severity).alias("severity"),
+                F.lit(rule.action).alias("action"),
+                count.alias("row_count"),
+                F.concat_ws(" ", count.cast("string"), F.lit(rule.text)).alias("message"),
+            )
+            for i, (rule, count) in enumerate(((UNREAD_YEAR, F.col("_years")), (UNREAD_VALUE, F.col("_values"))))
+        ]
+    )
+    counted = unread.groupBy(*by).agg(
+        F.count_if(is_quarantined()).alias("_years"), F.count_if(~is_quarantined()).alias("_values")
+    )
+    return counted.select(*by, F.inline(rules)).where(F.col("row_count") > 0)
+
+
+def unread_values(unread: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """``(by, field, value, row_count)`` of every text that could not be read."""
+    texts = unread.select(*by, F.explode(UNREAD).alias("field", "value"))
+    return texts.groupBy(*by, "field", "value").agg(F.count(F.lit(1)).alias("row_count"))
+
+
 def with_unknown_values(found: DataFrame, df: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Complete the message about unknown statuses with the number of values.
 

@@ -28,7 +28,7 @@ from stemledger.operators import (
 from stemledger.plans.harmonize import harmonize
 from stemledger.plans.staging import new_path
 from stemledger.plans.submission import Metadata, Submission
-from stemledger.schema import DBH, PLOT, PREV_YEAR, STATUS, TREE, YEAR, conform
+from stemledger.schema import DBH, PLOT, PREV_YEAR, STATUS, TREE, UNREAD, YEAR, conform, readable_rows, unread_rows
 from stemledger.sinks import curation_log
 from stemledger.sources.readers import header_catalogue, preview, read_table, row_count
 
@@ -435,6 +435,81 @@ def dbh_normalise(spark, sf_dir):
     return conform(df)
 
 
+#: Years and diameters as a contributor may write them; a tenth of the years cannot be read.
+_YEAR_TEXT = """CASE l_orderkey % 10 WHEN 0 THEN CASE l_linenumber % 3 WHEN 0 THEN 'n.d.' WHEN 1 THEN 'unknown' ELSE '19 99x' END
+  WHEN 1 THEN concat(CAST({year} AS {text}), '.0') WHEN 2 THEN NULL ELSE CAST({year} AS {text}) END AS {q}YR{q}"""
+_DIAMETER_TEXT = """CASE l_orderkey % 7 WHEN 0 THEN 'ca. 12' WHEN 1 THEN 'NA' WHEN 2 THEN '' ELSE CAST(l_quantity AS {text}) END AS {q}DBH{q}"""
+TEXT_ROWS = """texts AS (
+  SELECT *, "YR" IS NOT NULL AND TRY_CAST("YR" AS DOUBLE) IS NULL AS bad_year, "DBH" = 'ca. 12' AS bad_dbh FROM (
+    SELECT 'D' || CAST(l_linenumber % 4 AS VARCHAR) AS dsn, 'P' || CAST(l_suppkey % 10 AS VARCHAR) AS "PlotID",
+           'T' || CAST(l_partkey AS VARCHAR) AS "TreeID", {texts}, l_orderkey, l_linenumber, l_shipdate, l_extendedprice
+    FROM lineitem)),
+read AS (
+  SELECT * REPLACE (CAST(TRY_CAST("YR" AS DOUBLE) AS INT) AS "YR", TRY_CAST("DBH" AS DOUBLE) AS "DBH"),
+         "YR" AS year_text FROM texts)""".format(
+    texts=f"{_YEAR_TEXT}, {_DIAMETER_TEXT}".format(year="CAST(year(l_shipdate) AS INT)", text="VARCHAR", q='"')
+)
+
+
+def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The census view with years and diameters as text, some of them unreadable."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "concat('D', l_linenumber % 4) AS dsn", "concat('P', l_suppkey % 10) AS PlotID", "concat('T', l_partkey) AS TreeID",
+        *[text.format(year="year(l_shipdate)", text="STRING", q="") for text in (_YEAR_TEXT, _DIAMETER_TEXT)], *TIE,
+    )
+
+
+@query(
+    """SELECT dsn, "PlotID", "TreeID", "YR", "DBH", l_orderkey, l_linenumber,
+              concat_ws(',', CASE WHEN bad_dbh THEN 'DBH=ca. 12' END, CASE WHEN bad_year THEN 'YR=' || year_text END) AS unread
+       FROM read WHERE bad_year OR bad_dbh""",
+    TEXT_ROWS,
+)
+def conform_text(spark, sf_dir):
+    """Rows with values that cannot be read, their texts kept."""
+    texts = F.transform(F.map_entries(UNREAD), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    found = unread_rows(text_rows(spark, sf_dir))
+    return found.select(*KEY, DBH, "l_orderkey", "l_linenumber", F.array_join(F.array_sort(texts), ",").alias("unread"))
+
+
+@query(
+    """SELECT dsn, "PlotID", "TreeID", "YR", "DBH", "PrevYR", l_orderkey, l_linenumber FROM (
+         SELECT *, lag("YR") OVER (PARTITION BY dsn, "PlotID", "TreeID" ORDER BY "YR" NULLS FIRST) AS "PrevYR" FROM (
+           SELECT *, row_number() OVER (PARTITION BY dsn, "PlotID", "TreeID", "YR"
+             ORDER BY l_orderkey, l_linenumber, l_shipdate, l_extendedprice) AS rn FROM read WHERE NOT coalesce(bad_year, false))
+         WHERE rn = 1)""",
+    TEXT_ROWS,
+)
+def prepare_text(spark, sf_dir):
+    """Readable rows prepared; a null year is a group of its own, an unreadable one is in none."""
+    ready = census.prepare(conform(readable_rows(text_rows(spark, sf_dir))), tie_break=TIE)
+    return ready.select(*KEY, DBH, PREV_YEAR, "l_orderkey", "l_linenumber")
+
+
+@query(
+    """SELECT dsn, CAST(8 AS INT) AS position, 'UnreadableYear' AS rule, 'RequiresInput' AS severity,
+              'ReviewAndConfirm' AS action, count(*) AS row_count,
+              CAST(count(*) AS VARCHAR) || ' rows have a year that cannot be read; they are set aside.' AS message
+       FROM read WHERE bad_year GROUP BY dsn
+       UNION ALL
+       SELECT dsn, 9, 'UnreadableValue', 'AutoRecode', 'RecodeToMissing', count(*),
+              CAST(count(*) AS VARCHAR) || ' rows have a number that cannot be read; it becomes missing.'
+       FROM read WHERE bad_dbh AND NOT coalesce(bad_year, false) GROUP BY dsn""",
+    TEXT_ROWS,
+)
+def unread_findings(spark, sf_dir):
+    return validate.unread_findings(unread_rows(text_rows(spark, sf_dir)))
+
+
+@query(
+    """SELECT dsn, 'YR' AS field, year_text AS "value", count(*) AS row_count FROM read WHERE bad_year GROUP BY ALL
+       UNION ALL SELECT dsn, 'DBH', 'ca. 12', count(*) FROM read WHERE bad_dbh GROUP BY ALL""",
+    TEXT_ROWS,
+)
+def unread_values(spark, sf_dir):
+    return validate.unread_values(unread_rows(text_rows(spark, sf_dir)))
+
+
 _COUNTRIES = ["Brazil", "PERU", "côte d'Ivoire", "United States", "Atlantis"]
 _COUNTRY = "CASE c_nationkey % 5 " + " ".join(
     "WHEN {} THEN '{}'".format(i, name.replace("'", "{q}")) for i, name in enumerate(_COUNTRIES)

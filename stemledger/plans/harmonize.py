@@ -23,32 +23,50 @@ from stemledger.schema import (
     STATUS,
     CensusType,
     conform,
+    is_quarantined,
+    readable_rows,
+    unread_rows,
 )
 from stemledger.sinks import curation_log, writers
 from stemledger.sinks.provenance import Provenance, draft_name
 
 
 def map_long(raw: DataFrame, submission: Submission) -> DataFrame:
-    """Raw long table to canonical columns and types; duplicates are still there."""
-    mapped = mapping.map_fields(raw, submission.exprs, submission.dsn)
-    return _coded(mapped, submission)
+    """Raw long table to canonical columns and types; duplicates are still there, rows whose year cannot be read are not."""
+    return _typed(_long(raw, submission), submission)
 
 
 def map_wide(raw: DataFrame, submission: Submission) -> DataFrame:
     """Raw wide table to canonical long rows. Id columns and looked-up columns are kept."""
-    mapped = mapping.map_fields(raw, submission.exprs, submission.dsn)
-    ids = [e.target for e in submission.exprs] + [DSN]
-    return _coded(reshape.melt_wide(mapped, ids, submission.wide_pairs), submission)
+    return _typed(_wide(raw, submission), submission)
 
 
 def map_submission(raw: DataFrame, submission: Submission) -> DataFrame:
     return (map_wide if submission.wide_pairs else map_long)(raw, submission)
 
 
+def unread_submission(raw: DataFrame, submission: Submission) -> DataFrame:
+    """The rows with values that cannot be read, their texts in ``_unread``; ``map_submission`` has none with such a year."""
+    mapped = (_wide if submission.wide_pairs else _long)(raw, submission)
+    return mapping.scale_dbh(unread_rows(mapped), submission.metadata.dbh_unit)
+
+
+def _long(raw: DataFrame, submission: Submission) -> DataFrame:
+    return _coded(mapping.map_fields(raw, submission.exprs, submission.dsn), submission)
+
+
+def _wide(raw: DataFrame, submission: Submission) -> DataFrame:
+    mapped = mapping.map_fields(raw, submission.exprs, submission.dsn)
+    ids = [e.target for e in submission.exprs] + [DSN]
+    return _coded(reshape.melt_wide(mapped, ids, submission.wide_pairs), submission)
+
+
 def _coded(mapped: DataFrame, submission: Submission) -> DataFrame:
-    if STATUS in mapped.columns:
-        mapped = mapping.remap_status(mapped, submission.codes)
-    return mapping.scale_dbh(conform(mapped), submission.metadata.dbh_unit)
+    return mapping.remap_status(mapped, submission.codes) if STATUS in mapped.columns else mapped
+
+
+def _typed(mapped: DataFrame, submission: Submission) -> DataFrame:
+    return mapping.scale_dbh(conform(readable_rows(mapped)), submission.metadata.dbh_unit)
 
 
 @dataclass(frozen=True)
@@ -61,12 +79,20 @@ class Harmonized:
     deduplicated: bool = True
     #: Treatment of disappeared trees if the status was derived, else None.
     disappeared: str | None = None
+    #: Rows with values that cannot be read (see ``schema.unread_rows``); those without a year are in no other table.
+    unread: DataFrame | None = None
+
+    def quarantined(self) -> DataFrame | None:
+        """Rows set aside because their year cannot be read."""
+        return None if self.unread is None else self.unread.where(is_quarantined())
 
     def findings(self) -> DataFrame:
         """Findings on the prepared rows; duplicates are judged before they were removed."""
         found = validate.findings(self.prepared, self.census_type, check_linkage=True)
         found = found.where(F.col("rule") != validate.DUPLICATE.name)
         found = found.unionByName(validate.duplicate_findings(self.mapped))
+        if self.unread is not None:
+            found = found.unionByName(validate.unread_findings(self.unread))
         return validate.with_unknown_values(found, self.prepared)
 
     def final(self) -> DataFrame:
@@ -99,13 +125,15 @@ def harmonize(
             alive = F.when(F.col(DBH).isNotNull(), ALIVE).otherwise(MISSING)
             prepared = prepared.withColumn(STATUS, alive)
     prepared = prepared.withColumn(DSN, F.lit(submission.dsn))
-    return Harmonized(mapped, prepared, census_type, disappeared=derived)
+    unread = unread_submission(raw, submission)
+    return Harmonized(mapped, prepared, census_type, disappeared=derived, unread=unread)
 
 
 def diagnose(raw: DataFrame, dsn: str, census_type: CensusType | str = "multi") -> Harmonized:
     """A table that already has canonical columns: only validated, never changed."""
-    rows = conform(raw if DSN in raw.columns else raw.withColumn(DSN, F.lit(dsn)))
-    return Harmonized(rows, rows, CensusType.parse(census_type), deduplicated=False)
+    raw = raw if DSN in raw.columns else raw.withColumn(DSN, F.lit(dsn))
+    rows = conform(readable_rows(raw))
+    return Harmonized(rows, rows, CensusType.parse(census_type), deduplicated=False, unread=unread_rows(raw))
 
 
 class BlockedExport(Exception):
@@ -171,6 +199,8 @@ def export(
     if validate.UNKNOWN_STATUS.name in {f.rule for f in report}:
         written.append(f"{base}/{base_name}_unknown_values.json")
         validate.unknown_values(work.prepared).write.mode("overwrite").json(written[-1])
+    if {validate.UNREAD_YEAR.name, validate.UNREAD_VALUE.name} & {f.rule for f in report}:
+        written += _write_unread(work.unread, f"{base}/{base_name}")
     datasets = metadata_table(spark, [submission])
     write_metadata(datasets, f"{base}/{base_name}_metadata.json")
     written.append(f"{base}/{base_name}_metadata.json")
@@ -186,6 +216,14 @@ def export(
     return [*written, log_path]
 
 
+def _write_unread(unread: DataFrame, base: str) -> list[str]:
+    """The rows with unreadable values, and their texts with the rows that have each."""
+    paths = [f"{base}_unread", f"{base}_unread_values.json"]
+    unread.write.mode("overwrite").parquet(paths[0])
+    validate.unread_values(unread).write.mode("overwrite").json(paths[1])
+    return paths
+
+
 def _declared_lines(spark: SparkSession, submission: Submission, source_name: str) -> DataFrame:
     """Log lines from the submission itself: its file, and notes on status codes."""
     lines = [("SOURCE FORMAT", 0, source_name)] if source_name else []
@@ -215,6 +253,7 @@ def deliver(
     notes: Sequence[DataFrame] = (),
     mapped: DataFrame | None = None,
     strict: bool = True,
+    unread: DataFrame | None = None,
 ) -> list[str]:
     """Write many datasets from one table of prepared rows.
 
@@ -224,8 +263,8 @@ def deliver(
     before they were removed. With ``strict`` the rows of datasets with a blocking
     finding are left out; ``…_blocked.json`` has these findings in any case, and
     ``…_flagged`` the prepared rows that break a rule, and ``…_unknown_values.json`` every status value outside the
-    vocabulary with its rows counted. Every output is split by
-    dataset by Spark; nothing is looped over or collected, whatever the number of
+    vocabulary with its rows counted. ``unread`` are rows with values that could not be read; they are judged and written
+    too. Every output is split by dataset by Spark; nothing is looped over or collected, whatever the number of
     datasets.
     """
     kind: CensusType | str | Column = census_type or CensusType.MULTI
@@ -237,6 +276,8 @@ def deliver(
     if mapped is not None:
         found = found.where(F.col("rule") != validate.DUPLICATE.name)
         found = found.unionByName(validate.duplicate_findings(mapped))
+    if unread is not None:
+        found = found.unionByName(validate.unread_findings(unread))
     found = staged(found, f"{base_name}-findings")
     blocking = found.where(F.col("severity").isin(*validate.BLOCKING_SEVERITIES))
     final = finalize(rows, kind).drop("_census_type")
@@ -270,7 +311,8 @@ def deliver(
     flagged.write.mode("overwrite").parquet(f"{base}/{base_name}_flagged")
     validate.unknown_values(rows).write.mode("overwrite").json(f"{base}/{base_name}_unknown_values.json")
     reports = ("curation_logs", "metadata.json", "blocked.json", "flagged", "unknown_values.json")
-    return [*written, *(f"{base}/{base_name}_{report}" for report in reports)]
+    written += [f"{base}/{base_name}_{report}" for report in reports]
+    return written if unread is None else [*written, *_write_unread(unread, f"{base}/{base_name}")]
 
 
 def canonical(df: DataFrame) -> DataFrame:
@@ -290,4 +332,5 @@ __all__ = [
     "map_long",
     "map_submission",
     "map_wide",
+    "unread_submission",
 ]

@@ -273,3 +273,27 @@ def test_country_codes_are_the_fixed_ones():
 
     assert len(COUNTRY_CODES) == 154
     assert [COUNTRY_CODES[c] for c in ("Afghanistan", "Germany", "Peru", "Zimbabwe")] == ["AFG", "DEU", "PER", "ZWE"]
+
+
+def test_unreadable_years_are_set_aside_and_never_merged(spark):
+    from stemledger.plans import harmonize as plans
+    from stemledger.plans.submission import Submission
+    from stemledger.schema import YEAR
+
+    rows = [("P", "T", y, d) for y, d in [("n.d.", "1"), ("unknown", "2"), ("19 99x", "3"), ("2001", "ca. 4"), (None, "5"), ("2002.0", "na")]]
+    raw = spark.createDataFrame(rows, "PlotID string, TreeID string, YR string, DBH string")
+    exprs = [mapping.Column(c, c) for c in raw.columns]
+    work = plans.harmonize(raw, Submission("in_x_y_2000_m", exprs), disappeared="none")
+    assert sorted(r._unread[YEAR] for r in work.quarantined().collect()) == ["19 99x", "n.d.", "unknown"]
+    assert {r.YR for r in work.prepared.collect()} == {None, 2001, 2002}
+    found = {r.rule: (r.severity, r.row_count) for r in work.findings().collect()}
+    assert found["UnreadableYear"] == ("RequiresInput", 3)
+    assert found["UnreadableValue"] == ("AutoRecode", 1)
+
+
+def test_typed_tables_have_nothing_unreadable(spark):
+    from stemledger.schema import readable_rows, unread_rows
+
+    df = spark.createDataFrame([("P", "T", 2001, 1.0)], "PlotID string, TreeID string, YR int, DBH double")
+    assert readable_rows(df) is df
+    assert unread_rows(df).count() == 0
