@@ -131,7 +131,8 @@ def map_fields(df: DataFrame, exprs: Sequence[FieldExpr], dsn: str | SparkColumn
 def join_lookups(df: DataFrame, lookups: Sequence[Lookup]) -> DataFrame:
     """Left-join lookup tables, one join per (table, keys) however many values it gives.
 
-    Repeated lookup keys repeat the row. The join is not hinted: a table whose
+    Repeated lookup keys repeat the row. Keys of different number types, or of a
+    number and a text, meet by their exact value. The join is not hinted: a table whose
     files are small is broadcast by its known size, a large one is sort-merged,
     and adaptive execution splits a hot main key.
     """
@@ -153,10 +154,11 @@ def join_lookups(df: DataFrame, lookups: Sequence[Lookup]) -> DataFrame:
         left = df.select(*[col(c) for c in df.columns if c not in replaced])
         key = col(main_key)
         one, other = df.schema[main_key].dataType, table.schema[lookup_key].dataType
-        if one != other:
+        whole = isinstance(one, T.IntegralType) and isinstance(other, T.IntegralType)
+        if one != other and not whole:
             # numbers meet as numbers: 1 and 1.0 are one key, and a text that is a number is that number
             numeric = [isinstance(t, T.NumericType) for t in (one, other)]
-            same = _as_number if any(numeric) and all(
+            same = exact_key if any(numeric) and all(
                 n or isinstance(t, T.StringType) for n, t in zip(numeric, (one, other), strict=True)
             ) else _as_text
             key, right = same(key, one), right.withColumn("_lookup_key", same(F.col("_lookup_key"), other))
@@ -164,11 +166,32 @@ def join_lookups(df: DataFrame, lookups: Sequence[Lookup]) -> DataFrame:
     return df
 
 
-def _as_number(key: SparkColumn, dtype: T.DataType) -> SparkColumn:
-    if isinstance(dtype, T.StringType):
-        key = parsed_double(key)
-    # decimals keep every digit of long whole keys; other numbers fall back to doubles
-    return F.coalesce(key.try_cast("decimal(38,6)").cast("string"), key.try_cast("double").cast("string"))
+#: Parts of a number's text: sign, digits before and behind the point, power of ten.
+_NUMBER = r"^\s*([+-]?)0*(\d*)(?:\.(\d*?))?(?:[eE]([+-]?\d+))?\s*$"
+
+
+def exact_key(key: SparkColumn, dtype: T.DataType) -> SparkColumn:
+    """A normal form in which equal numbers of any type have equal texts and others differ, with no digit rounded away.
+
+    The form is sign, digits without zeros at either end, and the power of ten of the last digit: ``1``, ``1.0`` and
+    ``10e-1`` are ``1e0``. A text that is no number stays as it is.
+    """
+    text = key.cast("string")
+    if isinstance(dtype, T.IntegralType):
+        # whole numbers need no parsing: zeros at the end are all there is to move
+        digits = F.regexp_extract(text, r"^-?(\d*?)0*$", 1)
+        zeros = F.length(F.regexp_extract(text, r"(0*)$", 1))
+        sign = F.when(text.startswith("-"), "-").otherwise("")
+        return F.when(digits == "", F.lit("0")).otherwise(F.concat(sign, digits, F.lit("e"), zeros.cast("string")))
+    part = [F.regexp_extract(text, _NUMBER, i) for i in range(5)]
+    before, behind = part[2], F.rtrim(part[3], F.lit("0"))
+    digits = F.ltrim(F.concat(before, behind), F.lit("0"))
+    cut = F.rtrim(digits, F.lit("0"))
+    power = F.coalesce(part[4].try_cast("long"), F.lit(0)) - F.length(behind) + F.length(digits) - F.length(cut)
+    sign = F.when(part[1] == "-", "-").otherwise("")
+    number = F.when(cut == "", F.lit("0")).otherwise(F.concat(sign, cut, F.lit("e"), power.cast("string")))
+    sound = text.rlike(_NUMBER) & text.rlike(r"\d") & ((part[4] == "") | part[4].try_cast("int").isNotNull())
+    return F.when(sound, number).otherwise(text)
 
 
 def _as_text(key: SparkColumn, dtype: T.DataType) -> SparkColumn:
@@ -229,12 +252,15 @@ def remap_status_by_table(
 ) -> DataFrame:
     """Remap statuses of many datasets with a table ``(dsn, source, target)``.
 
-    Without a default, unlisted values stay. The table must hold one row per
-    (dsn, source). It grows with the number of datasets, so its join is unhinted.
+    Without a default, unlisted values stay. The table must hold one target per
+    (dsn, source); one that does not fails the job, as rows would be doubled. It
+    grows with the number of datasets, so its join is unhinted.
     """
-    codes = table.select(
-        F.col(DSN).alias("_dsn"), F.col("source").alias("_source"), F.col("target").alias("_target")
+    listed = table.groupBy(F.col(DSN).alias("_dsn"), F.col("source").alias("_source")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("target").alias("_one")
     )
+    clash = F.raise_error(F.concat(F.lit("status code listed twice: "), "_dsn", F.lit(", "), "_source"))
+    codes = listed.select("_dsn", "_source", F.when(F.col("_n") > 1, clash).otherwise(F.col("_one")).alias("_target"))
     status = F.col(STATUS).cast("string")
     joined = df.join(codes, (F.col(DSN) == F.col("_dsn")) & (status == F.col("_source")), "left")
     fallback = status if default is None else F.lit(default)

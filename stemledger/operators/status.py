@@ -58,6 +58,7 @@ def _with_structure(
     years_from: DataFrame | None,
     with_last: bool,
     census_type: CensusType | str | Column,
+    where: Column | None = None,
 ) -> DataFrame:
     """Rows with a clean diameter, their status, and the years it was derived from."""
     dbh = normalised_dbh(F.col(DBH), df.schema[DBH].dataType)
@@ -79,6 +80,8 @@ def _with_structure(
     status = (
         F.when(multi & entered, RECRUIT).when(multi & gone, DEAD).when(unmeasured, MISSING).otherwise(ALIVE)
     )
+    if where is not None:
+        status = F.when(where, status).otherwise(F.col(STATUS))
     return rows.withColumn(STATUS, status)
 
 
@@ -87,6 +90,7 @@ def derive_status(
     by: Sequence[str] = BY,
     years_from: DataFrame | None = None,
     census_type: CensusType | str | Column = CensusType.MULTI,
+    where: Column | None = None,
 ) -> DataFrame:
     """Set ``Status`` of prepared rows from when trees and plots were measured.
 
@@ -94,14 +98,15 @@ def derive_status(
     before; without a diameter a row is dead (1) after the tree's last measured
     year and missing (9) otherwise; all other rows are alive (0). A single census
     has no structure: its rows are alive or missing. A column as ``census_type``
-    gives each row's own.
+    gives each row's own; ``where`` names the rows, by whole datasets, whose status
+    is derived, the others keep theirs.
 
     The tree years are windows over the tree key. The plot's first year is not a
     window, because a plot may hold a large share of the rows: it is a separate
     aggregate joined back. ``years_from`` may name the rows before
     deduplication, which have the same years and are cheaper to scan again.
     """
-    rows = _with_structure(df, by, years_from, with_last=False, census_type=census_type)
+    rows = _with_structure(df, by, years_from, False, census_type, where)
     return rows.drop("valid_first", "valid_last", "plot_first")
 
 
@@ -154,6 +159,7 @@ def derive_full(
     by: Sequence[str] = BY,
     years_from: DataFrame | None = None,
     census_type: CensusType | str | Column = CensusType.MULTI,
+    where: Column | None = None,
 ) -> DataFrame:
     """Derive status and add a last-census row for every tree that disappeared.
 
@@ -162,13 +168,13 @@ def derive_full(
     chosen status and no diameter, and is linked to that last row's year, so no
     second preparation is needed. It is emitted next to the row it copies; the
     plan is not executed twice as a union would do. Nothing disappears from a
-    single census.
+    single census, nor from datasets that ``where`` leaves out.
     """
     code = DISAPPEARED_CODES.get(disappeared)
     if code is None:
-        return derive_status(df, by, years_from, census_type)
-    rows = _with_structure(df, by, years_from, with_last=True, census_type=census_type)
-    last_row = is_multi(census_type) & (F.col(YEAR) == F.col("tree_last")) & (F.col("tree_last") < F.col("dataset_last"))
+        return derive_status(df, by, years_from, census_type, where)
+    rows = _with_structure(df, by, years_from, True, census_type, where)
+    last_row = (F.lit(True) if where is None else where) & is_multi(census_type) & (F.col(YEAR) == F.col("tree_last")) & (F.col("tree_last") < F.col("dataset_last"))
     copies = F.when(last_row, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     both = rows.withColumn("_added", F.explode(copies))
     added = F.col("_added")

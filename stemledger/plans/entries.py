@@ -20,14 +20,15 @@ from stemledger.operators import (
     finalize,
     gate,
     headers,
+    many,
     mapping,
     reshape,
     status,
     validate,
 )
-from stemledger.plans.harmonize import harmonize
+from stemledger.plans.harmonize import harmonize, harmonize_many
 from stemledger.plans.staging import new_path
-from stemledger.plans.submission import Metadata, Submission
+from stemledger.plans.submission import Metadata, Submission, mapping_table
 from stemledger.schema import DBH, PLOT, PREV_YEAR, STATUS, TREE, UNREAD, YEAR, conform, readable_rows, unread_rows
 from stemledger.sinks import curation_log
 from stemledger.sources.readers import header_catalogue, preview, read_table, row_count
@@ -1168,3 +1169,121 @@ def harmonize_wide(spark, sf_dir):
     ids = [mapping.Column("plot", PLOT), mapping.Column("l_partkey", TREE)]
     submission = Submission("in_bra_silva_2021_m", ids, wide_pairs=[(f"d_{y}", y) for y in YEARS])
     return harmonize(wide, submission, "dead").final().select(*_WHOLE_KEYS)
+
+
+# --- many datasets by one table of mappings ------------------------------------------
+
+#: Three datasets in one table, each with columns of its own: long in millimetres, long with codes, wide.
+_LONG_CELLS = {
+    "plot": "concat('P', l_suppkey % 10)",
+    "tag": "CAST(l_partkey AS STRING)",
+    "when": "concat('census of ', year(l_shipdate))",
+    "diam": "CASE WHEN l_returnflag <> 'N' THEN CAST(l_quantity AS STRING) ELSE 'n/a' END",
+    "remark": "l_linestatus",
+}
+_CODED_CELLS = {
+    "site": "concat('S', l_suppkey % 5)",
+    "sub": "CASE WHEN l_suppkey % 2 = 0 THEN l_linestatus END",
+    "arbre": "CAST(l_partkey AS STRING)",
+    "annee": "concat(year(l_shipdate), '.0')",
+    "dap": "CAST(l_quantity AS STRING)",
+    "etat": "concat(l_returnflag, l_linestatus)",
+}
+
+
+def _many_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "lineitem")
+
+    def part(dsn: str, rest: int, cells: dict[str, str]) -> DataFrame:
+        own = df.where(f"l_linenumber % 3 = {rest}").selectExpr(*[f"{sql} AS `{name}`" for name, sql in cells.items()])
+        return many.cells_of(own, F.lit(dsn))
+
+    grouped = df.where("l_linenumber % 3 = 2").groupBy(
+        F.expr("concat('W', l_suppkey % 10)").alias("p"), F.col("l_partkey").cast("string").alias("t"),
+        F.concat(F.lit("d"), F.year("l_shipdate")).alias("census"),
+    )
+    cell = F.struct("census", "cell")
+    wide = grouped.agg(F.max("l_quantity").cast("string").alias("cell")).groupBy("p", "t").agg(F.collect_list(cell).alias("cells"))
+    ids = F.array(*[F.struct(F.lit(c).alias("census"), F.col(c).alias("cell")) for c in "pt"])
+    entries = F.map_from_entries(F.concat(ids, "cells"))
+    wide = wide.select(F.lit("wide").alias("dsn"), entries.alias("cells"))
+    return part("long", 0, _LONG_CELLS).unionByName(part("coded", 1, _CODED_CELLS)).unionByName(wide)
+
+
+def _many_mappings(spark: SparkSession, years: range) -> DataFrame:
+    long = [
+        mapping.Column("plot", PLOT), mapping.Column("tag", TREE), mapping.YearOf("when"), mapping.Column("diam", DBH),
+    ]
+    coded_ = [
+        mapping.Concat(["site", "sub"], PLOT, sep="-", prefix="X"), mapping.Column("arbre", TREE), mapping.Column("annee", YEAR),
+        mapping.Column("dap", DBH), mapping.Column("etat", STATUS), mapping.Literal("unknown", "Species"),
+    ]
+    wide = [mapping.Column("p", PLOT), mapping.Column("t", TREE)]
+    return mapping_table(
+        spark,
+        [
+            Submission("long", long, metadata=Metadata(dbh_unit="mm")),
+            Submission("coded", coded_, CODES),
+            Submission("wide", wide, wide_pairs=[(f"d{y}", y) for y in years]),
+        ],
+    )
+
+
+def _ship_years(spark: SparkSession, sf_dir: str) -> range:
+    """All census years of the table, from its smallest to its largest."""
+    first, last = table(spark, sf_dir, "lineitem").agg(F.min(F.year("l_shipdate")), F.max(F.year("l_shipdate"))).first()
+    return range(first, last + 1) if first is not None else range(0)
+
+
+MANY_ROWS = """ship_years AS (SELECT unnest(range(min(year(l_shipdate)), max(year(l_shipdate)) + 1)) AS y FROM lineitem),
+census AS (
+  SELECT 'long' AS dsn, 'P' || CAST(l_suppkey % 10 AS VARCHAR) AS "PlotID", CAST(l_partkey AS VARCHAR) AS "TreeID",
+         CAST(year(l_shipdate) AS INT) AS "YR", CASE WHEN l_returnflag <> 'N' THEN l_quantity / 10.0::DOUBLE END AS "DBH",
+         NULL AS own, NULL AS "Species", 'remark=' || l_linestatus || ',when=census of ' || CAST(year(l_shipdate) AS VARCHAR) AS extras
+  FROM lineitem WHERE l_linenumber % 3 = 0
+  UNION ALL
+  SELECT 'coded', lower(concat_ws('-', 'X', 'S' || CAST(l_suppkey % 5 AS VARCHAR), CASE WHEN l_suppkey % 2 = 0 THEN l_linestatus END)),
+         CAST(l_partkey AS VARCHAR), CAST(year(l_shipdate) AS INT), l_quantity,
+         CASE l_returnflag || l_linestatus WHEN 'AF' THEN '0' WHEN 'AO' THEN '0' WHEN 'RF' THEN '1' WHEN 'RO' THEN '2'
+              WHEN 'NF' THEN '2' ELSE l_returnflag || l_linestatus END, 'unknown',
+         'site=S' || CAST(l_suppkey % 5 AS VARCHAR) || ',sub=' || coalesce(CASE WHEN l_suppkey % 2 = 0 THEN l_linestatus END, '')
+  FROM lineitem WHERE l_linenumber % 3 = 1
+  UNION ALL
+  SELECT 'wide', p, t, CAST(y AS INT), max(CASE WHEN year(l_shipdate) = y THEN l_quantity END), NULL, NULL, ''
+  FROM (SELECT *, 'W' || CAST(l_suppkey % 10 AS VARCHAR) AS p, CAST(l_partkey AS VARCHAR) AS t FROM lineitem WHERE l_linenumber % 3 = 2), ship_years
+  GROUP BY p, t, y),
+prepared AS (
+  SELECT *, lag("YR") OVER (PARTITION BY dsn, "PlotID", "TreeID" ORDER BY "YR") AS "PrevYR" FROM (
+    SELECT *, row_number() OVER (PARTITION BY dsn, "PlotID", "TreeID", "YR" ORDER BY "DBH" NULLS FIRST, own NULLS FIRST) AS rn FROM census)
+  WHERE rn = 1)"""
+
+
+@query(
+    """SELECT dsn, "PlotID", "TreeID", "YR", "DBH", own AS "Status", "Species", extras, own IS NULL AS derive FROM census""",
+    MANY_ROWS,
+)
+def map_datasets(spark, sf_dir):
+    """Rows of three datasets mapped by one table of mappings; a column that feeds an id or a year also stays an extra."""
+    mappings = _many_mappings(spark, _ship_years(spark, sf_dir))
+    mapped = many.to_centimetres(conform(many.map_datasets(_many_raw(spark, sf_dir), mappings)))
+    extra = F.transform(many.EXTRAS, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))
+    return mapped.select(*KEY, DBH, STATUS, "Species", F.array_join(extra, ",").alias("extras"), "derive")
+
+
+@query(
+    """SELECT dsn, "PlotID", "TreeID", "YR", "PrevYR", CAST("Status" AS INT) AS "Status",
+              CASE WHEN "Status" = '1' THEN NULL ELSE "DBH" END AS "DBH"
+       FROM (SELECT * REPLACE (CASE WHEN "Status" IN ('0', '1', '2', '9') THEN "Status" ELSE '9' END AS "Status") FROM settled)
+       WHERE NOT ("Status" = '2' AND "DBH" IS NULL) AND NOT ("PrevYR" IS NULL AND "Status" IN ('0', '1'))""",
+    MANY_ROWS,
+    DERIVED,
+    """settled AS (
+      SELECT dsn, "PlotID", "TreeID", "YR", "PrevYR", "DBH", CASE WHEN dsn = 'coded' THEN own ELSE "Status" END AS "Status" FROM derived
+      UNION ALL SELECT dsn, "PlotID", "TreeID", dl, "YR", NULL, '1' FROM derived WHERE "YR" = tl AND tl < dl AND dsn <> 'coded')""",
+    name="harmonize_many",
+)
+def harmonize_datasets(spark, sf_dir):
+    """Three datasets, each with its own columns, unit and codes, to delivered rows by one plan."""
+    mappings = _many_mappings(spark, _ship_years(spark, sf_dir))
+    work = harmonize_many(_many_raw(spark, sf_dir), mappings, tie_break=[DBH, STATUS])
+    return work.final().select(*KEY, PREV_YEAR, DBH, STATUS)

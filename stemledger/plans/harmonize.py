@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemledger.functions.values import col
-from stemledger.operators import census, mapping, reshape, status, validate
+from stemledger.operators import census, many, mapping, reshape, status, validate
 from stemledger.operators.finalize import finalize
 from stemledger.plans.staging import staged
 from stemledger.plans.submission import Submission, metadata_table, write_metadata
@@ -75,7 +75,8 @@ class Harmonized:
 
     mapped: DataFrame
     prepared: DataFrame
-    census_type: CensusType
+    #: One type for all rows, or the column that holds each row's own.
+    census_type: CensusType | Column
     deduplicated: bool = True
     #: Treatment of disappeared trees if the status was derived, else None.
     disappeared: str | None = None
@@ -96,7 +97,8 @@ class Harmonized:
         return validate.with_unknown_values(found, self.prepared)
 
     def final(self) -> DataFrame:
-        return finalize(self.prepared, self.census_type)
+        final = finalize(self.prepared, self.census_type)
+        return final.drop("census_type", "derive") if isinstance(self.census_type, Column) else final
 
 
 def harmonize(
@@ -129,6 +131,30 @@ def harmonize(
     return Harmonized(mapped, prepared, census_type, disappeared=derived, unread=unread)
 
 
+def harmonize_many(
+    raw: DataFrame,
+    mappings: DataFrame,
+    lookups: DataFrame | None = None,
+    disappeared: str = "dead",
+    tie_break: Sequence[str | Column] | None = None,
+) -> Harmonized:
+    """One plan from raw rows ``(dsn, cells)`` of any number of datasets to prepared rows with a status.
+
+    ``mappings`` has a row per dataset (see ``operators.many``); ambiguous ones are refused before anything is read. Statuses
+    are derived in the datasets that map none. Each dataset keeps its own unit and census type.
+    """
+    many.check_mappings(mappings, lookups)
+    texts = many.map_datasets(raw, mappings, lookups)
+    mapped = many.to_centimetres(conform(readable_rows(texts)))
+    kind = F.col("census_type")
+    prepared = status.derive_full(
+        census.prepare(mapped, kind, tie_break), disappeared, years_from=mapped, census_type=kind, where=F.col("derive")
+    )
+    return Harmonized(
+        mapped, prepared, kind, disappeared=disappeared, unread=many.to_centimetres(unread_rows(texts))
+    )
+
+
 def diagnose(raw: DataFrame, dsn: str, census_type: CensusType | str = "multi") -> Harmonized:
     """A table that already has canonical columns: only validated, never changed."""
     raw = raw if DSN in raw.columns else raw.withColumn(DSN, F.lit(dsn))
@@ -329,6 +355,7 @@ __all__ = [
     "diagnose",
     "export",
     "harmonize",
+    "harmonize_many",
     "map_long",
     "map_submission",
     "map_wide",

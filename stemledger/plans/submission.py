@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemledger.operators import mapping as m
+from stemledger.operators.many import mappings_from_json
 from stemledger.schema import DSN, CensusType, DbhUnit
 
 _KINDS = {
@@ -95,6 +96,17 @@ def load_submission(spark: SparkSession, dsn: str, path: str) -> Submission | No
     return None if stored is None else Submission.from_json(stored.mapping)
 
 
+def mapping_table(spark: SparkSession, submissions: Sequence[Submission]) -> DataFrame:
+    """Mappings as rows for ``harmonize_many``."""
+    rows = [(s.dsn, s.to_json()) for s in submissions]
+    return mappings_from_json(spark.createDataFrame(rows, MAPPING_SCHEMA))
+
+
+def load_mappings(spark: SparkSession, path: str) -> DataFrame:
+    """All stored mappings as rows for ``harmonize_many``; none reaches the driver."""
+    return mappings_from_json(spark.read.schema(MAPPING_SCHEMA).parquet(path))
+
+
 def metadata_table(spark: SparkSession, submissions: Sequence[Submission]) -> DataFrame:
     """The dataset dimension: one row of declared metadata per submission."""
     rows = [
