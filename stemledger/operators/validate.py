@@ -8,7 +8,6 @@ from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemledger.functions.values import col
@@ -142,18 +141,26 @@ def rule_counts(
 
     Counts are combined before every shuffle, in three steps: per measurement
     (copies), per tree (first year), per dataset. No step holds a group's rows,
-    so neither a hot tree nor a hot dataset reaches one task.
+    so neither a hot tree nor a hot dataset reaches one task. Rows that are not
+    linked yet, and so have no ``PrevYR``, need no linking for this: a tree has no
+    earlier census in its first year, and in a row without a year.
     """
     multi = any_multi(census_type)
     linked = is_multi(census_type)
     predicates = row_predicates(census_type)
+    unlinked_rows = multi and PREV_YEAR not in df.columns
+    if unlinked_rows:
+        del predicates[ORPHAN_DEAD]
     sums = [rule.name for rule in predicates]
     per_measurement = df.groupBy(*by, *ROW_KEYS).agg(
         F.count(PLOT).alias("copies"),
         F.count_if(linked & (F.col(STATUS) == RECRUIT)).alias("recruits"),
+        F.count_if(linked & (F.col(STATUS) == DEAD)).alias("dead"),
         F.max(linked).alias("linked"),
         *[F.count_if(p).alias(rule.name) for rule, p in predicates.items()],
     )
+    none = F.lit(0).cast("bigint")
+    orphans = F.coalesce(F.min_by("dead", YEAR), none) + F.coalesce(F.sum(F.when(F.col(YEAR).isNull(), F.col("dead"))), none)
     per_tree = per_measurement.groupBy(*by, *TREE_KEYS).agg(
         F.count_if(F.col("copies") > 1).alias(DUPLICATE.name),
         F.count(YEAR).alias("years"),
@@ -162,8 +169,10 @@ def rule_counts(
             RECRUIT_AT_FIRST_YEAR.name
         ),
         *[F.sum(n).alias(n) for n in sums],
+        *([orphans.alias(ORPHAN_DEAD.name)] if unlinked_rows else []),
     )
-    totals = [DUPLICATE.name, *sums] + ([RECRUIT_AT_FIRST_YEAR.name] if multi else [])
+    totals = [DUPLICATE.name, *sums, *([ORPHAN_DEAD.name] if unlinked_rows else [])]
+    totals += [RECRUIT_AT_FIRST_YEAR.name] if multi else []
     unlinked = (
         F.when(F.max("linked") & (F.max("years") < 2), F.count(F.lit(1)))
         .otherwise(F.lit(0).cast("bigint"))
@@ -278,31 +287,114 @@ def by_severity(found: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return found.groupBy(*by, "severity").agg(F.count(F.lit(1)).alias("n_findings"))
 
 
-def flag_rows(
+def tree_records(
     df: DataFrame, census_type: CensusType | str | Column = CensusType.MULTI, by: Sequence[str] = BY
 ) -> DataFrame:
-    """Rows that break a rule, with the rule names in ``flags``.
+    """One row per tree about which a rule has something to say: what its rows cannot tell by themselves.
 
-    Copies and first years are found on a per-measurement count; only
-    measurements that matter are joined back, and a hot key in that join is
-    split by adaptive execution.
+    ``_first`` is its first year, ``_copied`` the years in which it has several rows, ``_copied_undated`` whether it has
+    several rows without a year. Rows are counted per measurement and then per tree, each time before the shuffle, so a
+    tree is as many numbers as it has years.
     """
-    counts = df.groupBy(*by, *ROW_KEYS).agg(
-        F.count(PLOT).alias("_copies"),
-        F.count_if(F.col(STATUS) == RECRUIT).alias("_recruits"),
+    multi = is_multi(census_type)
+    status = F.col(STATUS) if STATUS in df.columns else F.lit(None).cast("string")
+    per_measurement = df.groupBy(*by, *ROW_KEYS).agg(
+        F.count(PLOT).alias("copies"), F.count_if(multi & status.isin(RECRUIT, DEAD)).alias("judged")
     )
-    first = F.min(YEAR).over(W.partitionBy(*tree_partition(by)))
-    suspects = counts.withColumn("_at_first", F.col(YEAR) == first).where(
-        (F.col("_copies") > 1) | (F.col("_at_first") & (F.col("_recruits") > 0))
+    several, undated = F.col("copies") > 1, F.col(YEAR).isNull()
+    trees = per_measurement.groupBy(*by, *TREE_KEYS).agg(
+        F.min(YEAR).alias("_first"),
+        F.collect_list(F.when(several, F.col(YEAR))).alias("_copied"),
+        F.bool_or(several & undated).alias("_copied_undated"),
+        (F.coalesce(F.min_by("judged", YEAR), F.lit(0)) + F.coalesce(F.sum(F.when(undated, F.col("judged"))), F.lit(0))).alias("judged"),
     )
-    joined = left_join_groups(df, suspects.drop("_recruits"), [*tree_partition(by), YEAR])
-    predicates = {DUPLICATE: F.col("_copies") > 1, **row_predicates(census_type)}
-    if any_multi(census_type):
-        at_first = (F.col(STATUS) == RECRUIT) & F.col("_at_first")
-        predicates[RECRUIT_AT_FIRST_YEAR] = is_multi(census_type) & at_first
+    return trees.where((F.size("_copied") > 0) | F.col("_copied_undated") | (F.col("judged") > 0)).drop("judged")
+
+
+def flag_rows(
+    df: DataFrame, census_type: CensusType | str | Column = CensusType.MULTI, by: Sequence[str] = BY
+) -> DataFrame:
+    """Rows that break a rule, with the rule names in ``flags``.
+
+    Copies, first years and missing links are told by one record per tree (see ``tree_records``), joined once and only for
+    trees that matter; a hot tree in that join is split by adaptive execution. Rows may still have their copies and need
+    not be linked: without ``PrevYR`` a tree has no earlier census in its first year. Rows without a status are only
+    judged for copies.
+    """
+    joined = left_join_groups(df, tree_records(df, census_type, by), tree_partition(by))
+    year, undated = F.col(YEAR), F.col(YEAR).isNull()
+    copied = F.when(undated, F.col("_copied_undated")).otherwise(F.array_contains("_copied", year))
+    # a measurement without a plot is no copy of another
+    predicates = {DUPLICATE: F.coalesce(copied, F.lit(False)) & F.col(PLOT).isNotNull()}
+    if STATUS in df.columns:
+        linked = PREV_YEAR in df.columns
+        own = row_predicates(census_type)
+        if not linked and ORPHAN_DEAD in own:
+            first = undated | (year == F.col("_first"))
+            own[ORPHAN_DEAD] = is_multi(census_type) & (F.col(STATUS) == DEAD) & first
+        predicates |= own
+        if any_multi(census_type):
+            at_first = (F.col(STATUS) == RECRUIT) & (year == F.col("_first"))
+            predicates[RECRUIT_AT_FIRST_YEAR] = is_multi(census_type) & at_first
     flags = F.array_compact(F.array(*[F.when(p, rule.name) for rule, p in predicates.items()]))
     broken = reduce(or_, predicates.values())
-    return joined.where(broken).withColumn("flags", flags).drop("_copies", "_at_first")
+    return joined.where(broken).withColumn("flags", flags).drop("_first", "_copied", "_copied_undated")
+
+
+#: Share of trees found again in their plot's next census below which tree ids are doubted.
+LEAST_LINKED = 0.1
+
+
+def linkage_rates(df: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """``(by, from_year, to_year, n_trees, n_found)``: trees of a census, and how many the plot's next census found again.
+
+    Trees with the same years are counted together, so that a plot is as many rows as it has sets of years; its censuses
+    are the years in any of these. No tree is joined with another. Rows without a year take no part.
+    """
+    trees = df.where(F.col(YEAR).isNotNull()).groupBy(*by, *TREE_KEYS).agg(F.sort_array(F.collect_set(YEAR)).alias("own"))
+    sets = trees.groupBy(*by, PLOT, "own").agg(F.count(F.lit(1)).alias("n"))
+    censuses = sets.groupBy(*by, PLOT).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("own")))).alias("years"))
+    later = F.slice("years", F.lit(2), F.size("years"))
+    steps = F.filter(
+        F.arrays_zip(F.col("years").alias("a"), later.alias("b")), lambda s: s["b"].isNotNull()
+    )
+    pairs = left_join_groups(sets, censuses.select(*by, PLOT, steps.alias("steps")), [*by, PLOT])
+    each = pairs.select(*by, "own", "n", F.explode("steps").alias("step")).where(F.array_contains("own", F.col("step.a")))
+    return each.groupBy(*by, F.col("step.a").alias("from_year"), F.col("step.b").alias("to_year")).agg(
+        F.sum("n").alias("n_trees"),
+        F.sum(F.when(F.array_contains("own", F.col("step.b")), F.col("n")).otherwise(F.lit(0))).cast("bigint").alias("n_found"),
+    )
+
+
+def linkage_findings(
+    df: DataFrame,
+    census_type: CensusType | str | Column = CensusType.MULTI,
+    by: Sequence[str] = BY,
+    least: float = LEAST_LINKED,
+) -> DataFrame:
+    """A finding, in the form of ``findings``, on multi-census datasets in which some trees are found again but few.
+
+    ``row_count`` are the trees that were not. Datasets in which no tree is found in two censuses have a finding of
+    ``findings`` already.
+    """
+    rates = linkage_rates(df.where(is_multi(census_type)), by).groupBy(*by).agg(
+        F.sum("n_trees").alias("n_trees"), F.sum("n_found").alias("n_found")
+    )
+    few = rates.where((F.col("n_found") > 0) & (F.col("n_found") < F.col("n_trees") * F.lit(least)))
+    missed = F.col("n_trees") - F.col("n_found")
+    text = F.concat_ws(
+        " ", missed.cast("string"), F.lit("of"), F.col("n_trees").cast("string"),
+        F.lit("trees were not found in their plot's next census; tree ids may not be persistent."),
+    )
+    return few.select(
+        *by,
+        F.lit(len(RULES) + 1).alias("position"),
+        F.lit(NO_LINKED_TREES.name).alias("rule"),
+        F.lit(NO_LINKED_TREES.severity).alias("severity"),
+        F.lit(NO_LINKED_TREES.action).alias("action"),
+        missed.alias("row_count"),
+        text.alias("message"),
+    )
 
 
 def vocabulary_column(df: DataFrame, column: str = "", mapped: str = "") -> str:

@@ -90,6 +90,8 @@ class Harmonized:
     def findings(self) -> DataFrame:
         """Findings on the prepared rows; duplicates are judged before they were removed."""
         found = validate.findings(self.prepared, self.census_type, check_linkage=True)
+        if isinstance(self.census_type, Column) or self.census_type is CensusType.MULTI:
+            found = found.unionByName(validate.linkage_findings(self.prepared, self.census_type))
         found = found.where(F.col("rule") != validate.DUPLICATE.name)
         found = found.unionByName(validate.duplicate_findings(self.mapped))
         if self.unread is not None:
@@ -288,7 +290,7 @@ def deliver(
     (see ``sinks.curation_log``). Duplicates are judged on ``mapped``, the rows
     before they were removed. With ``strict`` the rows of datasets with a blocking
     finding are left out; ``…_blocked.json`` has these findings in any case, and
-    ``…_flagged`` the prepared rows that break a rule, and ``…_unknown_values.json`` every status value outside the
+    ``…_flagged`` the rows that break a rule, copies among them if ``mapped`` is given, and ``…_unknown_values.json`` every status value outside the
     vocabulary with its rows counted. ``unread`` are rows with values that could not be read; they are judged and written
     too. Every output is split by dataset by Spark; nothing is looped over or collected, whatever the number of
     datasets.
@@ -298,7 +300,7 @@ def deliver(
         prepared = census.with_census_type(prepared, datasets, "_census_type")
         kind = F.col("_census_type")
     rows = staged(prepared, base_name)
-    found = validate.findings(rows, kind, check_linkage=True)
+    found = validate.findings(rows, kind, check_linkage=True).unionByName(validate.linkage_findings(rows, kind))
     if mapped is not None:
         found = found.where(F.col("rule") != validate.DUPLICATE.name)
         found = found.unionByName(validate.duplicate_findings(mapped))
@@ -333,7 +335,7 @@ def deliver(
     curation_log.write_curation_logs(logs, f"{base}/{base_name}_curation_logs")
     write_metadata(datasets, f"{base}/{base_name}_metadata.json")
     blocking.write.mode("overwrite").json(f"{base}/{base_name}_blocked.json")
-    flagged = validate.flag_rows(rows, kind).drop("_census_type")
+    flagged = _flagged(rows, mapped, datasets, kind)
     flagged.write.mode("overwrite").parquet(f"{base}/{base_name}_flagged")
     validate.unknown_values(rows).write.mode("overwrite").json(f"{base}/{base_name}_unknown_values.json")
     reports = ("curation_logs", "metadata.json", "blocked.json", "flagged", "unknown_values.json")
@@ -341,6 +343,19 @@ def deliver(
     return written if unread is None else [*written, *_write_unread(unread, f"{base}/{base_name}")]
 
 
+def _flagged(rows: DataFrame, mapped: DataFrame | None, datasets: DataFrame, kind: CensusType | str | Column) -> DataFrame:
+    """Rows that break a rule. Copies are only found before they are removed, so mapped rows are judged where they are given;
+    where their status was derived later, they are judged for copies, and the prepared rows for the rest."""
+    if mapped is None:
+        return validate.flag_rows(rows, kind).drop("_census_type")
+    if STATUS not in mapped.columns:
+        copies = validate.flag_rows(mapped)
+        return validate.flag_rows(rows, kind).drop("_census_type").unionByName(copies, allowMissingColumns=True)
+    if isinstance(kind, Column):
+        mapped = census.with_census_type(mapped, datasets, "_census_type")
+    return validate.flag_rows(mapped, kind).drop("_census_type")
+
+
 def canonical(df: DataFrame) -> DataFrame:
     """Only the canonical columns that are present, in their fixed order."""
     return df.select(*[f.name for f in CENSUS_SCHEMA if f.name in df.columns])

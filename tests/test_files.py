@@ -321,7 +321,9 @@ def test_delivery_reads_census_types_judges_copies_and_leaves_blocked_datasets_o
     kept = spark.read.parquet(out[0]).select("dsn", "TreeID", "YR", "DBH").collect()
     assert {tuple(r) for r in kept} == {("one", "A", 2000, 1.0), ("one", "B", 2000, 2.0), ("two", "A", 2005, None)}
     assert [(r.dsn, r.rule) for r in spark.read.json(out[3]).collect()] == [("bad", "DuplicateTreeWithinPlotYear")]
-    assert [(r.dsn, r.YR, r.flags) for r in spark.read.parquet(out[4]).collect()] == [("two", 2005, ["DeadTreeHasDbh"])]
+    flagged = sorted((r.dsn, r.YR, r.DBH, r.flags) for r in spark.read.parquet(out[4]).collect())
+    copies = [("bad", 2005, d, ["DuplicateTreeWithinPlotYear"]) for d in (1.0, 2.0)]
+    assert flagged == [*copies, ("two", 2005, 2.0, ["DeadTreeHasDbh"])]
 
 
 def test_every_unknown_status_value_is_written_beside_the_outputs(spark, folder):

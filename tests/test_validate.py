@@ -138,3 +138,41 @@ def test_each_dataset_is_judged_and_cleaned_by_its_own_census_type(spark):
     assert {(r.dsn, r.TreeID, r.YR) for r in kept} == {("s", "A", 2000), ("s", "B", 2000), ("m", "A", 2005)}
     linked = {(r.dsn, r.TreeID, r.YR): r.PrevYR for r in census.prepare(df, kind).collect()}
     assert linked[("m", "A", 2005)] == 2000 and linked[("s", "A", 2000)] is None
+
+
+def test_flags_of_rows_that_are_not_linked_yet(spark):
+    rows = [
+        ("P", "A", 2000, None, "2", None), ("P", "A", 2000, None, "1", 4.0), ("P", "A", 2005, 2000, "1", None),
+        ("P", "B", None, None, "1", None), ("P", "B", None, None, "1", None), ("P", "B", 2001, None, "2", 1.0),
+        (None, "C", 2001, None, "0", 1.0), (None, "C", 2001, None, "0", 1.0), ("P", None, 2001, None, "1", None),
+        ("P", "D", 2001, None, "0", 1.0), ("P", "D", 2002, 2001, "0", 1.0),
+    ]
+    df = frame(spark, *rows)
+    key = lambda r: (str(r.TreeID), str(r.YR), r.Status, str(r.DBH))
+    linked = sorted((key(r), r.flags) for r in validate.flag_rows(df).collect())
+    unlinked = sorted((key(r), r.flags) for r in validate.flag_rows(df.drop("PrevYR")).collect())
+    assert linked == unlinked
+    assert dict((k, f) for k, f in linked)[("B", "None", "1", "None")] == ["DuplicateTreeWithinPlotYear", "OrphanDeadFirstCensus"]
+    found = lambda d: sorted((f.rule, f.row_count) for f in validate.findings(d).collect())
+    assert found(df) == found(df.drop("PrevYR"))
+    assert [r.flags for r in validate.flag_rows(df.drop("PrevYR", "Status")).collect()] == [["DuplicateTreeWithinPlotYear"]] * 4
+
+
+def test_flags_need_two_scans_and_one_join(spark):
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/flags"
+    frame(spark, ("P", "A", 2000, None, "2", None)).write.mode("overwrite").parquet(path)
+    plan = validate.flag_rows(spark.read.parquet(path).drop("PrevYR"))._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("Initial Plan")[-1]
+    assert initial.count("FileScan") <= 2
+    assert sum("Join" in line for line in initial.splitlines()) == 1
+
+
+def test_few_trees_found_again_are_a_finding_too(spark):
+    rows = [("P", f"A{y}-{i}", y, None, "0", 1.0) for y in (2000, 2005) for i in range(30)]
+    rows += [("P", "same", y, None, "0", 1.0) for y in (2000, 2005)]
+    df = frame(spark, *rows, ("Q", "x", 2001, None, "0", 1.0), ("Q", "x", None, None, "0", 1.0))
+    assert [tuple(r) for r in validate.linkage_rates(df).collect()] == [("d", 2000, 2005, 31, 1)]
+    assert [(f.rule, f.row_count) for f in validate.linkage_findings(df).collect()] == [("NoPersistentTreeId", 30)]
+    assert validate.linkage_findings(df, least=0.01).count() == 0
+    assert validate.linkage_findings(df, "single").count() == 0
+    assert validate.findings(df, check_linkage=True).where("rule = 'NoPersistentTreeId'").count() == 0
