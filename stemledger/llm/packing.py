@@ -24,13 +24,12 @@ from pyspark.sql import functions as F
 
 from stemledger.llm.shared import staged
 
-#: Distinct white-space separated words whose ids a task remembers before it starts anew.
-REMEMBERED_WORDS = 250_000
+#: Distinct white-space separated words whose ids a task remembers before it lets those go that were not met lately.
+REMEMBERED_WORDS = 400_000
 #: Pieces of one length and salt that one task numbers, about.
 RANKED_TOGETHER = 20_000
 
 
-
 class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, the same as encoding it whole.
 
@@ -40,6 +39,8 @@ class WordEncoder:
     """
 
     ODD = re.compile("[\x1c-\x1f\u03a3\u0130]")
+    #: Words of small letters that no step before the model changes.
+    PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -47,29 +48,50 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # the vocabulary writes the bytes of these letters beyond ASCII as characters of their own
+        self.shown = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
 
     def __call__(self, text: str) -> bytes:
         if self.ODD.search(text):
             return self._each([text])[0]
-        known = self.known
         # special tokens are told by their case, and then words are looked up as they stand
         words = (text if "<|" in text else text.lower()).split()
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED_WORDS:
-                known.clear()
-                new = list(set(words))
-            # a letters-only word and a stop behind it are two words to the vocabulary
-            bare = {w: w[:-1] for w in new if w[-1] in ".," and w[:-1].isalpha()}
-            missing = [w for w in {".", ",", *(bare.get(w, w) for w in new)} if w not in known]
-            known.update(zip(missing, self._encode(missing), strict=True))
-            known.update((w, known[b] + known[w[-1]]) for w, b in bare.items())
-        return b"".join(map(known.__getitem__, words))
+        found = list(map(self.known.get, words))
+        if None in found:
+            kept = self.known
+            self._learn(list(dict.fromkeys(w for w, ids in zip(words, found, strict=True) if ids is None)))
+            if self.known is not kept:  # generations have turned
+                self._learn([w for w in dict.fromkeys(words) if w not in self.known])
+            found = list(map(self.known.__getitem__, words))
+        return b"".join(found)
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words that are not known; those that were known a while ago are taken over."""
+        if len(self.known) + len(words) > REMEMBERED_WORDS:
+            self.older, self.known = self.known, {}
+        new = []
+        for w in words:
+            ids = self.older.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                self.known[w] = ids
+        # a plain word and a stop behind it are two words to the vocabulary
+        bare = {w: w[:-1] for w in new if w[-1] in ".," and self.PLAIN(w[:-1])}
+        wanted = dict.fromkeys([".", ",", *(bare.get(w, w) for w in new)])
+        missing = [w for w in wanted if w not in self.known]
+        self.known.update(zip(missing, self._encode(missing), strict=True))
+        self.known.update((w, self.known[b] + self.known[w[-1]]) for w, b in bare.items())
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        """Ids of each word. Words of small ASCII letters go to the model at once: the steps before it leave them as they are."""
-        tokenize = self.tokenizer.model.tokenize
-        found = {w: array("I", [t.id for t in tokenize(w)]).tobytes() for w in words if w.isascii() and w.isalpha() and w.islower()}
+        """Ids of each word. Plain words go to the model at once: the steps before it only write their bytes as characters."""
+        tokenize, plain = self.tokenizer.model.tokenize, self.PLAIN
+        found = {}
+        for w in words:
+            if plain(w):
+                shown = w if w.isascii() else w.encode().decode("latin-1").translate(self.shown)
+                found[w] = array("I", [t.id for t in tokenize(shown)]).tobytes()
         rest = [w for w in words if w not in found]
         if rest:
             found.update(zip(rest, self._each(rest), strict=True))
@@ -79,6 +101,13 @@ class WordEncoder:
         return [_as_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that a byte-level vocabulary writes a byte as: itself if it is printable in Latin-1, else one from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+
+
 #: Kept as long as the Python worker lives, over its tasks.
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -108,11 +137,12 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int = 2)
                     part = ids[4 * start : 4 * (start + size)]
                     crc = zlib.crc32(part)
                     rows.append((doc_id, start, len(part) // 4, crc, total))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    return docs.select("doc_id", "text").mapInPandas(cut, schema)
+    # ids go as text: pandas would round long ones beside a null
+    schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
+    out = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string")).mapInPandas(cut, schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def plan_patterns(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -172,10 +202,11 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int = 2) ->
 
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `size` rows
     place = _placer(plan_patterns(histogram, size))
-    out = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInPandas(
-        place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    shown = ranked.select(F.col("doc_id").cast("string"), "start", "length", "ids_crc32", "doc_tokens", "rank")
+    out = shown.mapInPandas(
+        place, "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )
-    return out
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _placer(patterns: list[tuple[tuple[int, ...], int]]):
@@ -203,7 +234,6 @@ def _placer(patterns: list[tuple[tuple[int, ...], int]]):
                 slot = np.searchsorted(first, rank[where], side="right") - 1
                 sequence_id[where] = start[slot] + rank[where] - first[slot]
                 offset[where] = at[slot]
-            out = batch.drop(columns="rank")
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"), sequence_id=sequence_id, offset=offset)
+            yield batch.drop(columns="rank").assign(sequence_id=sequence_id, offset=offset)
 
     return place
