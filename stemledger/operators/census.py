@@ -7,15 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stemledger.functions.values import col
 from stemledger.operators.joins import left_join_groups
 from stemledger.schema import BY, DBH, DSN, PLOT, PREV_YEAR, ROW_KEYS, TREE, YEAR, CensusType, any_multi, is_multi
 
-#: Exact copies of one row that are moved and unfolded together by ``census_sort``.
-COPIES_PER_BLOCK = 100_000
-
-
 def dedup_first(
     df: DataFrame, tie_break: Sequence[str | Column] | None = None, by: Sequence[str] = BY
 ) -> DataFrame:
@@ -104,24 +101,27 @@ def census_sort(
     """Rows in (dataset, plot, tree, year) order. Meant for the very end of a plan.
 
     ``unique`` says that a measurement occurs once, as ``prepare`` leaves it; a
-    plain range sort then spreads any tree or dataset. Otherwise ties are broken
-    by the other columns, so that a hot measurement splits over ranges, and exact
-    copies, which no order can tell apart, travel as counted blocks that are
-    unfolded where they land.
+    plain range sort then spreads any tree or dataset. Otherwise ties are broken by
+    the tie-break, by default all other columns, and at last by a running number, so
+    that a measurement with most rows is spread over ranges even if these are
+    exact copies. The number follows a sort within each task, by all columns: a task
+    that is run again deals the same rows the same way.
     """
     keys = [*by, *ROW_KEYS]
     if unique:
         return df.orderBy(*keys, *(tie_break or ()))
-    others = tie_break or [col(c) for c in df.columns if c not in keys]
-    counted = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    last_block = F.floor((F.col("_n") - 1) / F.lit(COPIES_PER_BLOCK))
-    blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)))
-    size = F.least(
-        F.lit(COPIES_PER_BLOCK).cast("bigint"), F.col("_n") - F.col("_block") * COPIES_PER_BLOCK
-    )
-    ordered = blocks.orderBy(*keys, *others, "_block")
-    copies = F.explode(F.array_repeat(F.lit(0), size.cast("int")))
-    return ordered.withColumn("_copy", copies).drop("_n", "_block", "_copy")
+    others = [_sortable(col(f.name), f.dataType) for f in df.schema if f.name not in keys]
+    within = df.sortWithinPartitions(*keys, *(tie_break or ()), *others)
+    numbered = within.withColumn("_spread", F.monotonically_increasing_id())
+    return numbered.orderBy(*keys, *(tie_break or others), "_spread").drop("_spread")
+
+
+def _sortable(value: Column, dtype: T.DataType) -> Column:
+    """The column itself, or its text if it holds maps or variants, which have no order."""
+    kind = dtype.simpleString()
+    if "map<" in kind:
+        return F.to_json(F.struct(value))
+    return value.cast("string") if "variant" in kind else value
 
 
 def with_tree_span(df: DataFrame, by: Sequence[str] = BY) -> DataFrame:

@@ -135,8 +135,7 @@ def test_previous_year_skips_gaps(spark):
     assert {r.YR: r.PrevYR for r in linked.collect()} == {2000: None, 2003: 2000, 2010: 2003}
 
 
-def test_sort_keeps_every_copy_in_order(spark, monkeypatch):
-    monkeypatch.setattr(census, "COPIES_PER_BLOCK", 7)
+def test_sort_keeps_every_copy_in_order(spark):
     hot = spark.range(100).select(
         F.lit("d").alias("dsn"), F.lit("P").alias("PlotID"), F.lit("T").alias("TreeID"),
         F.lit(2000).alias("YR"), F.lit(1.0).alias("DBH"),
@@ -152,6 +151,23 @@ def test_sort_keeps_every_copy_in_order(spark, monkeypatch):
     assert sum(r.TreeID == "T" for r in got) == 100
 
 
+def test_sort_has_one_exchange_and_spreads_exact_copies(spark):
+    hot = spark.range(40_000).select(
+        F.lit("d").alias("dsn"), F.lit("P").alias("PlotID"), F.lit("T").alias("TreeID"), F.lit(2000).alias("YR"),
+        F.lit(-0.0).alias("DBH"), F.create_map(F.lit("k"), F.lit("v")).alias("m"),
+    )
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ordered = census.census_sort(hot)
+        assert ordered._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        parts = ordered.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    assert len(parts) > 3 and sum(r["count"] for r in parts) == 40_000
+    assert ordered.where("CAST(DBH AS STRING) = '-0.0' AND m['k'] = 'v'").count() == 40_000
+
+
 def test_hot_tree_and_hot_plot_give_the_same_statuses(spark):
     """A third of the rows are copies of one measurement, and one plot holds most trees."""
     copies = spark.range(6000).select(
