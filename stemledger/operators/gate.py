@@ -111,5 +111,18 @@ def check(df: DataFrame, headers: Sequence[str] | None = None) -> list[GateError
     return errors
 
 
+def judged(headers: Sequence[str], n_rows: int, filled: dict[str, int]) -> list[GateError]:
+    """The same problems from counts taken elsewhere: rows, and rows with a value per column."""
+    if not n_rows:
+        return [GateError("empty")]
+    hollow = [name for name, n in filled.items() if not n]
+    errors = header_errors(headers)
+    if len(hollow) == 1:
+        errors.append(GateError("all_null_column", hollow[0]))
+    elif hollow:
+        errors.append(GateError("all_null_columns", count=len(hollow)))
+    return errors
+
+
 def is_ok(df: DataFrame, headers: Sequence[str] | None = None) -> bool:
     return not check(df, headers)

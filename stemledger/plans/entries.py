@@ -27,6 +27,7 @@ from stemledger.operators import (
     validate,
 )
 from stemledger.plans.harmonize import harmonize, harmonize_many
+from stemledger.plans.load import load_frame
 from stemledger.plans.staging import new_path
 from stemledger.plans.submission import Metadata, Submission, mapping_table
 from stemledger.schema import DBH, PLOT, PREV_YEAR, STATUS, TREE, UNREAD, YEAR, conform, readable_rows, unread_rows
@@ -280,6 +281,27 @@ def gate_all_null(spark, sf_dir):
     return gate.all_null_findings(_part_empty(spark, sf_dir), ["dsn"])
 
 
+_LOADED = {
+    "dsn": None, "PlotID": "PlotID", "TreeID": "TreeID", "YR": "YR", "code": None, "DBH": "DBH", "spare": "Species",
+}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT CAST({i} AS INT) AS ordinal, '{name}' AS header, {f"'{field}'" if field else 'NULL'} AS field, "
+        f"count(*) AS n_rows, count(*) - count(\"{name}\") AS n_null, "
+        f"CASE WHEN count(\"{name}\") = 0 THEN 'all_null_column' END AS problem FROM loaded"
+        for i, (name, field) in enumerate(_LOADED.items())
+    ),
+    ROWS,
+    "loaded AS (SELECT *, NULL AS spare FROM census)",
+)
+def load_report(spark, sf_dir):
+    """Gate, field suggestions and counts of a table, taken while its rows are staged."""
+    raw = rows(spark, sf_dir).withColumn("spare", F.lit(None).cast("string")).select(*_LOADED)
+    return load_frame(raw).report()
+
+
 # --- mapping -------------------------------------------------------------------------
 
 
@@ -665,21 +687,19 @@ def lookup_fanout(spark, sf_dir):
 
 # --- reshape, order, deduplication ---------------------------------------------------
 
-YEARS = range(1995, 2002)
-
-
 @query(
-    " UNION ALL ".join(
-        f'SELECT dsn, "PlotID", "TreeID", max(CASE WHEN "YR" = {y} THEN "DBH" END) AS "DBH", '
-        f'CAST({y} AS INT) AS "YR" FROM census GROUP BY dsn, "PlotID", "TreeID"'
-        for y in YEARS
-    ),
+    """SELECT dsn, "PlotID", "TreeID", max(CASE WHEN "YR" = y THEN "DBH" END) AS "DBH", CAST(y AS INT) AS "YR"
+       FROM census, (SELECT unnest(range(min("YR"), max("YR") + 1)) AS y FROM census) GROUP BY dsn, "PlotID", "TreeID", y""",
     *CENSUS,
 )
 def melt_wide(spark, sf_dir):
-    cells = [F.max(F.when(F.col(YEAR) == y, F.col(DBH))).alias(f"DBH_{y}") for y in YEARS]
-    wide = rows(spark, sf_dir).groupBy("dsn", PLOT, TREE).agg(*cells)
-    return reshape.melt_wide(wide, ["dsn", PLOT, TREE], [(f"DBH_{y}", y) for y in YEARS])
+    """One column per census from the table's first to its last year, and back to rows."""
+    df = rows(spark, sf_dir)
+    span = df.agg(F.min(YEAR).alias("a"), F.max(YEAR).alias("b")).first()
+    years = [] if span.a is None else range(span.a, span.b + 1)
+    cells = [F.max(F.when(F.col(YEAR) == y, F.col(DBH))).alias(f"DBH_{y}") for y in years]
+    wide = df.groupBy("dsn", PLOT, TREE).agg(*cells)
+    return reshape.melt_wide(wide, ["dsn", PLOT, TREE], [(f"DBH_{y}", y) for y in years])
 
 
 @query(f'SELECT {KEY_SQL}, "DBH", l_orderkey, l_linenumber FROM prepared', *PREPARED_ROWS)
@@ -1169,15 +1189,12 @@ def harmonize_long(spark, sf_dir):
     return harmonize(raw, submission, "dead", TIE).final().select(*_WHOLE_KEYS)
 
 
-WIDE_ROWS = "census AS ({})".format(
-    " UNION ALL ".join(
-        f"""SELECT 'in_bra_silva_2021_m' AS dsn, 'P' || CAST(l_suppkey % 10 AS VARCHAR) AS "PlotID",
-            CAST(l_partkey AS VARCHAR) AS "TreeID", CAST({y} AS INT) AS "YR",
-            max(CASE WHEN year(l_shipdate) = {y} AND l_returnflag <> 'N' THEN l_quantity END) AS "DBH"
-            FROM lineitem GROUP BY l_suppkey % 10, l_partkey"""
-        for y in YEARS
-    )
-)
+WIDE_ROWS = """census AS (
+  SELECT 'in_bra_silva_2021_m' AS dsn, 'P' || CAST(l_suppkey % 10 AS VARCHAR) AS "PlotID",
+         CAST(l_partkey AS VARCHAR) AS "TreeID", CAST(y AS INT) AS "YR",
+         max(CASE WHEN year(l_shipdate) = y AND l_returnflag <> 'N' THEN l_quantity END) AS "DBH"
+  FROM lineitem, (SELECT unnest(range(min(year(l_shipdate)), max(year(l_shipdate)) + 1)) AS y FROM lineitem)
+  GROUP BY l_suppkey % 10, l_partkey, y)"""
 WIDE_PREPARED = """prepared AS (
   SELECT *, lag("YR") OVER (PARTITION BY dsn, "PlotID", "TreeID" ORDER BY "YR") AS "PrevYR" FROM census)"""
 
@@ -1186,18 +1203,19 @@ WIDE_PREPARED = """prepared AS (
 def harmonize_wide(spark, sf_dir):
     """A raw wide table, one diameter column per census, to delivered rows."""
     measured = F.col("l_returnflag") != "N"
+    years = _ship_years(spark, sf_dir)
     wide = (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.expr("concat('P', l_suppkey % 10)").alias("plot"), "l_partkey")
         .agg(
             *[
                 F.max(F.when(measured & (F.year("l_shipdate") == y), F.col("l_quantity"))).alias(f"d_{y}")
-                for y in YEARS
+                for y in years
             ]
         )
     )
     ids = [mapping.Column("plot", PLOT), mapping.Column("l_partkey", TREE)]
-    submission = Submission("in_bra_silva_2021_m", ids, wide_pairs=[(f"d_{y}", y) for y in YEARS])
+    submission = Submission("in_bra_silva_2021_m", ids, wide_pairs=[(f"d_{y}", y) for y in years])
     return harmonize(wide, submission, "dead").final().select(*_WHOLE_KEYS)
 
 

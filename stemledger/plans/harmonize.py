@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stemledger.functions.values import col
 from stemledger.operators import census, many, mapping, reshape, status, validate
 from stemledger.operators.finalize import finalize
+from stemledger.plans.load import Loaded, admitted
 from stemledger.plans.staging import staged
 from stemledger.plans.submission import Submission, metadata_table, write_metadata
 from stemledger.schema import (
@@ -104,7 +105,7 @@ class Harmonized:
 
 
 def harmonize(
-    raw: DataFrame,
+    raw: DataFrame | Loaded,
     submission: Submission,
     disappeared: str = "dead",
     tie_break: Sequence[str | Column] | None = None,
@@ -113,8 +114,10 @@ def harmonize(
 
     Without a status column the status is derived from census structure. In a
     single census there is no structure, so a measured tree is alive and an
-    unmeasured one missing.
+    unmeasured one missing. A loaded table (see ``plans.load``) that does not pass
+    its gate is refused.
     """
+    raw = admitted(raw)
     census_type = CensusType.parse(submission.metadata.census_type)
     mapped = map_submission(raw, submission)
     # One dataset needs no dataset key: as a constant it would only blur the joins.
@@ -157,8 +160,9 @@ def harmonize_many(
     )
 
 
-def diagnose(raw: DataFrame, dsn: str, census_type: CensusType | str = "multi") -> Harmonized:
+def diagnose(raw: DataFrame | Loaded, dsn: str, census_type: CensusType | str = "multi") -> Harmonized:
     """A table that already has canonical columns: only validated, never changed."""
+    raw = admitted(raw)
     raw = raw if DSN in raw.columns else raw.withColumn(DSN, F.lit(dsn))
     rows = conform(readable_rows(raw))
     return Harmonized(rows, rows, CensusType.parse(census_type), deduplicated=False, unread=unread_rows(raw))
