@@ -226,6 +226,8 @@ def export(
             provenance,
             dataset_column=dataset_column,
         ).collect()
+        if not done:
+            writers.write_hollow_workbook(named.columns, path, provenance)
         written[-1:] = sorted(r.path for r in done) or [path]
 
     if validate.UNKNOWN_STATUS.name in {f.rule for f in report}:
@@ -315,6 +317,9 @@ def deliver(
     final = finalize(rows, kind).drop("_census_type")
     if strict:
         final = final.join(blocking.select(DSN).distinct(), DSN, "left_anti")
+    named = datasets.select(DSN)  # those that lose all their rows still get a file
+    if strict:
+        named = named.join(blocking.select(DSN).distinct(), DSN, "left_anti")
     provenance = Provenance.draft("", timestamp)
     base = folder.rstrip("/")
     written = []
@@ -324,7 +329,7 @@ def deliver(
             ordered = census.census_sort(final, unique=True)
             writers.write_parquet(ordered, path, provenance, [DSN])
         elif fmt == "csv":
-            writers.write_csv_by_dataset(final, path, provenance)
+            writers.write_csv_by_dataset(final, path, provenance, datasets=named)
         elif fmt == "xlsx":
             done = writers.write_workbooks(
                 final, path, lambda dsn, file: draft_name(f"{dsn}_{file + 1}", "xlsx"), provenance

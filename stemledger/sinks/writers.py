@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import math
 import zipfile
 from collections.abc import Callable, Sequence
 from dataclasses import replace
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from stemledger.functions.values import col
 from stemledger.operators.census import census_sort
 from stemledger.operators.joins import left_join_groups
-from stemledger.schema import DSN, ROW_KEYS, TREE_KEYS
+from stemledger.plans.staging import staged
+from stemledger.schema import DSN, ROW_KEYS
 from stemledger.sinks.provenance import Provenance
 
 # Fixed value: rows a sheet can hold below its header row.
@@ -83,45 +85,57 @@ def _write_lines(lines: DataFrame, path: str, partition_by: Sequence[str] = ())
     (writer.partitionBy(*partition_by) if partition_by else writer).text(path)
 
 
-def with_file_number(
-    df: DataFrame, rows_per_file: int, dataset_column: str = DSN
-) -> DataFrame:
-    """Add ``_file``: spreads a dataset's trees over as many files as its size asks for.
+def with_file_number(df: DataFrame, rows_per_file: int, dataset_column: str = DSN) -> DataFrame:
+    """Add ``_place``, a row's number in its dataset in census order, and ``_file``, the file it belongs to.
 
-    The per-dataset row count is a small aggregate joined back unhinted. A tree
-    stays in one file, so a measurement should occur once, as ``prepare`` leaves
-    it; copies are still written whole, but by one task.
+    Two passes: rows are sorted over all tasks and staged with their number within the task; the rows of each dataset in
+    each task are counted, and the running sums of these few counts turn numbers within tasks into places. So every file
+    but a dataset's last holds exactly ``rows_per_file`` rows, whatever the data, and no dataset or tree is gathered.
     """
-    files = df.groupBy(dataset_column).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).cast("int").alias("_files")
+    ordered = df.orderBy(dataset_column, *ROW_KEYS)
+    rows = staged(
+        ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "places"
     )
-    bucket = F.pmod(F.xxhash64(*TREE_KEYS), F.col("_files").cast("bigint"))
-    return left_join_groups(df, files, [dataset_column]).withColumn("_file", bucket.cast("int")).drop("_files")
+    counts = rows.groupBy(dataset_column, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = W.partitionBy(dataset_column).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    shifts = counts.select(dataset_column, "_part", (earlier - F.col("_first")).alias("_shift"))
+    placed = left_join_groups(rows, shifts, [dataset_column, "_part"])
+    place = F.col("_at") + F.col("_shift")
+    file = F.floor(place / F.lit(rows_per_file)).cast("int")
+    return placed.withColumns({"_place": place, "_file": file}).drop("_part", "_at", "_shift")
 
 
 def write_csv_by_dataset(
-    df: DataFrame, path: str, provenance: Provenance, rows_per_file: int = 2_000_000
+    df: DataFrame,
+    path: str,
+    provenance: Provenance,
+    rows_per_file: int = 2_000_000,
+    datasets: DataFrame | None = None,
 ) -> None:
-    """Many datasets as CSV under ``dsn=…/file=…``, each file with its own preamble.
+    """Many datasets as CSV under ``dsn=…/file=…``, each file with its own preamble, in census order.
 
-    A window per file gives the census order and marks the first row; it ranks
-    without holding rows, and the write needs no further sort.
+    Files are numbered from 0 and full but for a dataset's last. ``datasets`` names datasets that may have no rows left;
+    they get a file with the preamble alone.
     """
     names = df.columns
     start, end = replace(provenance, dsn="\0").comment_line().split("\0")
-    preamble = F.concat(F.lit(start), F.col(DSN), F.lit(f"{end}\n{_csv_header(names)}\n"))
-    one_file = W.partitionBy(DSN, "_file").orderBy(*ROW_KEYS)
+    preamble = F.concat(F.lit(start), F.coalesce(F.col(DSN), F.lit("")), F.lit(f"{end}\n{_csv_header(names)}"))
     line = _csv_line(names)
-    lines = (
-        with_file_number(df, rows_per_file)
-        .withColumn("_rank", F.row_number().over(one_file))
-        .select(
-            DSN,
-            F.col("_file").alias("file"),
-            F.when(F.col("_rank") == 1, F.concat(preamble, line)).otherwise(line).alias("value"),
-        )
+    first = F.col("_place") % rows_per_file == 0
+    numbered = with_file_number(df, rows_per_file).select(
+        DSN,
+        F.col("_file").alias("file"),
+        F.col("_place").alias("place"),
+        F.when(first, F.concat_ws("\n", preamble, line)).otherwise(line).alias("value"),
     )
-    _write_lines(lines, path, [DSN, "file"])
+    if datasets is not None:
+        hollow = datasets.select(DSN).distinct().join(numbered.select(DSN).distinct(), DSN, "left_anti")
+        numbered = numbered.unionByName(
+            hollow.select(DSN, F.lit(0).alias("file"), F.lit(0).cast("bigint").alias("place"), preamble.alias("value"))
+        )
+    together = numbered.repartition(DSN, "file").sortWithinPartitions(DSN, "file", "place")
+    _write_lines(together.select(DSN, "file", "value"), path, [DSN, "file"])
 
 
 def write_parquet(
@@ -156,9 +170,8 @@ def write_workbooks(
     """One workbook per dataset, or several for a large one, each written by its own task.
 
     Returns ``(dsn, file, path, row_count)``; the work is done when that is
-    executed. A group is at most one sheet, so a task's memory is bounded; should
-    hashing ever overfill a sheet, the write fails rather than lose rows.
-    ``folder`` must be reachable from every executor.
+    executed. A group is at most one sheet, full but for a dataset's last, so a
+    task's memory is bounded. ``folder`` must be reachable from every executor.
     """
     if rows_per_workbook > MAX_SHEET_ROWS:
         raise ValueError(f"a sheet holds at most {MAX_SHEET_ROWS} rows")
@@ -166,9 +179,7 @@ def write_workbooks(
 
     def write_one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         dsn, file = str(key[0]), int(key[1])
-        if len(rows) > MAX_SHEET_ROWS:
-            raise ValueError(f"{len(rows)} rows of {dsn} do not fit one sheet; use more files")
-        ordered = rows.sort_values(list(ROW_KEYS), kind="stable")[names]
+        ordered = rows.sort_values("_place")[names]
         target = f"{folder.rstrip('/')}/{name(dsn, file)}"
         _save(target, workbook_bytes(ordered, replace(provenance, dsn=dsn)))
         return pd.DataFrame(
@@ -182,6 +193,11 @@ def write_workbooks(
     )
 
 
+def write_hollow_workbook(names: Sequence[str], path: str, provenance: Provenance) -> None:
+    """A workbook with its header row and provenance alone."""
+    _save(path, workbook_bytes(pd.DataFrame(columns=list(names)), provenance))
+
+
 def _save(path: str, content: bytes) -> None:
     """Write under a private name and move into place, so a retried task leaves one file."""
     import uuid
@@ -249,8 +265,8 @@ def workbook_bytes(rows: pd.DataFrame, provenance: Provenance) -> bytes:
         book.writestr("xl/_rels/workbook.xml.rels", _WORKBOOK_RELATIONS)
         with book.open("xl/worksheets/sheet1.xml", "w") as sheet:
             _write_sheet(sheet, [rows.columns.tolist()])
-            for values in rows.itertuples(index=False, name=None):
-                sheet.write(_row_xml(values))
+            for number, values in enumerate(rows.itertuples(index=False, name=None), 2):
+                sheet.write(_row_xml(values, number))
             sheet.write(_SHEET_END.encode())
         with book.open("xl/worksheets/sheet2.xml", "w") as sheet:
             _write_sheet(sheet, provenance.items())
@@ -260,16 +276,17 @@ def workbook_bytes(rows: pd.DataFrame, provenance: Provenance) -> bytes:
 
 def _write_sheet(sheet, rows) -> None:
     sheet.write(_SHEET_START.encode())
-    for values in rows:
-        sheet.write(_row_xml(values))
+    for number, values in enumerate(rows, 1):
+        sheet.write(_row_xml(values, number))
 
 
-def _row_xml(values) -> bytes:
+def _row_xml(values, number: int) -> bytes:
+    """A row of cells; numbers that a sheet cannot hold are left out, as nulls are."""
     cells = []
     for i, value in enumerate(values):
-        if value is None or value is pd.NA or value != value:
+        if value is None or value is pd.NA or value != value or value in (math.inf, -math.inf):
             continue
-        at = f"r={quoteattr(_column_letters(i))}"
+        at = f"r={quoteattr(_column_letters(i) + str(number))}"
         if isinstance(value, bool):
             cells.append(f'<c {at} t="b"><v>{int(value)}</v></c>')
         elif isinstance(value, str):
@@ -279,7 +296,7 @@ def _row_xml(values) -> bytes:
             cells.append(f"<c {at}><v>{value}</v></c>")
         else:
             cells.append(f'<c {at} t="inlineStr"><is><t>{escape(str(value))}</t></is></c>')
-    return f"<row>{''.join(cells)}</row>".encode()
+    return f'<row r="{number}">{"".join(cells)}</row>'.encode()
 
 
 def _column_letters(index: int) -> str:

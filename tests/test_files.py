@@ -190,6 +190,46 @@ def test_csv_by_dataset(spark, folder):
     assert back.count() == 500
 
 
+def test_files_are_full_but_for_the_last_whatever_the_trees(spark, folder):
+    """One tree with copies of one measurement fills files like any other rows; a dataset without rows gets a header."""
+    df = spark.range(1000).selectExpr(
+        "CASE WHEN id < 900 THEN 'hot' ELSE 'small' END AS dsn", "'P' AS PlotID",
+        "CASE WHEN id < 700 THEN 'T' ELSE concat('T', id) END AS TreeID", "2000 AS YR", "id AS DBH",
+    )
+    datasets = spark.createDataFrame([("hot",), ("small",), ("none",)], "dsn string")
+    writers.write_csv_by_dataset(df, f"{folder}/all", STAMP, rows_per_file=100, datasets=datasets)
+    sizes = {}
+    for path in glob.glob(f"{folder}/all/dsn=*/file=*/part-*"):
+        lines = open(path).read().splitlines()
+        dsn, file = path.split("dsn=")[1].split("/")[0], path.split("file=")[1].split("/")[0]
+        assert lines[0].startswith("#") and lines[1] == "dsn,PlotID,TreeID,YR,DBH"
+        assert (dsn, file) not in sizes
+        sizes[dsn, file] = len(lines) - 2
+    assert sizes == {**{("hot", str(i)): 100 for i in range(9)}, ("small", "0"): 100, ("none", "0"): 0}
+    done = writers.write_workbooks(df, folder, lambda d, f: f"{d}_{f}.xlsx", STAMP, rows_per_workbook=450).collect()
+    assert sorted((r.dsn, r.file, r.row_count) for r in done) == [("hot", 0, 450), ("hot", 1, 450), ("small", 0, 100)]
+
+
+def test_export_without_rows_writes_what_it_names(spark, folder):
+    raw = spark.createDataFrame([("P", "T", 2000, "0", 1.0)], "PlotID string, TreeID string, YR int, Status string, DBH double")
+    submission = Submission("in_a", [mapping.Column(c, c) for c in raw.columns])
+    written = plans.export(plans.harmonize(raw, submission), submission, folder, "b", strict=False)
+    assert all(os.path.exists(path) for path in written)
+    with zipfile.ZipFile(f"{folder}/b_DRAFT.xlsx") as book:
+        assert book.read("xl/worksheets/sheet1.xml").count(b"<row") == 1
+
+
+def test_cells_have_references_and_numbers_a_sheet_can_hold(folder):
+    import pandas as pd
+
+    book = writers.workbook_bytes(pd.DataFrame({"a": [1.5, float("inf")], "b": ["x", "y"]}), STAMP)
+    with open(f"{folder}/x.xlsx", "wb") as out:
+        out.write(book)
+    with zipfile.ZipFile(f"{folder}/x.xlsx") as z:
+        sheet = z.read("xl/worksheets/sheet1.xml").decode()
+    assert '<c r="A2"><v>1.5</v></c>' in sheet and '<c r="B3"' in sheet and "inf" not in sheet
+
+
 def test_parquet_footer_and_sidecar_carry_provenance(spark, folder):
     writers.write_parquet(census_rows(spark), f"{folder}/x_DRAFT.parquet", STAMP)
     back = spark.read.parquet(f"{folder}/x_DRAFT.parquet")
