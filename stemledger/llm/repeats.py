@@ -141,6 +141,8 @@ def _mark(hashes: Hashes, which: np.ndarray, first: np.ndarray, ahead: np.ndarra
     start, distance = first[seg] + nth, ahead[seg] - nth
     # suffixes are only compared within one anchor and one distance
     key = group[seg] * (WINDOW + 1) + distance
+    met = _met_twice(mixed(hashes.of(start, WINDOW) ^ mixed(key.astype(np.uint64))))
+    key, start, seg, distance = key[met], start[met], seg[met], distance[met]
     order = np.argsort(key, kind="stable")
     key, start, seg, distance = key[order], start[order], seg[order], distance[order]
     base = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -164,6 +166,16 @@ def _mark(hashes: Hashes, which: np.ndarray, first: np.ndarray, ahead: np.ndarra
     np.minimum.at(near, which[seg[hit]], distance[hit])
 
 
+def _met_twice(hashes: np.ndarray) -> np.ndarray:
+    """Where a hash may stand that stands elsewhere too: all of these and, as buckets are few, some others.
+
+    A window whose hash occurs once equals no other one, so its suffix need not be sorted.
+    """
+    bits = np.uint64(max(1, int(8 * len(hashes)).bit_length()))
+    bucket = (hashes >> (np.uint64(64) - bits)).astype(np.int64)
+    return np.flatnonzero(np.bincount(bucket)[bucket] > 1) if len(hashes) else np.zeros(0, dtype=np.int64)
+
+
 def _mergesort(hashes: Hashes, start: np.ndarray, base: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Order of the suffixes within their classes (``base``: first place of the class, ``size``: its members).
 
@@ -422,7 +434,7 @@ def remove(docs: DataFrame) -> DataFrame:
     Texts of any length and alphabet are treated as their UTF-8 bytes. Extra columns are not looked at; an empty table gives no rows.
     """
     rows = docs.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("text_hash"))
-    joined = rows.join(spans(docs), "text_hash", "left").select("doc_id", "text", "spans")
+    joined = rows.join(spans(docs), "text_hash", "left").select(F.col("doc_id").cast("string"), "text", "spans")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -442,10 +454,12 @@ def remove(docs: DataFrame) -> DataFrame:
                 kept.append(data[at:])
                 out.append((len(data), b"".join(kept), [tuple(m) for m in merged]))
             frame = pd.DataFrame(out, columns=["n_bytes", "kept", "spans"])
-            frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+            frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            yield frame
 
-    return joined.mapInPandas(cut, "doc_id long, n_bytes long, kept binary, spans array<struct<start: int, end: int>>")
+    # ids go as text: pandas would round long ones beside a null
+    out = joined.mapInPandas(cut, "doc_id string, n_bytes long, kept binary, spans array<struct<start: int, end: int>>")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
