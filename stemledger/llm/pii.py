@@ -8,12 +8,12 @@ context words stands within ``CONTEXT_CHARS`` characters before or after it.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Fixed order of the base kinds; iban is this method's addition.
 KINDS = ("email", "ip", "card", "phone", "iban")
@@ -141,28 +141,27 @@ def scan(docs: DataFrame) -> DataFrame:
                 [(kind, a, b, score, text[a:b]) for kind, a, b, score in find(text)]
                 for text in batch["text"]
             ]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "spans": found})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": found})
 
-    schema = "doc_id long, spans array<struct<kind: string, start: int, end: int, score: double, value: string>>"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    # ids go as text: pandas would round long ones beside a null
+    schema = "doc_id string, spans array<struct<kind: string, start: int, end: int, score: double, value: string>>"
+    out = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Counts, digest and list of the spans of ``scan`` per document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, spans in zip(batch["doc_id"], batch["spans"], strict=True):
-                spans = list(spans)
-                texts = [f"{s['kind']}:{s['start']}:{s['end']}" for s in spans]
-                base = ",".join(t for t, s in zip(texts, spans, strict=True) if s["kind"] in BASE)
-                counts = [sum(s["kind"] == k for s in spans) for k in KINDS]
-                scores = ",".join(f"{s['score']:.2f}" for s in spans)
-                rows.append((doc_id, *counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(texts), scores))
-            names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "scores"]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
-
-    counted = ", ".join(f"n_{k} long" for k in KINDS)
-    return scan(docs).mapInPandas(run, f"doc_id long, {counted}, base_sha256 string, spans string, scores string")
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(*BASE))
+    scores = F.array_join(F.transform(spans, lambda s: F.format_string("%.2f", s["score"])), ",")
+    return scan(docs).select(
+        "doc_id", *map(_count, KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"), scores.alias("scores")
+    )
+
+
+def _count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
