@@ -14,6 +14,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -239,15 +240,17 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
             found = label(list(batch["text"]), shared.value, switch)
             yield pd.DataFrame(
                 {
-                    "doc_id": batch["doc_id"].astype("Int64"),
+                    "doc_id": batch["doc_id"],
                     "lang_pred": [f[0] for f in found],
                     "score": [f[1] for f in found],
                     "spans": [f[2] for f in found],
                 }
             )
 
-    schema = "doc_id long, lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    # ids go as text: pandas would round long ones beside a null
+    schema = "doc_id string, lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>"
+    out = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def held_out() -> Column:
@@ -263,13 +266,17 @@ def train(docs: DataFrame, max_docs: int = 20_000) -> Model:
 def accepted(docs: DataFrame, model: Model, least: float = 0.3, switch: float = SWITCH) -> DataFrame:
     """``docs`` without those that have no language, or less than ``least`` of their letters in the leading one.
 
-    The decision is made beside the rows, in one pass, so repeated rows and rows without an id are judged one by one.
+    The decision is made beside the rows, in one pass, so repeated rows and rows without an id are judged one by one. All
+    columns pass as they are, nulls and long ids too. Among languages with equally many letters the first in text order leads.
+    An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = label(list(batch["text"]), shared.value, switch)
-            yield batch[[lang != UNDETERMINED and score >= least for lang, score, _ in found]]
+            found = label(batch.column(at).to_pylist(), shared.value, switch)
+            kept = [lang != UNDETERMINED and score >= least for lang, score, _ in found]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    at = docs.columns.index("text")
+    return docs.mapInArrow(run, docs.schema)
