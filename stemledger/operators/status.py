@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stemledger.functions.values import col, normalised_dbh
 from stemledger.operators.census import (
     dataset_years,
+    dedup_first,
     plot_years,
+    tree_partition,
     tree_window,
     whole_tree,
     with_valid_span,
@@ -174,7 +177,17 @@ def derive_full(
     if code is None:
         return derive_status(df, by, years_from, census_type, where)
     rows = _with_structure(df, by, years_from, True, census_type, where)
-    last_row = (F.lit(True) if where is None else where) & is_multi(census_type) & (F.col(YEAR) == F.col("tree_last")) & (F.col("tree_last") < F.col("dataset_last"))
+    last_row = F.col("tree_last") < F.col("dataset_last")
+    return _with_added(rows, df.columns, code, last_row & _may_disappear(census_type, where))
+
+
+def _may_disappear(census_type: CensusType | str | Column, where: Column | None) -> Column:
+    return (F.lit(True) if where is None else where) & is_multi(census_type)
+
+
+def _with_added(rows: DataFrame, columns: Sequence[str], code: str, disappeared: Column) -> DataFrame:
+    """Rows with a status, and beside the last row of each tree that disappeared the row that is added."""
+    last_row = disappeared & (F.col(YEAR) == F.col("tree_last"))
     copies = F.when(last_row, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     both = rows.withColumn("_added", F.explode(copies))
     added = F.col("_added")
@@ -183,14 +196,69 @@ def derive_full(
         STATUS: F.when(added, F.lit(code)).otherwise(F.col(STATUS)),
         DBH: F.when(~added, F.col(DBH)),
     }
-    if PREV_YEAR in df.columns:
+    if PREV_YEAR in rows.columns:
         changes[PREV_YEAR] = F.when(added, F.col(YEAR)).otherwise(F.col(PREV_YEAR))
-    out = [changes[c].alias(c) if c in changes else col(c) for c in df.columns]
-    if STATUS not in df.columns:
+    out = [changes[c].alias(c) if c in changes else col(c) for c in columns]
+    if STATUS not in columns:
         out.append(changes[STATUS].alias(STATUS))
     return both.select(*out)
 
 
+def prepare_and_derive(
+    df: DataFrame,
+    disappeared: str = "none",
+    tie_break: Sequence[str | Column] | None = None,
+    by: Sequence[str] = BY,
+    census_type: CensusType | str | Column = CensusType.MULTI,
+    where: Column | None = None,
+) -> DataFrame:
+    """``prepare`` and ``derive_full`` in one, for tables with more plots than can be broadcast.
+
+    Joining each row to its plot would move all columns a third time, dealt out by plot, of which one may hold most rows.
+    Here plots meet only the keys of trees. Each tree gets one marker row with its plot's first and its dataset's last year,
+    which joins the tree's rows on their way to the tree windows. So rows move twice, once to lose their copies and once to
+    their tree, whatever the number of plots, and null keys are groups like any other.
+    """
+    dbh = normalised_dbh(F.col(DBH), df.schema[DBH].dataType)
+    trees = left_join_groups(df.select(*by, *TREE_KEYS).distinct(), _plot_dimension(df, by, with_last=True), [*by, PLOT])
+    years = [F.col("plot_first").alias("_plot_first"), F.col("dataset_last").alias("_dataset_last")]
+    markers = trees.select(*by, *TREE_KEYS, *years, F.lit(True).alias("_marker"))
+
+    rows = dedup_first(df.withColumn(DBH, dbh), tie_break, by).withColumn("_marker", F.lit(False))
+    both = rows.unionByName(markers, allowMissingColumns=True)
+    # a marker comes first in its tree and has no year, so that no row takes it for an earlier census
+    ordered = W.partitionBy(*tree_partition(by)).orderBy(F.desc("_marker"), YEAR)
+    whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    multi, linked = is_multi(census_type), F.lag(YEAR).over(ordered)
+    own = F.col(PREV_YEAR).try_cast("int") if PREV_YEAR in df.columns else F.lit(None).cast("int")
+    measured = F.when(F.col(DBH).isNotNull(), F.col(YEAR))
+    known = both.withColumns(
+        {
+            PREV_YEAR: F.when(multi, linked).otherwise(own),
+            "valid_first": F.min(measured).over(whole),
+            "valid_last": F.max(measured).over(whole),
+            "tree_last": F.max(YEAR).over(whole),
+            "plot_first": F.max("_plot_first").over(whole),
+            "dataset_last": F.max("_dataset_last").over(whole),
+        }
+    ).where(~F.col("_marker"))
+    unmeasured = F.col(DBH).isNull()
+    entered = (F.col(YEAR) == F.col("valid_first")) & (F.col("valid_first") > F.col("plot_first"))
+    status = (
+        F.when(multi & entered, RECRUIT)
+        .when(multi & unmeasured & (F.col(YEAR) > F.col("valid_last")), DEAD)
+        .when(unmeasured, MISSING)
+        .otherwise(ALIVE)
+    )
+    known = known.withColumn(STATUS, status if where is None else F.when(where, status).otherwise(F.col(STATUS)))
+    columns = [c for c in (*df.columns, *([] if PREV_YEAR in df.columns else [PREV_YEAR]))]
+    code = DISAPPEARED_CODES.get(disappeared)
+    if code is None:
+        return known.select(*[col(c) for c in columns], *([] if STATUS in columns else [STATUS]))
+    gone = F.col("tree_last") < F.col("dataset_last")
+    return _with_added(known, columns, code, gone & _may_disappear(census_type, where))
+
+
 def disappeared_rows(
     df: DataFrame, disappeared: str, by: Sequence[str] = BY, years_from: DataFrame | None = None
 ) -> DataFrame:

@@ -807,6 +807,13 @@ def derive_full(spark, sf_dir):
     return full.select(*KEY, PREV_YEAR, DBH, STATUS, "l_orderkey")
 
 
+@query(ORACLES["derive_full"])
+def derive_marked(spark, sf_dir):
+    """The same by marker rows: no row is joined to its plot."""
+    full = status.prepare_and_derive(rows(spark, sf_dir).drop("code"), "dead", TIE)
+    return full.select(*KEY, PREV_YEAR, DBH, STATUS, "l_orderkey")
+
+
 # --- validation ----------------------------------------------------------------------
 
 

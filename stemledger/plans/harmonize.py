@@ -109,13 +109,15 @@ def harmonize(
     submission: Submission,
     disappeared: str = "dead",
     tie_break: Sequence[str | Column] | None = None,
+    many_plots: bool = False,
 ) -> Harmonized:
     """The lazy plan from a raw table to prepared rows with a status.
 
     Without a status column the status is derived from census structure. In a
     single census there is no structure, so a measured tree is alive and an
     unmeasured one missing. A loaded table (see ``plans.load``) that does not pass
-    its gate is refused.
+    its gate is refused. ``many_plots`` says that plots are too many to broadcast
+    (see ``status.prepare_and_derive``).
     """
     raw = admitted(raw)
     census_type = CensusType.parse(submission.metadata.census_type)
@@ -127,7 +129,10 @@ def harmonize(
     if STATUS not in mapped.columns:
         if census_type is CensusType.MULTI:
             derived = disappeared
-            prepared = status.derive_full(prepared, disappeared, by=(), years_from=rows)
+            if many_plots:
+                prepared = status.prepare_and_derive(rows, disappeared, tie_break, by=())
+            else:
+                prepared = status.derive_full(prepared, disappeared, by=(), years_from=rows)
         else:
             alive = F.when(F.col(DBH).isNotNull(), ALIVE).otherwise(MISSING)
             prepared = prepared.withColumn(STATUS, alive)
@@ -142,19 +147,24 @@ def harmonize_many(
     lookups: DataFrame | None = None,
     disappeared: str = "dead",
     tie_break: Sequence[str | Column] | None = None,
+    many_plots: bool = True,
 ) -> Harmonized:
     """One plan from raw rows ``(dsn, cells)`` of any number of datasets to prepared rows with a status.
 
     ``mappings`` has a row per dataset (see ``operators.many``); ambiguous ones are refused before anything is read. Statuses
-    are derived in the datasets that map none. Each dataset keeps its own unit and census type.
+    are derived in the datasets that map none. Each dataset keeps its own unit and census type. Plots of many datasets are
+    taken to be too many to broadcast, unless ``many_plots`` says otherwise.
     """
     many.check_mappings(mappings, lookups)
     texts = many.map_datasets(raw, mappings, lookups)
     mapped = many.to_centimetres(conform(readable_rows(texts)))
     kind = F.col("census_type")
-    prepared = status.derive_full(
-        census.prepare(mapped, kind, tie_break), disappeared, years_from=mapped, census_type=kind, where=F.col("derive")
-    )
+    derive = F.col("derive")
+    if many_plots:
+        prepared = status.prepare_and_derive(mapped, disappeared, tie_break, census_type=kind, where=derive)
+    else:
+        linked = census.prepare(mapped, kind, tie_break)
+        prepared = status.derive_full(linked, disappeared, years_from=mapped, census_type=kind, where=derive)
     return Harmonized(
         mapped, prepared, kind, disappeared=disappeared, unread=many.to_centimetres(unread_rows(texts))
     )

@@ -268,3 +268,47 @@ def test_a_hot_plot_is_split_when_plots_are_too_many_to_broadcast(spark):
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     assert "SortMergeJoin(skew=true)" in plan.split("Initial Plan")[0]
+
+
+def random_rows(seed, n=400):
+    rng = random.Random(seed)
+    pick = lambda *values: rng.choice(values)
+    return [
+        (pick("a", "b", "c"), pick("P", "Q", "R", None), pick(*"TUVWX", None), pick(2000, 2001, 2005, 2009, None), pick(1.0, 2.0, None, float("nan")), i)
+        for i in range(n)
+    ]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("treatment", ["dead", "missing", "none"])
+def test_markers_give_the_same_rows_as_the_plot_join(spark, seed, treatment):
+    df = spark.createDataFrame(random_rows(seed), f"{SCHEMA}, payload long").where("dsn <> 'c' or YR <> 2009")
+    kinds = spark.createDataFrame([("b", "single")], "dsn string, census_type string")
+    typed = census.with_census_type(df, kinds).withColumn("Status", F.lit("5"))
+    kind, where = F.col("census_type"), F.col("dsn") != "c"
+    joined = status.derive_full(census.prepare(df, tie_break=["payload"]), treatment, years_from=df)
+    marked = status.prepare_and_derive(df, treatment, ["payload"])
+    rows = lambda d: sorted((tuple(str(v) for v in r) for r in d.select(sorted(d.columns)).collect()))
+    assert rows(marked) == rows(joined)
+    joined = status.derive_full(
+        census.prepare(typed, kind, ["payload"]), treatment, years_from=typed, census_type=kind, where=where
+    )
+    assert rows(status.prepare_and_derive(typed, treatment, ["payload"], census_type=kind, where=where)) == rows(joined)
+
+
+def test_wide_rows_move_twice_when_plots_cannot_be_broadcast(spark):
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/wide"
+    df = spark.createDataFrame(random_rows(3), f"{SCHEMA}, payload long")
+    df.write.mode("overwrite").parquet(path)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        full = status.prepare_and_derive(spark.read.parquet(path), "dead", ["payload"])
+        text = full._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        blocks = [b for b in text.split("\n\n") if ") Exchange" in b.strip().split("\n")[0]]
+        assert sum("payload" in b for b in blocks) == 2
+        assert full.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
