@@ -286,13 +286,17 @@ _LOADED = {
 }
 
 
+def _load_sql(ordinal: int, header: str, field: str | None) -> str:
+    named = "NULL" if field is None else f"'{field}'"
+    return (
+        f"SELECT CAST({ordinal} AS INT) AS ordinal, '{header}' AS header, {named} AS field, count(*) AS n_rows, "
+        f'count(*) - count("{header}") AS n_null, '
+        f"""CASE WHEN count("{header}") = 0 THEN 'all_null_column' END AS problem FROM loaded"""
+    )
+
+
 @query(
-    " UNION ALL ".join(
-        f"SELECT CAST({i} AS INT) AS ordinal, '{name}' AS header, {f"'{field}'" if field else 'NULL'} AS field, "
-        f"count(*) AS n_rows, count(*) - count(\"{name}\") AS n_null, "
-        f"CASE WHEN count(\"{name}\") = 0 THEN 'all_null_column' END AS problem FROM loaded"
-        for i, (name, field) in enumerate(_LOADED.items())
-    ),
+    " UNION ALL ".join(_load_sql(i, name, field) for i, (name, field) in enumerate(_LOADED.items())),
     ROWS,
     "loaded AS (SELECT *, NULL AS spare FROM census)",
 )
