@@ -74,8 +74,10 @@ def mix(
     """``docs`` as often as the mixture draws them, with ``_epoch``, ``_block``, ``_order`` and ``_tokens``.
 
     Reading by (_epoch, _order) is the permuted order: blocks are permuted anew in each pass. A source's last, partial pass takes
-    blocks in the order of its permutation, and of the block in which the budget ends the documents before the end, so no source gets
-    more than its budget. Documents with one id share a place and a fate.
+    blocks in the order of its permutation, and of the block in which the budget ends the documents before the end. The document in
+    which it ends is drawn if at least half of it lies within the budget, so that long documents are not left out as a rule, and
+    in any case if its source would have no document otherwise. A source is off its budget by less than one document.
+    Documents with one id share a place and a fate.
 
     A null source counts as the empty name, a null text as empty. Empty tables give no rows. Extra columns stay; columns named
     like the four above are replaced. A source may hold any part of the rows: its documents are spread over its blocks.
@@ -102,15 +104,22 @@ def mix(
     blocks = blocks.withColumn("_left", F.col("_rest") - F.sum("size").over(by_source) + F.col("size"))
     blocks = staged(blocks, "mixing-blocks")
     # only the block in which a budget ends is looked into; documents up to a place in it are drawn once more
-    ending = blocks.filter("_left > 0 and _left < size").select("_source", "_block", "_left")
+    ending = blocks.filter("_left > 0 and _left < size").select(
+        "_source", "_block", "_left", ((F.col("_full") == 0) & (F.col("_left") == F.col("_rest"))).alias("_only")
+    )
     upto = Window.partitionBy("_source", "_block").orderBy("_place")
+    half_inside = 2 * (F.col("_left") - F.col("sum") + F.col("own")) >= F.col("own")
     cuts = (
         blocked.select("_source", "_block", "_place", "_tokens")
         .join(ending, ["_source", "_block"])
         .withColumn("sum", F.sum("_tokens").over(upto))
-        .filter("sum <= _left")
+        .withColumn("own", F.sum("_tokens").over(Window.partitionBy("_source", "_block", "_place")))
         .groupBy("_source", "_block")
-        .agg(F.max("_place").alias("_cut"))
+        .agg(
+            F.coalesce(
+                F.max(F.when(half_inside, F.col("_place"))), F.min(F.when(F.col("_only"), F.col("_place")))
+            ).alias("_cut")
+        )
     )
     cut = F.when(F.col("_left") >= F.col("size"), F.lit(2**62)).otherwise(F.coalesce("_cut", F.lit(-1)))
     decided = blocks.join(cuts, ["_source", "_block"], "left").select("_source", "_block", "_full", cut.alias("_cut"))

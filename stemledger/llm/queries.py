@@ -126,10 +126,13 @@ blocks AS (
   FROM placed GROUP BY s, block, rest),
 cut AS (
   SELECT d.*, b.remains, b.size,
-         sum(d.n_tokens) OVER (PARTITION BY d.s, d.block ORDER BY d.place RANGE UNBOUNDED PRECEDING) AS upto
+         sum(d.n_tokens) OVER (PARTITION BY d.s, d.block ORDER BY d.place RANGE UNBOUNDED PRECEDING) AS upto,
+         sum(d.n_tokens) OVER (PARTITION BY d.s, d.block, d.place) AS own,
+         min(d.place) OVER (PARTITION BY d.s, d.block) AS first
   FROM placed d JOIN blocks b USING (s, block)),
 counted AS (
-  SELECT *, times + CASE WHEN remains >= size OR upto <= remains THEN 1 ELSE 0 END AS copies FROM cut)
+  SELECT *, times + CASE WHEN remains >= size OR 2 * (remains - upto + own) >= own
+      OR (times = 0 AND remains = rest AND rest > 0 AND place = first) THEN 1 ELSE 0 END AS copies FROM cut)
 SELECT doc_id, source, n_tokens, CAST(e.epoch AS BIGINT) AS epoch, block,
        CAST('0x' || substr(md5(concat_ws('|', 'mix', e.epoch, s, block)), 1, 15) AS BIGINT) AS block_order
 FROM counted, LATERAL (SELECT unnest(range(copies)) AS epoch) e
