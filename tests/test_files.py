@@ -14,7 +14,7 @@ from stemledger.plans.submission import Metadata, Submission, load_submission, s
 from stemledger.sinks import curation_log, writers
 from stemledger.sinks.provenance import Provenance, draft_name
 from stemledger.sources import readers, workbook
-from stemledger.streaming.intake import collect_arrivals
+from stemledger.streaming.intake import collect_arrivals, collect_unread
 
 STAMP = Provenance.draft("in_per_ruiz_2020_m", "2024-01-31T00:00:00+00:00")
 
@@ -460,3 +460,8 @@ def test_arrivals_count_once(spark, folder):
     write(f"{inbox}/b.csv", "Plot,Tag,Year,Diam\nP1,Z,2010,70\n")
     assert run() == 16
     assert spark.read.parquet(table).where("TreeID = 'Z'").first().DBH == 7.0
+    write(f"{inbox}/c.csv", "Plot,Tag,Year,Diam\nP1,Z,n.d.,70\nP1,Y,2010,ca. 4\n")
+    assert run() == 17
+    stream = spark.readStream.option("header", True).schema("Plot string, Tag string, Year string, Diam string").csv(inbox)
+    collect_unread(stream, long_submission(), f"{folder}/unread", f"{folder}/state2").awaitTermination()
+    assert {tuple(r._unread.items()) for r in spark.read.parquet(f"{folder}/unread").collect()} >= {(("YR", "n.d."),)}
