@@ -31,7 +31,8 @@ from stemledger.plans.load import load_frame
 from stemledger.plans.staging import new_path
 from stemledger.plans.submission import Metadata, Submission, mapping_table
 from stemledger.schema import DBH, PLOT, PREV_YEAR, STATUS, TREE, UNREAD, YEAR, conform, readable_rows, unread_rows
-from stemledger.sinks import curation_log
+from stemledger.sinks import curation_log, writers
+from stemledger.sinks.provenance import Provenance
 from stemledger.sources.readers import header_catalogue, preview, read_table, row_count
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1086,6 +1087,26 @@ def export_single(spark, sf_dir):
     return census.census_sort(final, unique=True).select(*KEY, DBH, STATUS, "l_orderkey")
 
 
+_STAMP = Provenance("draft", "1", "schema", "", "2024-01-31")
+
+
+@query(
+    f"""SELECT dsn, CAST(place // 1000 AS INT) AS file, place,
+          CASE WHEN place % 1000 = 0 THEN '# build=draft app_version=1 schema_version=schema dsn=' || coalesce(dsn, '') || ' timestamp=2024-01-31'
+            || chr(10) || 'dsn,PlotID,TreeID,YR,PrevYR,DBH,Status' || chr(10) ELSE '' END || line AS "value"
+        FROM (SELECT dsn, row_number() OVER (PARTITION BY dsn ORDER BY "PlotID", "TreeID", "YR") - 1 AS place,
+                dsn || ',' || "PlotID" || ',' || "TreeID" || ',' || CAST("YR" AS VARCHAR) || ',' || coalesce(CAST("PrevYR" AS VARCHAR), '')
+                || ',' || coalesce(CAST("DBH" AS VARCHAR), '') || ',' || "Status" AS line
+              FROM (SELECT {_FIN} FROM recoded WHERE NOT ("Status" = '2' AND "DBH" IS NULL)
+                    AND NOT ("PrevYR" IS NULL AND "Status" IN ('0', '1'))))""",
+    *CODED_PREPARED, RECODED,
+)
+def render_csv(spark, sf_dir):
+    """Lines of the delivered files, numbered within each dataset, a thousand to a file."""
+    final = _fin(finalize.finalize(prepared_coded(spark, sf_dir))).drop("l_orderkey")
+    return writers.csv_lines(final, _STAMP, rows_per_file=1000)
+
+
 SINGLES = "dsn IN ('D0', 'D1')"
 PREPARED_MIXED = f"""pm AS (
   SELECT * REPLACE (CASE WHEN {SINGLES} THEN NULL ELSE "PrevYR" END AS "PrevYR") FROM pc)"""

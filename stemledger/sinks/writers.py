@@ -106,14 +106,10 @@ def with_file_number(df: DataFrame, rows_per_file: int, dataset_column: str = DS
     return placed.withColumns({"_place": place, "_file": file}).drop("_part", "_at", "_shift")
 
 
-def write_csv_by_dataset(
-    df: DataFrame,
-    path: str,
-    provenance: Provenance,
-    rows_per_file: int = 2_000_000,
-    datasets: DataFrame | None = None,
-) -> None:
-    """Many datasets as CSV under ``dsn=…/file=…``, each file with its own preamble, in census order.
+def csv_lines(
+    df: DataFrame, provenance: Provenance, rows_per_file: int = 2_000_000, datasets: DataFrame | None = None
+) -> DataFrame:
+    """``(dsn, file, place, value)``: the CSV line of each row, with the file's preamble before its first.
 
     Files are numbered from 0 and full but for a dataset's last. ``datasets`` names datasets that may have no rows left;
     they get a file with the preamble alone.
@@ -134,7 +130,19 @@ def write_csv_by_dataset(
         numbered = numbered.unionByName(
             hollow.select(DSN, F.lit(0).alias("file"), F.lit(0).cast("bigint").alias("place"), preamble.alias("value"))
         )
-    together = numbered.repartition(DSN, "file").sortWithinPartitions(DSN, "file", "place")
+    return numbered
+
+
+def write_csv_by_dataset(
+    df: DataFrame,
+    path: str,
+    provenance: Provenance,
+    rows_per_file: int = 2_000_000,
+    datasets: DataFrame | None = None,
+) -> None:
+    """Many datasets as CSV under ``dsn=…/file=…``, each file with its own preamble, in census order (see ``csv_lines``)."""
+    lines = csv_lines(df, provenance, rows_per_file, datasets)
+    together = lines.repartition(DSN, "file").sortWithinPartitions(DSN, "file", "place")
     _write_lines(together.select(DSN, "file", "value"), path, [DSN, "file"])
 
 
