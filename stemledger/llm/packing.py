@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from stemledger.llm.shared import staged
 
 #: Distinct white-space separated words whose ids a task remembers before it lets those go that were not met lately.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 150_000
 #: Pieces of one length and salt that one task numbers, about.
 RANKED_TOGETHER = 20_000
 
