@@ -19,6 +19,8 @@ from stemledger.llm.shared import staged
 MAGIC = "WARC/1.1\r\n"
 HEAD_END = "\r\n\r\n"
 RECORD_END = "\r\n\r\n"
+#: Bits of the bitmap that tells payloads with copies.
+BITMAP = 1 << 24
 #: Written into every record unless the caller gives another.
 DATE = "2000-01-01T00:00:00Z"
 
@@ -37,11 +39,28 @@ def decide(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     key = F.when(F.col("payload_bytes") >= least_bytes, F.sha2(F.col("payload").cast("binary"), 256))
     rows = rows.withColumn("same", key)
     kept = rows.filter("same is not null").groupBy("same").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
-    out = rows.join(kept.filter("n > 1 and kept is not null").drop("n"), "same", "left").drop("same")
+    kept = staged(kept.filter("n > 1 and kept is not null").drop("n"), "warc-copies")
+    # payloads without copies, all but a few, stay where they are
+    met = _with_likely(rows, kept)
+    alone = met.filter(~F.col("likely")).withColumn("kept", F.lit(None).cast("long"))
+    out = met.filter("likely").join(kept, "same", "left").select(alone.columns).union(alone).drop("same", "likely")
     refers = F.when(F.col("kept").isNotNull() & ~F.col("kept").eqNullSafe(F.col("page_id")), F.col("kept"))
     return out.withColumn("refers_to", refers).drop("kept")
 
 
+def _with_likely(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """``rows`` with ``likely``, false only where ``same`` is no key of ``members``: a bitmap of fixed size tells."""
+    at = F.pmod(F.xxhash64("same"), F.lit(BITMAP))
+    bits = members.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")
+    )  # BITMAP bits in all
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)) & F.col("same").isNotNull()
+    met = rows.withColumn("part", F.bitmap_bucket_number(at)).join(F.broadcast(bits), "part", "left")
+    return met.withColumn("likely", bit).drop("part", "bits")
+
+
 def write(pages: DataFrame, path: str, least_bytes: int = 1000, date: str = DATE, records_per_file: int = 50_000) -> None:
     """Write a record per page to archives under ``path``; revisits carry no payload."""
     rows = decide(pages, least_bytes)
@@ -80,6 +99,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             "value",
         )
     )
+    # numbers hold for one reading only: another may split the files elsewhere
+    chunks = staged(chunks, "warc-chunks", "zstd")
     head = F.substring_index("value", HEAD_END, 1)
     split = chunks.withColumn("head", F.when(F.col("value").contains(HEAD_END), head))
     stated = F.regexp_extract(F.concat(F.lit("\r\n"), "head", F.lit("\r\n")), r"(?i)\r\nContent-Length: *([0-9]{1,18})\r\n", 1)
@@ -163,6 +184,7 @@ def field(name: str) -> Column:
 def page_records(spark: SparkSession, path: str) -> DataFrame:
     """What the archives say of each page: payload bytes and digest, record type, and the response a revisit refers to.
 
+    Extra columns of the archives' pages are not looked at, empty archives give no rows, and payloads of any length are read whole.
     Bytes and digest are those of the payload as read back; a revisit takes them from its response. Nulls: a null page
     is an empty payload, a null page id stays null and is never referred to. Repeated rows are records of their own.
     """
