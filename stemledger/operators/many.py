@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stemledger.functions.values import centimetres, col, parsed_double, year_of
+from stemledger.operators.joins import few_whole
 from stemledger.operators.mapping import exact_key
 from stemledger.schema import CENSUS_SCHEMA, DBH, DSN, PLOT_ATTRIBUTES, STATUS, YEAR, DbhUnit
 
@@ -146,12 +147,13 @@ def map_datasets(raw: DataFrame, mappings: DataFrame, lookups: DataFrame | None
     ``lookups`` are rows ``(dsn, lookup_key, PA, Latitude, Longitude)``, of which any of the last three may be left out:
     numbers looked up by the column that the dataset's lookup expressions name; a repeated key repeats the row.
 
-    The mappings are one row per dataset, joined without a hint; a dataset with most rows is split by adaptive execution.
+    The mappings are one row per dataset. Up to ``joins.FEW_GROUPS`` of them go to each task whole, so that rows stay where
+    they are: dealt out by dataset, few datasets would be few tasks. Each field's expression is picked out beside its mapping.
     """
-    taken = F.transform(F.col("exprs"), lambda e: F.struct(e["target"], e))
+    by_field = F.map_from_entries(F.transform(F.col("exprs"), lambda e: F.struct(e["target"], e)))
     rules = mappings.select(
         col(DSN).alias("_dsn"),
-        F.map_from_entries(taken).alias("_exprs"),
+        *[F.element_at(by_field, F.lit(f)).alias(_rule(f)) for f in FIELDS],
         F.map_from_entries("codes").alias("_codes"),
         F.col("wide").alias("_wide"),
         F.coalesce("dbh_unit", F.lit(DbhUnit.CM.value)).alias("_unit"),
@@ -164,12 +166,12 @@ def map_datasets(raw: DataFrame, mappings: DataFrame, lookups: DataFrame | None
         ).alias("_used"),
         F.filter("exprs", lambda e: e["kind"] == "lookup")[0]["sources"][0].alias("_key"),
     )
-    rows = raw.select(DSN, CELLS).join(rules, F.col(DSN) == F.col("_dsn"))
+    rows = raw.select(DSN, CELLS).join(few_whole(rules), F.col(DSN) == F.col("_dsn"))
     fields = {f: _field(f) for f in FIELDS}
     if lookups is not None:
         rows = _with_lookups(rows, lookups)
         for f in sorted(_NUMBERS & set(lookups.columns)):
-            kind = F.element_at("_exprs", F.lit(f))["kind"]
+            kind = F.col(_rule(f))["kind"]
             fields[f] = F.when(kind == "lookup", F.col("_found")[f]).otherwise(fields[f])
     fields[STATUS] = F.coalesce(F.element_at("_codes", fields[STATUS]), fields[STATUS])
     census = F.struct(fields[YEAR].alias(YEAR), fields[DBH].alias(DBH))
@@ -178,11 +180,14 @@ def map_datasets(raw: DataFrame, mappings: DataFrame, lookups: DataFrame | None
     )
     censuses = F.when(F.size("_wide") > 0, wide).otherwise(F.array(census))
     own = [fields[f].alias(f) for f in FIELDS if f not in (YEAR, DBH)]
-    extras = F.map_filter(CELLS, lambda name, _: ~F.array_contains("_used", name))
-    derive = ~F.map_contains_key("_exprs", F.lit(STATUS))
-    out = rows.select(
-        DSN, *own, F.array_sort(F.map_entries(extras)).alias(EXTRAS), "census_type", derive.alias("derive"), "_unit", F.inline(censuses)
+    left = F.sort_array(F.array_except(F.map_keys(CELLS), "_used"))
+    extras = F.transform(left, lambda name: F.struct(name.alias("key"), F.element_at(CELLS, name).alias("value")))
+    derive = F.col(_rule(STATUS)).isNull()
+    # fields are taken before a row becomes one per census, so that neither cells nor mapping are repeated with it
+    taken = rows.select(
+        DSN, *own, extras.alias(EXTRAS), "census_type", derive.alias("derive"), "_unit", censuses.alias("_censuses")
     )
+    out = taken.select(*[c for c in taken.columns if c != "_censuses"], F.inline("_censuses"))
     return out.select(*FIELDS, DSN, EXTRAS, "census_type", "derive", "_unit")
 
 
@@ -192,9 +197,14 @@ def to_centimetres(df: DataFrame) -> DataFrame:
     return df.withColumn(DBH, F.when(in_mm, centimetres(F.col(DBH))).otherwise(F.col(DBH))).drop("_unit")
 
 
+def _rule(name: str) -> str:
+    """The column that holds the expression of a field, null where the dataset has none."""
+    return f"_rule_{name}"
+
+
 def _field(name: str) -> Column:
     """A field's text by the row's own expression; one SQL text per field, as plans are built from many small calls otherwise."""
-    e = f"element_at(_exprs, '{name}')"
+    e = _rule(name)
     first = f"element_at({CELLS}, get({e}.sources, 0))"
     parts = f"transform({e}.sources, s -> element_at({CELLS}, s))"
     joined = f"concat_ws(coalesce({e}.sep, '_'), CASE WHEN length({e}.prefix) > 0 THEN {e}.prefix END, {parts})"  # leaves nulls out

@@ -131,3 +131,12 @@ def test_exact_keys(spark):
     types = {f.name: f.dataType for f in n.schema}
     for r in n.select(*[mapping.exact_key(F.col(c), types[c]).alias(c) for c in "id"]).collect():
         assert r.i == r.d
+
+
+def test_rows_of_few_datasets_are_not_dealt_out_by_dataset(spark):
+    """Three datasets would be three tasks, with all rows among them."""
+    subs = [Submission(d, [IDS[0], mapping.YearOf("y")]) for d in "abc"]
+    rows = raw(spark, [(d, {"p": "1", "y": "2001", "z": "7", "a": None}) for d in "abc"])
+    df = many.map_datasets(rows, mapping_table(spark, subs))
+    assert "Exchange hashpartitioning(dsn" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [(r.PlotID, r.YR, [tuple(e) for e in r.extras]) for r in df.collect()] == [("1", "2001", [("a", None), ("y", "2001"), ("z", "7")])] * 3
