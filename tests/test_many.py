@@ -140,3 +140,11 @@ def test_rows_of_few_datasets_are_not_dealt_out_by_dataset(spark):
     df = many.map_datasets(rows, mapping_table(spark, subs))
     assert "Exchange hashpartitioning(dsn" not in df._jdf.queryExecution().executedPlan().toString()
     assert [(r.PlotID, r.YR, [tuple(e) for e in r.extras]) for r in df.collect()] == [("1", "2001", [("a", None), ("y", "2001"), ("z", "7")])] * 3
+
+
+def test_rows_are_mapped_once(spark):
+    """Trees, plots and rows are read from the staged rows, not mapped again for each."""
+    work = plans.harmonize_many(raw(spark, [("a", {"p": "1", "t": "2", "y": "2001", "d": "3"})]), mapping_table(spark, [Submission("a", IDS)]))
+    assert "cells" not in work.prepared._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.PlotID, r.TreeID, r.YR, r.DBH) for r in work.final().collect()] == []  # a lone first row without a link goes
+    assert [(r.PlotID, r.TreeID, r.YR, r.DBH) for r in work.prepared.collect()] == [("1", "2", 2001, 3.0)]
