@@ -4,9 +4,10 @@ import itertools
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stemledger.functions.countries import COUNTRY_CODES, with_iso3
-from stemledger.functions.values import dataset_id, normalised_dbh
+from stemledger.functions.values import dataset_id, normalised_dbh, parsed_double, parsed_integer
 from stemledger.operators import gate, headers, mapping, reshape
 from stemledger.plans.harmonize import canonical
 from stemledger.schema import DbhUnit, conform
@@ -297,3 +298,14 @@ def test_typed_tables_have_nothing_unreadable(spark):
     df = spark.createDataFrame([("P", "T", 2001, 1.0)], "PlotID string, TreeID string, YR int, DBH double")
     assert readable_rows(df) is df
     assert unread_rows(df).count() == 0
+
+
+def test_texts_that_begin_no_number_are_not_cast(spark):
+    """A failing cast raises an error in every row; what a cast would take is still read."""
+    df = spark.createDataFrame([(t,) for t in ("ca. 12", "unknown", " \t+1995 ", "\x001995.0", ".5", "-Infinity", "x")], "t string")
+    t = F.col("t")
+    got = df.select(parsed_double(t).alias("d"), parsed_integer(t, T.IntegerType()).alias("i"))
+    assert [(r.d, r.i) for r in got.collect()] == [
+        (None, None), (None, None), (1995.0, 1995), (1995.0, 1995), (0.5, None), (float("-inf"), None), (None, None),
+    ]
+    assert "iInN" in got._jdf.queryExecution().optimizedPlan().toString()
