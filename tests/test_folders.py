@@ -112,3 +112,11 @@ def test_upper_case_workbooks_are_found(spark, folder):
 def test_a_missing_folder_is_reported(spark, folder):
     with pytest.raises(Exception, match="(?i)does not exist|path"):
         readers.read_table(spark, f"{folder}/none.csv").count()
+
+
+def test_header_lines_are_found_without_sorting_lines(spark, folder):
+    for i in range(30):
+        write(f"{folder}/f{i:02}.csv", f"\n \na{i},b\n" + "1,2\n" * (25_000 if i == 3 else i))
+    found = folders.layouts(spark, folder)
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.dsn, r.header) for r in found.collect()) == [(f"f{i:02}", [f"a{i}", "b"]) for i in range(30)]
