@@ -43,9 +43,9 @@ SMOOTHING = 0.1
 SWITCH = 12.0
 #: Score of a language never seen in a word's script.
 UNSEEN = -1e4
-#: Characters scored together, and texts labelled together.
-SCORED_TOGETHER = 1_000_000
-LABELLED_TOGETHER = 8_000_000
+#: Characters scored together, and texts labelled together: a task holds some 50 MB for them.
+SCORED_TOGETHER = 250_000
+LABELLED_TOGETHER = 2_000_000
 UNDETERMINED = "und"
 
 

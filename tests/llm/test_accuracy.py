@@ -1,5 +1,8 @@
 """What fitted operators are worth: held-out accuracy of languages, what they learn from, and recall at the default."""
 
+import random
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -47,3 +50,19 @@ def test_recall_at_the_default(spark):
         best = set(ids[np.argsort(-score, kind="stable")[:20]].tolist())
         hits, total = hits + len(best & got[q]), total + len(best)
     assert hits / total >= 0.9
+
+
+def test_language_labels_need_little_memory():
+    """Every worker of an executor holds this beside what earlier stages left in it."""
+    dice = random.Random(1)
+    words = ["".join(dice.choices("abcdefghijklmnop", k=dice.randint(1, 9))) for _ in range(2000)]
+    texts = [" ".join(dice.choices(words, k=330)) for _ in range(5000)]
+    table = np.random.default_rng(0).normal(size=(langid.BUCKETS, 4)).astype(np.float32)
+    model = langid.Model(list("abcd"), table, np.ones((len(langid.NAMES), 4), dtype=bool))
+    whole = langid.label(texts[:50], model)
+    tracemalloc.start()
+    found = langid.label(texts, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[:50] == whole
+    assert peak < 80e6
