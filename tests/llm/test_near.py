@@ -120,6 +120,54 @@ def test_repeats_odd_rows(spark):
     assert repeats.digest(docs.limit(0)).count() == 0
 
 
+SKEW_SETTINGS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.shuffle.partitions": "32",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50KB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "25KB",
+}
+
+
+def collected_with_skew(spark, make):
+    """(rows, final plan) of a frame that is made and collected with SKEW_SETTINGS."""
+    before = {k: spark.conf.get(k, None) for k in SKEW_SETTINGS}
+    for key, value in SKEW_SETTINGS.items():
+        spark.conf.set(key, value)
+    try:
+        df = make()
+        rows = df.collect()
+        return rows, df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_repeats_split_a_passage_of_many_texts(spark):
+    rng = random.Random(23)
+    noise = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passage, ends = noise(1200), [noise(30) for _ in range(60)]
+    docs = documents(spark, [a + passage + b for a in ends for b in ends])
+    rows, plan = collected_with_skew(spark, lambda: repeats.spans(docs))
+    assert len(rows) == 3600
+    for r in rows:  # each end stands in 60 texts beside the passage
+        assert {i for s in r["spans"] for i in range(s["start"], s["end"])} == set(range(1260))
+    assert "SortMergeJoin(skew=true)" in plan
+
+
+@pytest.mark.parametrize("sorted_too", [False, True])
+def test_repeats_split_a_slice_of_many_segments(spark, sorted_too):
+    slices = spark.range(40_000, numPartitions=8).selectExpr(
+        "unhex(md5(string(id))) AS segment", "unhex(md5(string(IF(id % 2 = 0, 0, id)))) AS slice",
+        "smallint(7) AS ahead", "smallint(5) AS back",
+    )
+    one = slices.filter("slice = unhex(md5('1'))").selectExpr("slice AS segment", "9 AS far", "3 AS near")
+    rows, plan = collected_with_skew(spark, lambda: repeats._met_again(slices, repeats._widest(one) if sorted_too else None))
+    assert sorted((r["far"], r["near"]) for r in rows) == [(7, 5)] * 20_000 + [(9, 3)] * sorted_too
+    assert len({r["segment"] for r in rows}) == len(rows)
+    assert "SortMergeJoin(skew=true)" in plan
+
+
 VECTORS = "vec_id long, embedding array<double>, label int, copies long, cell int, leaf int"
 
 
