@@ -1,8 +1,10 @@
-"""Near copies among embeddings: spherical k-means cells, and blocked cosine products within cells.
+"""Near copies among embeddings: spherical k-means cells, and blocked cosine products of cells within reach of each other.
 
 Every vector lives in the cell of its nearest centroid. Two vectors at cosine ``least`` or more are at most ``reach`` apart, so
-a vector also visits each later cell whose border is within ``reach`` of it: no link over a border is lost, and each pair
-meets in one cell only. Cells are cut into blocks by hash, and each pair of blocks is a task of bounded size.
+if a border lies between them, their distances from it add up to ``reach`` at most. Cells are packed into shelves, and large ones
+cut by hash over several. A vector visits each shelf with a cell whose border is within ``reach`` of it, and each pair of
+shelves is a task of bounded size. There each two cells meet block by block, vectors next to the border first, and only
+as far as distances add up to ``reach``: no link over a border is lost, and each pair meets in one task only.
 """
 
 from __future__ import annotations
@@ -11,118 +13,191 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemledger.llm.shared import components, staged
-from stemledger.llm.vectors import by_length, kmeans, matrix, nearest, sound, unit
+from stemledger.llm.vectors import by_length, kmeans, nearest, sound, unit
 
 #: Vectors per cell that are aimed at, the most cells, and the most vectors per block.
 CELL = 4096
 MOST_CELLS = 512
 BLOCK = 4096
-#: Cosines this close to the threshold are computed again, pair by pair.
+#: Blocks per shelf, numbers per shelf if vectors are long, shelves that a small table gets, and the most tasks.
+SHELF = 8
+NUMBERS = 4_000_000
+SHELVES = 8
+TASKS = 10_000
+#: Vectors that meet a block at a time, and pairs that are computed again at a time.
+STRIP = 256
+AGAIN = 100_000
+#: Cosines this close to the threshold are computed again, pair by pair; distances from borders get as much leeway.
 CLOSE = 1e-9
 
+_FOUND = pa.schema([(name, pa.int64()) for name in ("vec_id", "links", "a", "b")])
 
-def _homes(centres: dict[int, np.ndarray], reach: float):
-    """(cell, role, vec_id, copies, vector): one home row per vector, and visits to later cells within reach."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for dim, rows in batch.groupby(batch["embedding"].map(len)):
-                c = centres.get(dim)
-                v = unit(matrix(rows["embedding"]))
-                if c is None:  # a length that the sample does not have: one cell of its own
-                    c = np.zeros((1, dim))
-                score = v @ c.T
-                home = nearest(v, c, True)
-                at = np.arange(len(v))
-                # distance from v to the border between its cell and another one
-                square = (c * c).sum(axis=1)
-                apart = np.sqrt(np.maximum(square[:, None] + square - 2 * c @ c.T, 0))
-                margin = score[at, home][:, None] - score
-                visits = (margin <= reach * apart[home] + 1e-9) & (np.arange(len(c)) > home[:, None])
-                who, where = np.nonzero(visits)
-                who, where = np.concatenate([at, who]), np.concatenate([home, where])
-                packed = [x.tobytes() for x in v]
-                yield pd.DataFrame(
-                    {
-                        "dim": dim,
-                        "cell": where.astype(np.int32),
-                        "visit": np.arange(len(who)) >= len(at),
-                        "vec_id": rows["vec_id"].to_numpy()[who],
-                        "copies": rows["copies"].to_numpy()[who],
-                        "vector": [packed[i] for i in who],
-                    }
-                )
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of lists of the same length, as doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for batch in batches:
+        dims = batch.column("dim").to_numpy()
+        for dim in np.unique(dims).tolist():
+            yield dim, batch.filter(pa.array(dims == dim))
+
+
+def _centroids(centres: dict[int, np.ndarray], dim: int) -> np.ndarray:
+    """A length that the sample does not have is one cell of its own."""
+    return centres.get(dim, np.zeros((1, dim)))
+
+
+def _homes(centres: dict[int, np.ndarray]):
+    """Rows with the cell they live in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, rows in _by_length(batches):
+            home = nearest(unit(_matrix(rows.column("embedding"))), _centroids(centres, dim), True)
+            yield rows.append_column("cell", pa.array(home, pa.int32()))
+
+    return run
+
+
+def _shelves(sizes: list[tuple[int, int, int]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per length of vectors: the first shelf of each cell, and over how many it is cut. ``sizes``: (dim, cell, rows).
+
+    Numbers of shelves go on from one length to the next, so no shelf has vectors of two lengths.
+    """
+    total, shelf, laid = sum(n for _, _, n in sizes), 0, {}
+    for dim in sorted({d for d, _, _ in sizes}):
+        room = max(BLOCK, min(SHELF * BLOCK, NUMBERS // dim, total // SHELVES))
+        cells = sorted((cell, n) for d, cell, n in sizes if d == dim)
+        first, cut = np.zeros((2, cells[-1][0] + 1), dtype=np.int64)
+        filled = 0
+        for cell, n in cells:
+            parts = -(-n // room)
+            if filled and (parts > 1 or filled + n // 2 > room):
+                shelf, filled = shelf + 1, 0
+            first[cell], cut[cell] = shelf, parts
+            shelf, filled = (shelf + parts, 0) if parts > 1 else (shelf, filled + n)
+        shelf += filled > 0
+        laid[dim] = first, cut
+    return laid
+
+
+def _visits(centres: dict[int, np.ndarray], laid: dict[int, tuple[np.ndarray, np.ndarray]], reach: float):
+    """Rows with their own shelf and all shelves within reach, their own included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, rows in _by_length(batches):
+            first, cut = laid[dim]
+            c = _centroids(centres, dim)[: len(first)]
+            v, home, at = unit(_matrix(rows.column("embedding"))), rows.column("cell").to_numpy(), np.arange(rows.num_rows)
+            shelf = first[home] + rows.column("deal").to_numpy() % cut[home]
+            # distance from v to the border between its cell and another one, times how far their centroids are apart
+            score = v @ c.T
+            square = (c * c).sum(axis=1)
+            apart = np.sqrt(np.maximum(square[:, None] + square - 2 * c @ c.T, 0) + 1e-14)  # not too small by rounding
+            near = score[at, home][:, None] - score <= reach * apart[home] + CLOSE
+            lowest = first[cut > 0].min()
+            holds = np.zeros((len(first), (first + cut).max() - lowest), dtype=np.float32)
+            for cell in np.flatnonzero(cut):
+                holds[cell, first[cell] - lowest : first[cell] - lowest + cut[cell]] = 1
+            reached = near.astype(np.float32) @ holds > 0
+            ends = np.concatenate([[0], reached.sum(axis=1).cumsum()])
+            places = np.nonzero(reached)[1] + lowest
+            visited = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
+            yield rows.drop_columns(["dim", "deal"]).append_column("shelf", pa.array(shelf, pa.int32())).append_column("visited", visited)
 
     return run
 
 
-def _compare(least: float):
-    """Of a pair of blocks: links of every vector (copies counted), and edges that connect what the links connect."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        left = group[group["side"] == 0]
-        right = group[group["side"] == 1]
-        own = not len(right)
-        right = left if own else right
-        if not len(left):
-            return pd.DataFrame(columns=["vec_id", "links", "a", "b"])
-        x = np.frombuffer(b"".join(left["vector"])).reshape(len(left), -1)
-        y = x if own else np.frombuffer(b"".join(right["vector"])).reshape(len(right), -1)
-        xi, yi = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        xc, yc = left["copies"].to_numpy(), right["copies"].to_numpy()
-        xn, yn = np.zeros(len(x), dtype=np.int64), np.zeros(len(y), dtype=np.int64)
-        edges = []
-        for at in range(0, len(x), 512):
-            s = x[at : at + 512] @ y.T
-            hit = s >= least
-            for i, j in zip(*np.nonzero(np.abs(s - least) < CLOSE), strict=True):
-                hit[i, j] = math.fsum(x[at + i] * y[j]) >= least
-            if own:
-                rows = np.arange(len(s))
-                hit[rows, at + rows] = False
-            xn[at : at + 512] += hit @ yc
-            if not own:
-                yn += xc[at : at + 512] @ hit
-            # a star per row would repeat most pairs; each row's first partner and each partner's first row
-            # connect the same only within what is linked to them, so all new connections are taken in turn
-            edges += _forest(hit, xi[at : at + 512], yi)
-        out = [pd.DataFrame({"vec_id": xi, "links": xn})]
-        if not own:
-            out.append(pd.DataFrame({"vec_id": yi, "links": yn}))
-        found = pd.DataFrame(edges, columns=["a", "b"]).drop_duplicates()
-        counts = pd.concat(out)
-        counts = counts[counts["links"] > 0]
-        n, m = len(counts), len(found)
-        return pd.DataFrame(
-            {
-                "vec_id": pd.array([*counts["vec_id"], *[None] * m], dtype="Int64"),
-                "links": pd.array([*counts["links"], *[None] * m], dtype="Int64"),
-                "a": pd.array([None] * n + [*found["a"]], dtype="Int64"),
-                "b": pd.array([None] * n + [*found["b"]], dtype="Int64"),
-            }
-        )
+def _compare(centres: dict[int, np.ndarray], least: float, reach: float):
+    """Of a pair of shelves: links of every vector (copies counted), and edges that connect what the links connect."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        own = key[0] == key[1]
+        rows = rows.sort_by([("shelf", "ascending"), ("cell", "ascending")]).combine_chunks()
+        ids, copies, cell, shelf = (rows.column(c).to_numpy() for c in ("vec_id", "copies", "cell", "shelf"))
+        x = unit(_matrix(rows.column("embedding").chunk(0)))
+        single, centre = x.astype(np.float32), _centroids(centres, x.shape[1])
+        ends = np.flatnonzero((np.diff(cell) != 0) | (np.diff(shelf) != 0)) + 1
+        parts = [slice(a, b) for a, b in zip([0, *ends], [*ends, len(x)], strict=True)]
+        links, forest = np.zeros(len(x), dtype=np.int64), _Forest(len(x))
+        for p, left in enumerate(parts):
+            for right in parts[p:]:
+                if own or shelf[left.start] != shelf[right.start]:
+                    across = centre[cell[right.start]] - centre[cell[left.start]]
+                    for i, j in _linked(x, single, left, right, across, least, reach):
+                        np.add.at(links, i, copies[j])
+                        np.add.at(links, j, copies[i])
+                        forest.add(i, j)
+        a, b = forest.edges()
+        some = np.flatnonzero(links)
+        counts = pa.table({"vec_id": ids[some], "links": links[some]})
+        return pa.concat_tables([counts, pa.table({"a": ids[a], "b": ids[b]})], promote_options="default").select(_FOUND.names).cast(_FOUND)
 
     return run
 
 
-def _forest(hit: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
-    """At most rows + columns edges with the same components as all hits."""
-    edges, owner = [], {}
-    for i in np.flatnonzero(hit.any(axis=1)):
-        partners = np.flatnonzero(hit[i])
-        for j in partners:
-            # a partner met before is connected to its first row; later rows connect to that row
-            if j not in owner:
-                owner[j] = rows[i]
-                edges.append((rows[i], columns[j]))
-        met = {owner[j] for j in partners.tolist()} - {rows[i]}
-        edges += [(rows[i], r) for r in met]
-    return edges
+def _linked(x: np.ndarray, single: np.ndarray, left: slice, right: slice, across: np.ndarray, least: float, reach: float):
+    """Places (i, j) of all linked pairs of two cells, or of one; ``across`` leads from the left one's centroid to the right one's.
+
+    Products are taken in single precision (``single``: ``x`` in it); where that leaves a doubt, in double precision again.
+    """
+    doubt = (x.shape[1] + 8) * 2.0**-23  # twice the most that single precision can be off by for rows at length one
+    one, width = left == right, math.sqrt(across @ across)
+    rows, columns = np.arange(left.start, left.stop), np.arange(right.start, right.stop)
+    if not one:
+        from_left, from_right = -(x[left] @ across), x[right] @ across  # distances from the border, times width
+        near, close = from_left.argsort(), from_right.argsort()
+        rows, columns, from_left, from_right = rows[near], columns[close], from_left[near], from_right[close]
+    xs, ys = single[rows], single[columns]
+    for at in range(0, len(rows), STRIP):
+        end = len(columns) if one else np.searchsorted(from_right, reach * width + CLOSE - from_left[at], "right")
+        for start in range(at if one else 0, end, BLOCK):
+            score = xs[at : at + STRIP] @ ys[start : min(start + BLOCK, end)].T
+            hit = np.flatnonzero(score >= least - doubt)
+            if len(hit):
+                i, j = np.divmod(hit, score.shape[1])
+                i, j, sure = rows[at + i], columns[start + j], score.ravel()[hit] >= least + doubt
+                unsure = np.flatnonzero(~sure)
+                for k in range(0, len(unsure), AGAIN):
+                    some = unsure[k : k + AGAIN]
+                    sure[some] = _at_least(x[i[some]], x[j[some]], least)
+                if one:
+                    sure &= i < j
+                yield i[sure], j[sure]
+
+
+def _at_least(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    score = (x * y).sum(axis=1)
+    hit = score >= least
+    for k in np.flatnonzero(np.abs(score - least) < CLOSE):
+        hit[k] = math.fsum(x[k] * y[k]) >= least
+    return hit
+
+
+class _Forest:
+    """Of all pairs of ``n`` places only such as connect the same: a place's first partner, and its later partners with that one."""
+
+    def __init__(self, n: int):
+        self.n, self.first, self.kept = n, np.full(n, -1), [np.zeros(0, dtype=np.int64)]
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        fresh = np.flatnonzero(self.first[j] < 0)
+        places, at = np.unique(j[fresh], return_index=True)
+        self.first[places] = i[fresh[at]]
+        self.kept.append(self.first[places] * self.n + places)
+        later = i * self.n + self.first[j]  # mostly the same again and again
+        self.kept.append(np.unique(later[np.diff(later, prepend=-1) != 0]))
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        a, b = np.divmod(np.unique(np.concatenate(self.kept)), self.n)
+        return a[a != b], b[a != b]
 
 
 def links(vectors: DataFrame, least: float = 0.9) -> DataFrame:
@@ -133,39 +208,30 @@ def links(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     and each gets the result. Extra columns are not looked at; an empty table gives no rows.
     """
     every = vectors.select("vec_id", "embedding")
-    good = sound(every)
-    key = F.md5(F.array_join(F.transform("embedding", lambda x: (x + 0.0).cast("string")), ",").cast("binary"))
+    kind = "array<float>" if dict(every.dtypes)["embedding"] == "array<float>" else "array<double>"
+    good = sound(every, kind)
+    key = F.struct(F.xxhash64("embedding").alias("one"), F.xxhash64(F.lit(1), "embedding").alias("two"))  # 128 bits
     keyed = good.withColumn("key", key)
     narrow = staged(keyed.select("vec_id", "key"), "vector-keys")
     lead = narrow.groupBy("key").agg(F.min("vec_id").alias("lead"), F.count("*").alias("copies"))
-    reps = keyed.join(lead, "key").filter("vec_id = lead").dropDuplicates(["key"]).select("vec_id", "copies", "embedding")
+    reps = keyed.join(lead.withColumnRenamed("lead", "vec_id"), ["key", "vec_id"]).dropDuplicates(["key", "vec_id"])
 
     total = narrow.count()
     picked = {}
     for dim, rows in by_length(good):
         picked[dim] = kmeans(unit(rows), min(MOST_CELLS, max(1, -(-total // CELL))), True)
     reach = math.sqrt(2 - 2 * least)
-    cells = "dim int, cell int, visit boolean, vec_id long, copies long, vector binary"
-    placed = staged(reps.mapInPandas(_homes(picked, reach), cells), "cells")
-    sizes = placed.groupBy("dim", "cell").agg(
-        F.ceil(F.sum(F.when(~F.col("visit"), 1).otherwise(0)) / BLOCK).cast("int").alias("homes"),
-        F.ceil(F.sum(F.when(F.col("visit"), 1).otherwise(0)) / BLOCK).cast("int").alias("guests"),
-    )
-    rows = placed.join(sizes, ["dim", "cell"]).filter("homes > 0")
-    mine = F.pmod(F.xxhash64("vec_id"), F.greatest(F.lit(1), F.when(F.col("visit"), F.col("guests")).otherwise(F.col("homes")))).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("homes") + F.col("guests") - 1)))
-    home = F.col("with") < F.col("homes")
-    # a visitor meets the home blocks only; a home block meets home blocks and, as the left side, visitors
-    rows = rows.filter(~F.col("visit") | home)
-    low = F.when(F.col("visit"), F.col("with")).when(home, F.least("mine", "with")).otherwise(F.col("mine"))
-    high = F.when(F.col("visit"), F.col("homes") + F.col("mine")).when(home, F.greatest("mine", "with")).otherwise(F.col("with"))
-    side = F.when(F.col("visit") | (home & (F.col("mine") > F.col("with"))), 1).otherwise(0)
-    tasks = rows.select("dim", "cell", low.alias("low"), high.alias("high"), side.alias("side"), "vec_id", "copies", "vector")
-    tasks = tasks.filter("not (low = high and side = 1)")
-    found = staged(
-        tasks.groupBy("dim", "cell", "low", "high").applyInPandas(_compare(least), "vec_id long, links long, a long, b long"),
-        "cosine-links",
-    )
+    row = f"vec_id long, copies long, embedding {kind}"
+    reps = reps.select(F.size("embedding").alias("dim"), F.xxhash64("vec_id").alias("deal"), "vec_id", "copies", "embedding")
+    placed = staged(reps.mapInArrow(_homes(picked), f"dim int, deal long, {row}, cell int"), "cells")
+    laid = _shelves([tuple(r) for r in placed.groupBy("dim", "cell").count().collect()])
+    per_length = [int((first + cut).max() - first[cut > 0].min()) for first, cut in laid.values()]
+    tasks = min(TASKS, max(1, sum(n * (n + 1) // 2 for n in per_length)))
+    rows = placed.mapInArrow(_visits(picked, laid, reach), f"{row}, cell int, shelf int, visited array<int>")
+    rows = rows.withColumn("other", F.explode("visited")).drop("visited")
+    pairs = rows.select("*", F.least("shelf", "other").alias("low"), F.greatest("shelf", "other").alias("high")).drop("other")
+    pairs = pairs.repartition(tasks, "low", "high").groupBy("low", "high")
+    found = staged(pairs.applyInArrow(_compare(picked, least, reach), "vec_id long, links long, a long, b long"), "cosine-links")
     counts = found.filter("vec_id is not null").groupBy("vec_id").agg(F.sum("links").alias("links"))
     parts = components(found.filter("a is not null").select("a", "b"), "cosine").withColumnRenamed("node", "lead")
     result = (

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 SAMPLE = 20_000
 
 
-def sound(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding as doubles) of vectors with an id that are not null, empty or zero and hold only finite numbers."""
+def sound(vectors: DataFrame, kind: str = "array<double>") -> DataFrame:
+    """(vec_id, embedding as ``kind``) of vectors with an id that are not null, empty or zero and hold only finite numbers."""
     good = (
         F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("embedding", lambda x: x != 0)
         & F.col("vec_id").isNotNull()
     )
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.select("vec_id", F.col("embedding").cast(kind).alias("embedding"))
     return rows.filter(F.coalesce(good, F.lit(False)))
 
 

@@ -1,14 +1,17 @@
 """Near copies, repeats, neighbours and languages against brute force."""
 
 import hashlib
+import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
 from helpers import documents, odd_documents
-from stemledger.llm import cosine, langid, nearsets, repeats, treesearch
+from pyspark.sql import functions as F
+from stemledger.llm import cosine, langid, nearsets, repeats, shared, treesearch
 
 
 def smallest_reachable(ids, pairs):
@@ -210,6 +213,75 @@ def test_cosine_links(spark, monkeypatch, cell, block):
     assert cosine.links(frame.limit(0)).count() == 0
 
 
+def test_cosine_moves_vectors_to_tasks_in_one_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(cosine, "CELL", 40)
+    monkeypatch.setattr(cosine, "BLOCK", 13)
+    plans = {}
+
+    def staged(df, name, **options):
+        out = shared.staged(df, name, **options)
+        plans[name] = (df._jdf.queryExecution().executedPlan().toString(), df.schema, out)
+        return out
+
+    monkeypatch.setattr(cosine, "staged", staged)
+    _, _, frame = vectors(spark)
+    cosine.links(frame.withColumn("embedding", F.col("embedding").cast("array<float>"))).count()
+    plan = plans["cosine-links"][0]
+    assert len(re.findall(r"\bExchange ", plan.split("Initial Plan")[-1])) == 1 and "Join" not in plan
+    assert "array_join" not in plans["vector-keys"][0]  # numbers are not written out to be compared
+    assert plans["cells"][1]["embedding"].dataType.simpleString() == "array<float>"  # floats are not moved as doubles
+
+
+def test_cosine_shelves():
+    laid = cosine._shelves([(64, 0, 20_000), (64, 1, 20_000), (64, 3, 90_000), (64, 4, 5), (8, 0, 10)])
+    room = 130_015 // 8  # a shelf of a small table
+    assert [a.tolist() for a in laid[8]] == [[0], [1]]
+    first, cut = (a.tolist() for a in laid[64])
+    assert cut == [2, 2, 0, -(-90_000 // room), 1] and first == [1, 3, 0, 5, 5 + cut[3]]
+    packed = cosine._shelves([(64, cell, 4000) for cell in range(150)])[64]
+    assert packed[1].tolist() == [1] * 150 and np.bincount(packed[0]).tolist() == [8] * 18 + [6]
+    assert cosine._shelves([(1536, cell, 1000) for cell in range(150)])[1536][0].max() == 37  # fewer if vectors are long
+    assert cosine._shelves([]) == {}
+
+
+def test_cosine_products_end_where_borders_are_too_far():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 12))
+    x[1500:1600] = x[:100] + rng.normal(size=(100, 12)) * 0.3
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    across = rng.normal(size=12)
+    x = np.concatenate([x[x @ across < 0], x[x @ across >= 0]])
+    left = slice(0, int((x @ across < 0).sum()))
+    right = slice(left.stop, len(x))
+    products = []
+
+    class Counted(np.ndarray):
+        def __matmul__(self, other):
+            products.append(self.shape[0] * other.shape[1])
+            return np.asarray(self) @ np.asarray(other)
+
+    found = cosine._linked(x, x.astype(np.float32).view(Counted), left, right, across, 0.9, math.sqrt(0.2))
+    got = {(i, j) for a, b in found for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    assert got == {(i, j + left.stop) for i, j in np.argwhere(x[left] @ x[right].T >= 0.9).tolist()} and got
+    assert sum(products) < 0.75 * len(x[left]) * len(x[right])
+
+
+@pytest.mark.parametrize("block", [4096, 30])
+def test_cosine_decides_in_double_precision(spark, monkeypatch, block):
+    monkeypatch.setattr(cosine, "BLOCK", block)
+    monkeypatch.setattr(cosine, "SHELF", 1)
+    rng = np.random.default_rng(4)
+    rows, links = [], []
+    for step in np.arange(-60, 60) + 0.5:  # cosines to the first vector of 0.9 and up to 60 times 2e-9 less or more, beyond single precision
+        a, b = np.linalg.qr(rng.normal(size=(48, 2)))[0].T
+        cos = 0.9 + step * 2e-9
+        rows += [a, cos * a + math.sqrt(1 - cos * cos) * b]
+        links += [int(step > 0)] * 2
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in cosine.links(frame).collect()}
+    assert [got[i] for i in range(len(rows))] == links
+
+
 def test_neighbours(spark, monkeypatch):
     monkeypatch.setattr(treesearch, "ROWS_TOGETHER", 100)
     rows, odd, frame = vectors(spark, n=500)
