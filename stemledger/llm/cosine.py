@@ -116,7 +116,7 @@ def _visits(centres: dict[int, np.ndarray], laid: dict[int, tuple[np.ndarray, np
 
 
 def _compare(centres: dict[int, np.ndarray], least: float, reach: float):
-    """Of a pair of shelves: links of every vector (copies counted), and edges that connect what the links connect."""
+    """Of a pair of shelves: links of every vector (copies counted), and edges to the smallest id that the links connect it with."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         own = key[0] == key[1]
@@ -135,10 +135,10 @@ def _compare(centres: dict[int, np.ndarray], least: float, reach: float):
                         np.add.at(links, i, copies[j])
                         np.add.at(links, j, copies[i])
                         forest.add(i, j)
-        a, b = forest.edges()
+        a, b = forest.stars(ids)
         some = np.flatnonzero(links)
         counts = pa.table({"vec_id": ids[some], "links": links[some]})
-        return pa.concat_tables([counts, pa.table({"a": ids[a], "b": ids[b]})], promote_options="default").select(_FOUND.names).cast(_FOUND)
+        return pa.concat_tables([counts, pa.table({"a": a, "b": b})], promote_options="default").select(_FOUND.names).cast(_FOUND)
 
     return run
 
@@ -195,9 +195,20 @@ class _Forest:
         later = i * self.n + self.first[j]  # mostly the same again and again
         self.kept.append(np.unique(later[np.diff(later, prepend=-1) != 0]))
 
-    def edges(self) -> tuple[np.ndarray, np.ndarray]:
-        a, b = np.divmod(np.unique(np.concatenate(self.kept)), self.n)
-        return a[a != b], b[a != b]
+    def stars(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(id, smallest id that is connected with it) of all places that are connected with a smaller one."""
+        order = ids.argsort(kind="stable")
+        rank = order.argsort()
+        a, b = (rank[x] for x in np.divmod(np.unique(np.concatenate(self.kept)), self.n))
+        low, before = np.arange(self.n), None
+        while before is None or (low != before).any():
+            before, least = low, np.minimum(low[a], low[b])
+            low = low.copy()
+            for x in (a, b, before[a], before[b]):
+                np.minimum.at(low, x, least)
+            low = low[low]
+        some = np.flatnonzero(low < np.arange(self.n))
+        return ids[order[some]], ids[order[low[some]]]
 
 
 def links(vectors: DataFrame, least: float = 0.9) -> DataFrame:
@@ -213,8 +224,11 @@ def links(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     key = F.struct(F.xxhash64("embedding").alias("one"), F.xxhash64(F.lit(1), "embedding").alias("two"))  # 128 bits
     keyed = good.withColumn("key", key)
     narrow = staged(keyed.select("vec_id", "key"), "vector-keys")
-    lead = narrow.groupBy("key").agg(F.min("vec_id").alias("lead"), F.count("*").alias("copies"))
-    reps = keyed.join(lead.withColumnRenamed("lead", "vec_id"), ["key", "vec_id"]).dropDuplicates(["key", "vec_id"])
+    groups = narrow.groupBy("key").agg(F.min("vec_id").alias("lead"), F.count("*").alias("copies"))
+    copied = staged(groups.filter("copies > 1"), "vector-copies")  # few as a rule, so that the others need not be moved
+    ones = keyed.join(copied, "key", "left_anti").withColumn("copies", F.lit(1).cast("long"))
+    firsts = keyed.join(copied.withColumnRenamed("lead", "vec_id"), ["key", "vec_id"]).dropDuplicates(["key", "vec_id"])
+    reps = ones.unionByName(firsts)
 
     total = narrow.count()
     picked = {}
@@ -231,16 +245,17 @@ def links(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     rows = rows.withColumn("other", F.explode("visited")).drop("visited")
     pairs = rows.select("*", F.least("shelf", "other").alias("low"), F.greatest("shelf", "other").alias("high")).drop("other")
     pairs = pairs.repartition(tasks, "low", "high").groupBy("low", "high")
-    found = staged(pairs.applyInArrow(_compare(picked, least, reach), "vec_id long, links long, a long, b long"), "cosine-links")
-    counts = found.filter("vec_id is not null").groupBy("vec_id").agg(F.sum("links").alias("links"))
+    met = pairs.applyInArrow(_compare(picked, least, reach), "vec_id long, links long, a long, b long")
+    found = staged(met.hint("rebalance"), "cosine-links")  # a few rows of each of many tasks
+    counts = found.filter("vec_id is not null").groupBy(F.col("vec_id").alias("lead")).agg(F.sum("links").alias("links"))
     parts = components(found.filter("a is not null").select("a", "b"), "cosine").withColumnRenamed("node", "lead")
-    result = (
-        lead.join(counts.withColumnRenamed("vec_id", "lead"), "lead", "left")
-        .join(parts, "lead", "left")
-        .select("key", "lead", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "lead").alias("component_id"))
+    linked = counts.join(parts, "lead", "left")
+    led = narrow.join(copied, "key", "left").select(
+        "vec_id", F.coalesce("lead", "vec_id").alias("lead"), F.coalesce("copies", F.lit(1)).alias("copies")
     )
-    per_id = narrow.join(result, "key").groupBy("vec_id").agg(
-        F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id")
+    per_id = led.join(linked, "lead", "left").groupBy("vec_id").agg(
+        F.max(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.min(F.coalesce("component", "lead")).alias("component_id"),
     )
     out = every.select("vec_id").join(per_id, "vec_id", "left")
     return out.select(

@@ -226,12 +226,25 @@ def test_cosine_moves_vectors_to_tasks_in_one_shuffle(spark, monkeypatch):
     monkeypatch.setattr(cosine, "staged", staged)
     _, _, frame = vectors(spark)
     cosine.links(frame.withColumn("embedding", F.col("embedding").cast("array<float>"))).count()
-    plan = plans["cosine-links"][0]
-    assert len(re.findall(r"\bExchange ", plan.split("Initial Plan")[-1])) == 1 and "Join" not in plan
+    below = plans["cosine-links"][0].split("Initial Plan")[-1].split("FlatMapGroupsInArrow")[1]
+    assert len(re.findall(r"\bExchange ", below)) == 1 and "Join" not in below
+    alone = plans["cells"][0].split("LeftAnti")[1].split("Scan ")[0]
+    assert "Exchange" not in alone  # vectors without copies are not moved
     assert "array_join" not in plans["vector-keys"][0]  # numbers are not written out to be compared
     assert plans["cells"][1]["embedding"].dataType.simpleString() == "array<float>"  # floats are not moved as doubles
 
 
+def test_cosine_sends_stars():
+    rng = np.random.default_rng(6)
+    ids = rng.permutation(5000)[:400] * 3
+    pairs = rng.integers(0, 400, (330, 2))
+    forest = cosine._Forest(400)
+    for some in np.array_split(pairs, 12):
+        forest.add(some[:, 0], some[:, 1])
+    low = smallest_reachable(ids.tolist(), ids[pairs].tolist())
+    assert dict(zip(*(x.tolist() for x in forest.stars(ids)), strict=True)) == {i: m for i, m in low.items() if i != m}
+
+
 def test_cosine_shelves():
     laid = cosine._shelves([(64, 0, 20_000), (64, 1, 20_000), (64, 3, 90_000), (64, 4, 5), (8, 0, 10)])
     room = 130_015 // 8  # a shelf of a small table
