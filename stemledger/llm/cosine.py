@@ -29,9 +29,11 @@ SHELF = 8
 NUMBERS = 4_000_000
 SHELVES = 8
 TASKS = 10_000
-#: Vectors that meet a block at a time, and pairs that are computed again at a time.
+#: Vectors that meet a block at a time, the share of pairs (1 in so many) up to which a bound on cosines is of use, and
+#: numbers that are multiplied at a time where pairs are computed again.
 STRIP = 256
-AGAIN = 100_000
+FEW = 256
+AGAIN = 1_000_000
 #: Cosines this close to the threshold are computed again, pair by pair; distances from borders get as much leeway.
 CLOSE = 1e-9
 
@@ -40,7 +42,7 @@ _FOUND = pa.schema([(name, pa.int64()) for name in ("vec_id", "links", "a", "b")
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of lists of the same length, as doubles."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
 def _by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -123,7 +125,7 @@ def _compare(centres: dict[int, np.ndarray], least: float, reach: float):
         rows = rows.sort_by([("shelf", "ascending"), ("cell", "ascending")]).combine_chunks()
         ids, copies, cell, shelf = (rows.column(c).to_numpy() for c in ("vec_id", "copies", "cell", "shelf"))
         x = unit(_matrix(rows.column("embedding").chunk(0)))
-        single, centre = x.astype(np.float32), _centroids(centres, x.shape[1])
+        bounds, centre = _bounds(x), _centroids(centres, x.shape[1])
         ends = np.flatnonzero((np.diff(cell) != 0) | (np.diff(shelf) != 0)) + 1
         parts = [slice(a, b) for a, b in zip([0, *ends], [*ends, len(x)], strict=True)]
         links, forest = np.zeros(len(x), dtype=np.int64), _Forest(len(x))
@@ -131,7 +133,7 @@ def _compare(centres: dict[int, np.ndarray], least: float, reach: float):
             for right in parts[p:]:
                 if own or shelf[left.start] != shelf[right.start]:
                     across = centre[cell[right.start]] - centre[cell[left.start]]
-                    for i, j in _linked(x, single, left, right, across, least, reach):
+                    for i, j in _linked(x, bounds, left, right, across, least, reach):
                         np.add.at(links, i, copies[j])
                         np.add.at(links, j, copies[i])
                         forest.add(i, j)
@@ -143,10 +145,17 @@ def _compare(centres: dict[int, np.ndarray], least: float, reach: float):
     return run
 
 
-def _linked(x: np.ndarray, single: np.ndarray, left: slice, right: slice, across: np.ndarray, least: float, reach: float):
+def _bounds(x: np.ndarray) -> np.ndarray:
+    """The first half of each row and the length of the rest: a product of two such rows is at least that of the whole rows."""
+    half = x.shape[1] // 2
+    return np.column_stack([x[:, :half], np.sqrt((x[:, half:] ** 2).sum(axis=1))]).astype(np.float32)
+
+
+def _linked(x: np.ndarray, bounds: np.ndarray, left: slice, right: slice, across: np.ndarray, least: float, reach: float):
     """Places (i, j) of all linked pairs of two cells, or of one; ``across`` leads from the left one's centroid to the right one's.
 
-    Products are taken in single precision (``single``: ``x`` in it); where that leaves a doubt, in double precision again.
+    Products are taken in single precision, of ``bounds`` as long as these leave few pairs, else of whole rows. Pairs that
+    are still in doubt are computed again in double precision.
     """
     doubt = (x.shape[1] + 8) * 2.0**-23  # twice the most that single precision can be off by for rows at length one
     one, width = left == right, math.sqrt(across @ across)
@@ -155,18 +164,26 @@ def _linked(x: np.ndarray, single: np.ndarray, left: slice, right: slice, across
         from_left, from_right = -(x[left] @ across), x[right] @ across  # distances from the border, times width
         near, close = from_left.argsort(), from_right.argsort()
         rows, columns, from_left, from_right = rows[near], columns[close], from_left[near], from_right[close]
-    xs, ys = single[rows], single[columns]
+    xs, ys, bounded = bounds[rows], bounds[columns], True
     for at in range(0, len(rows), STRIP):
         end = len(columns) if one else np.searchsorted(from_right, reach * width + CLOSE - from_left[at], "right")
         for start in range(at if one else 0, end, BLOCK):
-            score = xs[at : at + STRIP] @ ys[start : min(start + BLOCK, end)].T
-            hit = np.flatnonzero(score >= least - doubt)
+            stop = min(start + BLOCK, end)
+            if bounded:
+                score = xs[at : at + STRIP] @ ys[start:stop].T
+                hit = np.flatnonzero(score >= least - doubt)
+                bounded = len(hit) <= score.size // FEW
+                sure = np.zeros(len(hit), dtype=bool)
+            if not bounded:
+                score = x[rows[at : at + STRIP]].astype(np.float32) @ x[columns[start:stop]].astype(np.float32).T
+                hit = np.flatnonzero(score >= least - doubt)
+                sure = score.ravel()[hit] >= least + doubt
             if len(hit):
                 i, j = np.divmod(hit, score.shape[1])
-                i, j, sure = rows[at + i], columns[start + j], score.ravel()[hit] >= least + doubt
-                unsure = np.flatnonzero(~sure)
-                for k in range(0, len(unsure), AGAIN):
-                    some = unsure[k : k + AGAIN]
+                i, j, unsure = rows[at + i], columns[start + j], np.flatnonzero(~sure)
+                together = max(1, AGAIN // x.shape[1])
+                for k in range(0, len(unsure), together):
+                    some = unsure[k : k + together]
                     sure[some] = _at_least(x[i[some]], x[j[some]], least)
                 if one:
                     sure &= i < j

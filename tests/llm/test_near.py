@@ -273,12 +273,30 @@ def test_cosine_products_end_where_borders_are_too_far():
             products.append(self.shape[0] * other.shape[1])
             return np.asarray(self) @ np.asarray(other)
 
-    found = cosine._linked(x, x.astype(np.float32).view(Counted), left, right, across, 0.9, math.sqrt(0.2))
+    found = cosine._linked(x, cosine._bounds(x).view(Counted), left, right, across, 0.9, math.sqrt(0.2))
     got = {(i, j) for a, b in found for i, j in zip(a.tolist(), b.tolist(), strict=True)}
     assert got == {(i, j + left.stop) for i, j in np.argwhere(x[left] @ x[right].T >= 0.9).tolist()} and got
     assert sum(products) < 0.75 * len(x[left]) * len(x[right])
 
 
+@pytest.mark.parametrize("spread", [1, 0.2, 0])
+def test_cosine_bounds_lose_no_link(monkeypatch, spread):
+    monkeypatch.setattr(cosine, "STRIP", 16)
+    monkeypatch.setattr(cosine, "BLOCK", 50)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 24))
+    x[300:] = x[:300] + rng.normal(size=(300, 24)) * rng.choice([0, 0.1, 0.5], (300, 1))
+    x[:, :12] *= spread  # without a first half bounds are of no use
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    bounds = cosine._bounds(x)
+    assert bounds.shape == (600, 13) and (bounds @ bounds.T >= x @ x.T - 1e-6).all()
+    hit = np.argwhere(np.triu(x @ x.T >= 0.9, 1)).tolist()
+    for left, right in ((slice(0, 600), slice(0, 600)), (slice(0, 300), slice(300, 600))):
+        found = cosine._linked(x, bounds, left, right, np.zeros(24), 0.9, math.sqrt(0.2))
+        got = sorted([min(i, j), max(i, j)] for a, b in found for i, j in zip(a.tolist(), b.tolist(), strict=True))
+        assert got == [p for p in hit if left == right or p[0] < 300 <= p[1]]
+
+
 @pytest.mark.parametrize("block", [4096, 30])
 def test_cosine_decides_in_double_precision(spark, monkeypatch, block):
     monkeypatch.setattr(cosine, "BLOCK", block)
