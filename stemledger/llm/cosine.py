@@ -4,7 +4,8 @@ Every vector lives in the cell of its nearest centroid. Two vectors at cosine ``
 if a border lies between them, their distances from it add up to ``reach`` at most. Cells are packed into shelves, and large ones
 cut by hash over several. A vector visits each shelf with a cell whose border is within ``reach`` of it, and each pair of
 shelves is a task of bounded size. There each two cells meet block by block, vectors next to the border first, and only
-as far as distances add up to ``reach``: no link over a border is lost, and each pair meets in one task only.
+as far as distances add up to ``reach``: no link over a border is lost, and each pair meets in one task only. Cosines are
+bounded by products of half the components before they are computed.
 """
 
 from __future__ import annotations
@@ -24,10 +25,9 @@ from stemledger.llm.vectors import by_length, kmeans, nearest, sound, unit
 CELL = 4096
 MOST_CELLS = 512
 BLOCK = 4096
-#: Blocks per shelf, numbers per shelf if vectors are long, shelves that a small table gets, and the most tasks.
-SHELF = 8
+#: Shelves that are aimed at (of two blocks at least), the most numbers per shelf, and the most tasks.
+SHELVES = 16
 NUMBERS = 4_000_000
-SHELVES = 8
 TASKS = 10_000
 #: Vectors that meet a block at a time, the share of pairs (1 in so many) up to which a bound on cosines is of use, and
 #: numbers that are multiplied at a time where pairs are computed again.
@@ -75,7 +75,7 @@ def _shelves(sizes: list[tuple[int, int, int]]) -> dict[int, tuple[np.ndarray, n
     """
     total, shelf, laid = sum(n for _, _, n in sizes), 0, {}
     for dim in sorted({d for d, _, _ in sizes}):
-        room = max(BLOCK, min(SHELF * BLOCK, NUMBERS // dim, total // SHELVES))
+        room = max(1, min(NUMBERS // dim, max(2 * BLOCK, total // SHELVES)))
         cells = sorted((cell, n) for d, cell, n in sizes if d == dim)
         first, cut = np.zeros((2, cells[-1][0] + 1), dtype=np.int64)
         filled = 0

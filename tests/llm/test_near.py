@@ -247,13 +247,13 @@ def test_cosine_sends_stars():
 
 def test_cosine_shelves():
     laid = cosine._shelves([(64, 0, 20_000), (64, 1, 20_000), (64, 3, 90_000), (64, 4, 5), (8, 0, 10)])
-    room = 130_015 // 8  # a shelf of a small table
     assert [a.tolist() for a in laid[8]] == [[0], [1]]
-    first, cut = (a.tolist() for a in laid[64])
-    assert cut == [2, 2, 0, -(-90_000 // room), 1] and first == [1, 3, 0, 5, 5 + cut[3]]
+    assert [a.tolist() for a in laid[64]] == [[1, 4, 0, 7, 18], [3, 3, 0, 11, 1]]  # 8,192 vectors per shelf
     packed = cosine._shelves([(64, cell, 4000) for cell in range(150)])[64]
-    assert packed[1].tolist() == [1] * 150 and np.bincount(packed[0]).tolist() == [8] * 18 + [6]
-    assert cosine._shelves([(1536, cell, 1000) for cell in range(150)])[1536][0].max() == 37  # fewer if vectors are long
+    assert packed[1].tolist() == [1] * 150 and np.bincount(packed[0]).tolist() == [9] * 16 + [6]
+    for dim, most in ((64, 62_500), (1536, 2604)):  # shelves do not grow with the table or the length of vectors
+        first, cut = cosine._shelves([(dim, cell, 4000) for cell in range(512)] + [(dim, 512, 1_000_000)])[dim]
+        assert cut[512] == -(-1_000_000 // most) and np.bincount(first[:512]).max() * 4000 / cut[0] <= most + 2000
     assert cosine._shelves([]) == {}
 
 
@@ -300,7 +300,6 @@ def test_cosine_bounds_lose_no_link(monkeypatch, spread):
 @pytest.mark.parametrize("block", [4096, 30])
 def test_cosine_decides_in_double_precision(spark, monkeypatch, block):
     monkeypatch.setattr(cosine, "BLOCK", block)
-    monkeypatch.setattr(cosine, "SHELF", 1)
     rng = np.random.default_rng(4)
     rows, links = [], []
     for step in np.arange(-60, 60) + 0.5:  # cosines to the first vector of 0.9 and up to 60 times 2e-9 less or more, beyond single precision
