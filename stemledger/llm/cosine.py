@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -74,9 +75,9 @@ def _shelves(sizes: list[tuple[int, int, int]]) -> dict[int, tuple[np.ndarray, n
     Numbers of shelves go on from one length to the next, so no shelf has vectors of two lengths.
     """
     total, shelf, laid = sum(n for _, _, n in sizes), 0, {}
-    for dim in sorted({d for d, _, _ in sizes}):
+    for dim, group in groupby(sorted(sizes), key=lambda size: size[0]):
         room = max(1, min(NUMBERS // dim, max(2 * BLOCK, total // SHELVES)))
-        cells = sorted((cell, n) for d, cell, n in sizes if d == dim)
+        cells = [(cell, n) for _, cell, n in group]
         first, cut = np.zeros((2, cells[-1][0] + 1), dtype=np.int64)
         filled = 0
         for cell, n in cells:
